@@ -21,9 +21,8 @@ def _skip_to(name: str) -> str:
     return rf"(?i)^<[a-z][^\s/>]*+(?:[\s/]*+(?!{here}){NAME}(?:\s*+=\s*+{VALUE}?+)?+)*+[\s/]*+{here}"
 
 
-def _unquote(value: Column) -> Column:
-    quoted = value.startswith('"') | value.startswith("'")
-    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+# The references that matter in attribute values under test, `&amp;` last so nothing is decoded twice.
+_BASIC_REFERENCES = [("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 
 
 def has_attr(name: str, raw="raw") -> Column:
@@ -31,15 +30,32 @@ def has_attr(name: str, raw="raw") -> Column:
 
 
 def attr(name: str, raw="raw") -> Column:
-    """Value of the first attribute with this name; '' when it has none, null when absent."""
+    """Value of the first attribute with this name; '' when it has none, null when absent.
+
+    Meant for tests on many rows: it runs two patterns and decodes the basic references only. Where several
+    attributes of few rows are wanted, use `attr_map`.
+    """
     raw = as_column(raw)
-    value = F.regexp_extract(raw, _skip_to(name) + rf"\s*+=\s*+({VALUE})", 1)
-    return F.when(has_attr(name, raw), decode_entities(_unquote(value), attribute=True))
+    whole = _skip_to(name) + r"""(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))?+)?+[\s\S]*$"""
+    value = F.regexp_replace(raw, whole, "$1$2$3")
+    plain = value
+    for reference, char in _BASIC_REFERENCES:
+        plain = F.replace(plain, F.lit(reference), F.lit(char))
+    value = F.when(F.contains(raw, F.lit("&")), plain).otherwise(value)
+    return F.when(has_attr(name, raw), value)
+
+
+def class_list(value: Column) -> Column:
+    return F.filter(F.split(F.coalesce(value, F.lit("")), r"[\t\n\f\r ]+"), lambda c: c != "")
 
 
-def classes(raw="raw") -> Column:
-    value = F.btrim(F.coalesce(attr("class", raw), F.lit("")), F.lit("\t\n\f\r "))
-    return F.when(value == "", F.array().cast("array<string>")).otherwise(F.split(value, r"[\t\n\f\r ]+"))
+def has_class(name: str, raw="raw") -> Column:
+    return attr("class", raw).rlike(rf"(?:^|[\t\n\f\r ]){re.escape(name)}(?:$|[\t\n\f\r ])")
+
+
+def _unquote(value: Column) -> Column:
+    quoted = value.startswith('"') | value.startswith("'")
+    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
 def attr_map(raw="raw") -> Column:

@@ -76,11 +76,16 @@ def _numeric_entity(ref: Column) -> Column:
     bad = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
     return (
         F.when(bad, F.lit("\ufffd"))
-        .when(code.between(0x80, 0x9F), F.element_at(remap, code.cast("string")))
+        .when(code.between(0x80, 0x9F), F.try_element_at(remap, code.cast("string")))
         .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
     )
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value worked out once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def decode_entities(text, attribute: bool = False) -> Column:
     """Replace character references. In attributes a reference needs its semicolon."""
     col = as_column(text)
@@ -90,14 +95,14 @@ def decode_entities(text, attribute: bool = False) -> Column:
     names = _named_entities()
 
     def one(part: Column) -> Column:
-        ref = F.substring(part, 2, 1 << 20)
+        ref = F.substring(part, 2, 40)
         value = F.when(part.startswith("&#"), F.when(F.length(part) > 2, _numeric_entity(ref))).otherwise(
-            F.element_at(names, ref)
+            F.try_element_at(names, ref)
         )
-        return F.when(part.startswith("&") & (F.length(part) > 1), F.coalesce(value, part)).otherwise(part)
+        return F.when(part.startswith("&"), F.coalesce(value, part)).otherwise(part)
 
-    decoded = F.array_join(F.transform(parts, one), "")
-    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
+    # Without a reference the text comes back as it is, in one part.
+    return F.array_join(F.transform(parts, one), "")
 
 
 def decode_runs(runs: Column) -> Column:

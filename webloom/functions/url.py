@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloom.functions.text import as_column
+from webloom.functions.text import as_column, let
 
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 _ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)"
@@ -37,19 +37,24 @@ def valid_url(url) -> Column:
     return F.coalesce(col.rlike(web) | col.rlike(other), F.lit(False))
 
 
+# Characters a URL may hold as they are; the rest is percent-encoded.
+_LITERAL = r"!#-;=?-_a-z|~{}"
+
+
 def encode_url(text: Column) -> Column:
     """Percent-encode what a URL may not hold literally; leave the rest as it is."""
-    parts = F.regexp_extract_all(text, F.lit(r"""[!#-;=?-_a-z|~{}]++|[^!#-;=?-_a-z|~{}]++"""), F.lit(0))
-    coded = F.array_join(
-        F.transform(
+
+    def coded(value: Column) -> Column:
+        parts = F.regexp_extract_all(value, F.lit(f"[{_LITERAL}]++|[^{_LITERAL}]++"), F.lit(0))
+        code = F.transform(
             parts,
-            lambda p: F.when(p.rlike(r"""^[!#-;=?-_a-z|~{}]"""), p).otherwise(
+            lambda p: F.when(p.rlike(f"^[{_LITERAL}]"), p).otherwise(
                 F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))
             ),
-        ),
-        "",
-    )
-    return F.when(text.rlike(r"""[^!#-;=?-_a-z|~{}]"""), coded).otherwise(text)
+        )
+        return F.when(value.rlike(f"[^{_LITERAL}]"), F.array_join(code, "")).otherwise(value)
+
+    return let(text, coded)
 
 
 def _without_dots(path: Column) -> Column:
@@ -61,37 +66,39 @@ def _without_dots(path: Column) -> Column:
         .otherwise(F.concat(acc, F.array(s))),
     )
     tail = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
-    joined = F.concat(F.lit("/"), F.array_join(steps, "/"))
-    flat = F.when(joined == "/", joined).otherwise(F.concat(joined, tail))
-    return F.when(path.rlike(r"/\.\.?(?:/|$)"), flat).otherwise(path)
+    joined = F.regexp_replace(F.concat(F.lit("/"), F.array_join(steps, "/"), tail), "^//$", "/")
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), joined).otherwise(path)
 
 
 def _normal(url: Column) -> Column:
     """Lower-case scheme and host, default path, no dot segments."""
-    base = F.lower(F.regexp_extract(url, _ORIGIN, 1))
-    path = _without_dots(pathname(url))
-    rest = F.regexp_extract(url, r"^[^?#]*([?#].*)?$", 1)
-    return F.when(url.rlike(r"(?i)^(?:https?|ftp|wss?)://"), F.concat(base, path, rest)).otherwise(url)
+
+    def normal(value: Column) -> Column:
+        base = F.lower(F.regexp_extract(value, _ORIGIN, 1))
+        rest = F.regexp_extract(value, r"^[^?#]*([?#].*)?$", 1)
+        fixed = F.concat(base, let(pathname(value), _without_dots), rest)
+        return F.when(value.rlike(r"(?i)^(?:https?|ftp|wss?)://"), fixed).otherwise(value)
+
+    return let(url, normal)
 
 
 def resolve_url(href, base) -> Column:
     """The absolute URL of `href` on page `base`; null without an absolute base to resolve against."""
-    ref = F.btrim(as_column(href), F.lit("\t\n\x0b\f\r "))
     base = as_column(base)
-    top = origin(base)
-    page = F.regexp_extract(base, r"^([^?#]*)", 1)
-    folder = F.concat(top, F.regexp_extract(pathname(base), r"^(.*/)", 1))
-    bare_page = F.when(page == top, F.concat(top, F.lit("/"))).otherwise(page)
-    joined = (
-        F.when(ref.rlike(_SCHEME), ref)
-        .when(ref.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z][^:/]*:)", 1), ref))
-        .when(ref.startswith("/"), F.concat(top, ref))
-        .when(ref.startswith("?"), F.concat(bare_page, ref))
-        .when(ref.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), ref))
-        .when(ref == "", F.regexp_extract(base, "^([^#]*)", 1))
-        .otherwise(F.concat(folder, ref))
-    )
-    return encode_url(_normal(joined))
+
+    def joined(ref: Column) -> Column:
+        top = origin(base)
+        page = F.regexp_extract(base, r"^([^?#]*)", 1)
+        return (
+            F.when(ref.rlike(_SCHEME), ref)
+            .when(ref.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z][^:/]*:)", 1), ref))
+            .when(ref.startswith("/"), F.concat(top, ref))
+            .when(ref.startswith("?"), F.concat(page, F.when(page == top, F.lit("/")).otherwise(F.lit("")), ref))
+            .when(ref.startswith("#") | (ref == ""), F.concat(F.regexp_extract(base, "^([^#]*)", 1), ref))
+            .otherwise(F.concat(top, F.regexp_extract(pathname(base), r"^(.*/)", 1), ref))
+        )
+
+    return encode_url(_normal(let(F.btrim(as_column(href), F.lit("\t\n\x0b\f\r ")), joined)))
 
 
 def is_external(absolute_url, page_url) -> Column:

@@ -226,13 +226,13 @@ def contained(
     """
     columns = [c for c in nodes.columns if c != "page_id"]
     payload = F.struct(*["tag", *(outer or [])])
-    no_payload, no_inner = F.expr("null"), F.expr("null")
+    no_payload = F.lit(None)
     spans = F.col("end") > F.col("pos")
 
     def probe(kind: str, tags: str) -> Column:
-        return F.transform(tags, lambda tag: event(kind, tag, "pos", 1, 0, no_payload, row))
+        return F.transform(tags, lambda tag: event(kind, tag, "pos", 1, 0, no_payload, True))
 
-    def event(kind: str, outer_tag: Column, at: str, order: int, step: int, outer: Column, inner: Column) -> Column:
+    def event(kind: str, outer_tag: Column, at: str, order: int, step: int, outer: Column, inner: bool) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"),
             outer_tag.alias("outer_tag"),
@@ -240,7 +240,7 @@ def contained(
             F.lit(order).alias("order"),
             F.lit(step).alias("step"),
             outer.alias("outer"),
-            inner.alias("inner"),
+            *[(F.col(c) if inner else F.lit(None)).alias(f"_{c}") for c in columns],
         )
 
     # Tests become columns first: they are needed several times each.
@@ -260,7 +260,6 @@ def contained(
     marked = nodes.select("*", *[test.alias(name) for name, test in tests.items()]).where(keep)
     marked = marked.select("*", *outer_tags)
 
-    row = F.struct(*columns)
     events = []
     for n, kind in enumerate(pairs):
         tag = F.col("tag")
@@ -268,13 +267,13 @@ def contained(
             F.when(
                 F.col(f"_outer{n}"),
                 F.array(
-                    event(kind, tag, "pos", 2, 1, payload, no_inner), event(kind, tag, "end", 0, -1, no_payload, no_inner)
+                    event(kind, tag, "pos", 2, 1, payload, False), event(kind, tag, "end", 0, -1, no_payload, False)
                 ),
             )
         )
         events.append(F.when(F.col(f"_inner{n}"), probe(kind, f"_tags{n}")))
     for n, kind in enumerate(alone or {}):
-        events.append(F.when(F.col(f"_alone{n}"), F.array(event(kind, F.col("tag"), "pos", 3, 0, payload, row))))
+        events.append(F.when(F.col(f"_alone{n}"), F.array(event(kind, F.col("tag"), "pos", 3, 0, payload, True))))
     flat = marked.select("page_id", F.explode_outer(F.flatten(F.array_compact(F.array(*events)))).alias("e"))
     flat = flat.where("e is not null").select("page_id", "e.*")
 
@@ -291,7 +290,13 @@ def contained(
         by_level.rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        spread.select("page_id", "kind", "step", "order", latest.alias("found"), "inner")
+        spread.select("page_id", "kind", "step", latest.alias("found"), *[f"_{c}" for c in columns])
         .where("step = 0")
-        .select("page_id", "kind", F.col("found.pos").alias("outer_pos"), F.col("found.row").alias("outer"), "inner.*")
+        .select(
+            "page_id",
+            "kind",
+            F.col("found.pos").alias("outer_pos"),
+            F.col("found.row").alias("outer"),
+            *[F.col(f"_{c}").alias(c) for c in columns],
+        )
     )
