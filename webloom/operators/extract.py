@@ -59,11 +59,11 @@ class Rule:
 
     test: Callable[[], Column]
     fields: Callable[[], list[Column]]
-    keep: str = "true"
+    keep: Callable[[Callable[[str], Column]], Column] = lambda f: F.lit(True)
 
     def rows(self, dom: Dom) -> DataFrame:
         picked = with_attrs(with_text(context(dom.nodes).where(self.test()), dom.docs))
-        return picked.select("page_id", "pos", *self.fields()).where(self.keep)
+        return picked.select("page_id", "pos", *self.fields()).where(self.keep(F.col))
 
 
 def with_attrs(elements: DataFrame) -> DataFrame:
@@ -87,8 +87,7 @@ def _id() -> Column:
 
 
 def _attributes(*names: str) -> Column:
-    pairs = [c for name in names for c in (F.lit(name), _a(name))]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: v != "").alias("attributes")
+    return F.struct(*[non_empty(_a(name)).alias(name) for name in names]).alias("attributes")
 
 
 def css_path(tag="tag") -> Column:
@@ -119,7 +118,7 @@ def _links() -> list[Column]:
         href.alias("href"),
         (~F.col("hidden")).alias("is_visible"),
         is_external(href, "url").alias("is_external"),
-        F.create_map(F.lit("href"), href).alias("attributes"),
+        F.struct(href.alias("href")).alias("attributes"),
     ]
 
 
@@ -187,9 +186,13 @@ def _navigation() -> list[Column]:
     ]
 
 
+def _has_text(f: Callable[[str], Column]) -> Column:
+    return f("text") != ""
+
+
 RULES: dict[str, Rule] = {
-    "buttons": Rule(lambda: simple(BUTTONS), _buttons, "text <> ''"),
-    "links": Rule(lambda: simple(LINKS), _links, "text <> '' and href <> ''"),
+    "buttons": Rule(lambda: simple(BUTTONS), _buttons, _has_text),
+    "links": Rule(lambda: simple(LINKS), _links, lambda f: _has_text(f) & (f("href") != "")),
     "landmarks": Rule(lambda: simple(LANDMARKS), _landmarks),
     "headings": Rule(
         lambda: F.col("tag").isin(HEADINGS.split(", ")),
@@ -197,19 +200,24 @@ RULES: dict[str, Rule] = {
             F.substring("tag", 2, 1).cast("int").alias("level"),
             truncate(_text(), HEADING_LIMIT).alias("text"),
         ],
-        "text <> ''",
+        _has_text,
     ),
     "images": Rule(
         lambda: simple(IMAGES),
         _images,
-        "is_visible and coalesce(width, 1) > 0 and coalesce(height, 1) > 0 and "
-        "(coalesce(src, '') <> '' or aria_label is not null)",
+        lambda f: f("is_visible")
+        & (F.coalesce(f("width"), F.lit(1)) > 0)
+        & (F.coalesce(f("height"), F.lit(1)) > 0)
+        & ((F.coalesce(f("src"), F.lit("")) != "") | f("aria_label").isNotNull()),
     ),
     "frames": Rule(lambda: F.col("tag") == "iframe", _frames),
     "navigation": Rule(
         lambda: (F.col("tag") == "a") & has_attr("href"),
         _navigation,
-        "length(text) >= 2 and href <> '' and not startswith(href, '#') and not startswith(href, 'javascript:')",
+        lambda f: (F.length(f("text")) >= 2)
+        & (f("href") != "")
+        & ~F.startswith(f("href"), F.lit("#"))
+        & ~F.startswith(f("href"), F.lit("javascript:")),
     ),
 }
 

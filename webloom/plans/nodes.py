@@ -69,7 +69,7 @@ class Dom:
     """Nodes of a set of pages together with the page-level rows that hold their text.
 
     nodes: page_id, pos, end, tag, raw
-    docs:  page_id, url, texts
+    docs:  page_id, url, texts (decoded run per tag), tokens (raw tag and run)
     """
 
     nodes: DataFrame
@@ -93,9 +93,11 @@ def parse(pages: DataFrame) -> Dom:
     envelope = F.concat(F.coalesce("url", F.lit("")), F.lit(SEAM), clean_html(F.col("html")))
     packed = pages.where("page_id is not null").select("page_id", envelope.alias("packed")).repartition("page_id")
     body = F.substring("packed", F.instr("packed", F.lit(SEAM)) + 1, F.length("packed"))
-    runs = F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(2))
     docs = packed.select(
-        "page_id", F.substring_index("packed", SEAM, 1).alias("url"), decode_runs(runs).alias("texts")
+        "page_id",
+        F.substring_index("packed", SEAM, 1).alias("url"),
+        decode_runs(F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(2))).alias("texts"),
+        F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)).alias("tokens"),
     )
     return Dom(_with_ends(_tokens(packed.select("page_id", body.alias("body")))), docs)
 
@@ -179,8 +181,18 @@ def _with_ends(tokens: DataFrame) -> DataFrame:
 
 def with_text(elements: DataFrame, docs: DataFrame) -> DataFrame:
     """Add the page `url` and each element's textContent as `text`."""
-    text = F.array_join(F.slice("texts", F.col("pos") + 1, F.col("end") - F.col("pos")), "")
-    return elements.join(docs, "page_id").select(*elements.columns, docs["url"], text.alias("text"))
+    runs = docs.select("page_id", F.col("url").alias("_url"), F.col("texts").alias("_texts"))
+    text = F.array_join(F.slice("_texts", F.col("pos") + 1, F.col("end") - F.col("pos")), "")
+    return elements.join(runs, "page_id").select(*elements.columns, F.col("_url").alias("url"), text.alias("text"))
+
+
+def with_html(elements: DataFrame, docs: DataFrame) -> DataFrame:
+    """Add each element's inner HTML as `html`."""
+    tokens = docs.select("page_id", F.col("tokens").alias("_tokens"))
+    own = F.substring(F.get("_tokens", F.col("pos")), F.length("raw") + 1, F.length(F.get("_tokens", F.col("pos"))))
+    rest = F.array_join(F.slice("_tokens", F.col("pos") + 2, F.greatest(F.col("end") - F.col("pos") - 1, F.lit(0))), "")
+    html = F.when(F.col("end") > F.col("pos"), F.concat(own, rest)).otherwise("")
+    return elements.join(tokens, "page_id").select(*elements.columns, html.alias("html"))
 
 
 def with_ancestors(nodes: DataFrame, tests: dict[str, Column]) -> DataFrame:

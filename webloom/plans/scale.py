@@ -24,42 +24,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def split_hot(rows: DataFrame, key: list[str], order: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Add `part`: which range of `order` (a number, unique within the key) a row lies in.
+def range_cuts(rows: DataFrame, key: list[str], order: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """For keys with more than `max_rows` rows: `cuts`, the values of `order` at which to cut them into ranges.
 
-    Keys of up to `max_rows` rows are one part. Larger ones are cut at approximate quantiles, so no part is much
-    larger than `max_rows` whatever the key's share of the data. The cut points come from approximate sketches, so
-    they are written down once; otherwise a task that runs again could see others.
+    Cuts are approximate quantiles, so no range is much larger than `max_rows` whatever the key's share of the data.
+    They come from sketches and are therefore written down; a task that runs again must not see others.
     """
-    counts = rows.groupBy(*key).count().where(F.col("count") > max_rows)
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_rows)
     hot = rows.select(*key, order).join(counts, key)
-    share = F.ceil(F.col("count") / F.lit(max_rows))
-    # One sketch per hot key; 1,000 quantiles bound a part to a thousandth of its key or max_rows, if that is more.
+    # 1,000 quantiles per hot key: a range holds max_rows or a thousandth of its key, whichever is more.
     points = hot.groupBy(*key).agg(
-        F.max(share).alias("share"),
-        F.percentile_approx(order, [i / 1000 for i in range(1, 1000)], 10_000).alias("points"),
+        F.max(F.ceil(F.col("_rows") / F.lit(max_rows))).alias("_share"),
+        F.percentile_approx(order, [i / 1000 for i in range(1, 1000)], 10_000).alias("_points"),
     )
-    step = F.greatest(F.lit(1), F.floor(F.lit(1000) / F.col("share"))).cast("int")
-    cuts = points.select(*key, F.array_distinct(F.filter("points", lambda _, i: (i + 1) % step == 0)).alias("cuts"))
-    cuts = cut(cuts)
-    part = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(order))), F.lit(0))
-    return rows.join(cuts, key, "left").withColumn("part", part).drop("cuts")
+    step = F.greatest(F.lit(1), F.floor(F.lit(1000) / F.col("_share"))).cast("int")
+    chosen = F.array_distinct(F.filter("_points", lambda _, i: (i + 1) % step == 0))
+    return cut(points.select(*key, chosen.alias("cuts")))
 
 
 def number_rows(
     rows: DataFrame, key: list[str], order: str, name: str = "seq", max_rows: int = MAX_ROWS
 ) -> DataFrame:
-    """Number the rows of each key from 0 by `order`, without sorting a whole hot key in one task."""
-    parts = split_hot(rows, key, order, max_rows)
-    sizes = parts.groupBy(*key, "part").count()
-    before = F.sum("count").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*key, "part", F.coalesce(before, F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*key, "part").orderBy(order)) - 1
+    """Number the rows of each key from 0 by `order` (a number, unique within the key).
+
+    Hot keys are cut into ranges that are numbered apart and then shifted by the sizes of the ranges before; no task
+    sorts a whole hot key.
+    """
+    cuts = range_cuts(rows, key, order, max_rows)
+    if cuts.isEmpty():
+        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1).cast("bigint"))
+    part = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(order))), F.lit(0))
+    parts = rows.join(cuts, key, "left").withColumn("_part", part).drop("cuts")
+    sizes = parts.groupBy(*key, "_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*key, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(order)) - 1
     return (
         parts.withColumn("_local", local)
-        .join(offsets, [*key, "part"])
-        .withColumn(name, F.col("_local") + F.col("_before"))
-        .drop("part", "_local", "_before")
+        .join(offsets, [*key, "_part"])
+        .withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint"))
+        .drop("_part", "_local", "_before")
     )
 
 
