@@ -89,8 +89,10 @@ def let(value: Column, body) -> Column:
 def decode_entities(text, attribute: bool = False) -> Column:
     """Replace character references. In attributes a reference needs its semicolon."""
     col = as_column(text)
-    end = ";" if attribute else ";?+"
-    reference = f"&(?:#[0-9]++{end}|#[xX][0-9a-fA-F]++{end}|[a-zA-Z][a-zA-Z0-9]*+{end})"
+    # Some old names also count in text without their semicolon; the longest one wins.
+    bare = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    end, old = (";", "") if attribute else (";?+", "|" + "|".join(bare))
+    reference = f"&(?:#[0-9]++{end}|#[xX][0-9a-fA-F]++{end}|[a-zA-Z][a-zA-Z0-9]*+;{old})"
     parts = F.regexp_extract_all(col, F.lit(reference + "|[^&]++|&"), F.lit(0))
     names = _named_entities()
 

@@ -48,8 +48,8 @@ def link_rows(dom: Dom, spec: dict[str, Any] | None = None) -> DataFrame:
         link_score().alias("priority"),
         F.explode(F.array_compact(F.array(*found))).alias("link"),
     ).select("page_id", "page_url", "pos", "link.url", "text", "link.follow", "priority", "link.filter")
-    passes = F.col("filter").isNull() | F.col("url").rlike(F.col("filter"))
-    return spread.where(passes & F.col("url").rlike("^(?i)https?://")).drop("filter")
+    passes = F.col("filter").isNull() | F.rlike("url", F.col("filter"))
+    return spread.where(passes & F.col("url").rlike("(?i)^https?://")).drop("filter")
 
 
 def allowed(links: DataFrame, spec: dict[str, Any]) -> DataFrame:
