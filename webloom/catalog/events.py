@@ -273,7 +273,7 @@ SELECT type, CASE type WHEN 'click' THEN TRUE WHEN 'input' THEN value = 'v' || e
     WHEN 'navigate' THEN value = 'https://x.example/' || event_id % 4 WHEN 'wait' THEN TRUE ELSE FALSE END AS verified,
   CASE type WHEN 'click' THEN TRUE END AS url_changed, count(*) AS actions
 FROM log GROUP BY ALL""",
-    "verify_navigate": "SELECT page_id, page_id % 5 <> 2 AS arrived FROM pages",
+    "verify_navigate": "SELECT page_id, page_id % 5 <> 2 OR regexp_matches(url, '[?#]') AS arrived FROM pages",
     "text_matches": """
 SELECT doc_id, CAST(coalesce(lang = next_lang, FALSE) AS BIGINT) AS similarity FROM documents
 LEFT JOIN (SELECT doc_id - 1 AS doc_id, lang AS next_lang FROM documents) USING (doc_id)""",

@@ -172,7 +172,7 @@ def event_values(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"),
         F.col("event_id").alias("seq"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         "event_type",
         F.get_json_object("props", "$.k").alias("k"),
         "value",

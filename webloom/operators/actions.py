@@ -27,56 +27,65 @@ from webloom.functions.url import escape_css
 _S = JS_SPACE_CLASS
 
 
+# While a message is parsed, an action is an array with its 11 fields as text: one small expression per way, where a
+# struct would be taken apart and repeated field by field.
+
+
 def _action(**fields: Column) -> Column:
-    """The 11 fields of an action, absent ones null."""
-    types = {"maxWait": "double"}
-    return F.struct(
-        *[fields.get(f, F.lit(None)).cast(types.get(f, "string")).alias(f) for f in FIELDS]
-    )
+    return F.array(*[fields.get(f, F.lit(None)).cast("string") for f in FIELDS])
+
 
+def _wait(milliseconds: int) -> Column:
+    return F.lit(str(float(milliseconds)))
 
-def _normal(get) -> Column:
+
+def _normal(get, **changed: Column) -> Column:
     """The parsed object with its defaults; `get(name)` gives a field as text."""
-    return _action(
-        **{f: get(f) for f in FIELDS if f not in ("element", "selectorType", "maxWait")},
-        element=F.coalesce(non_empty(get("element")), get("selector")),
-        selectorType=F.coalesce(non_empty(get("selectorType")), F.lit("css")),
-        maxWait=F.coalesce(get("maxWait").try_cast("double"), F.lit(float(PARSED_WAIT))),
-    )
+    fields = {f: get(f) for f in FIELDS}
+    fields["element"] = F.coalesce(non_empty(get("element")), get("selector"))
+    fields["selectorType"] = F.coalesce(non_empty(get("selectorType")), F.lit("css"))
+    fields["maxWait"] = F.coalesce(get("maxWait").try_cast("double").cast("string"), _wait(PARSED_WAIT))
+    return _action(**{**fields, **changed})
+
+
+def _untyped() -> Column:
+    return _action(selectorType=F.lit("css"), maxWait=_wait(PARSED_WAIT))
 
 
 def _variant_field(value: Column):
     return lambda name: F.try_variant_get(value, f"$.{name}", "string")
 
 
+def _kind(value: Column, name: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")), F.lit("VOID"))
+
+
 def _whole_json(text: Column) -> Column:
     """The message is JSON. Objects whose `type` is not text do not count, nor do clicks on nothing with an odd value;
     what is not an object gives an action with no type."""
-    value = F.try_parse_json(text)
 
     def parse(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        type_kind = F.schema_of_variant(F.try_variant_get(v, "$.type", "variant"))
         get = _variant_field(v)
-        is_object = kind.startswith("OBJECT")
-        bad_type = is_object & ~F.coalesce(type_kind, F.lit("VOID")).isin("STRING", "VOID")
+        is_object = F.schema_of_variant(v).startswith("OBJECT")
         bare_click = (F.lower(get("type")) == "click") & (F.coalesce(get("element"), F.lit("")) == "")
-        value_kind = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.value", "variant")), F.lit("VOID"))
-        odd_value = bare_click & ~value_kind.isin("STRING", "VOID") & ~get("value").isin("0", "false")
-        link = bare_click & F.startswith(get("value"), F.lit("a."))
-        plain = _normal(get)
+        odd_value = bare_click & ~_kind(v, "value").isin("STRING", "VOID") & ~get("value").isin("0", "false")
+        bad = ~_kind(v, "type").isin("STRING", "VOID") | F.coalesce(odd_value, F.lit(False))
         href = escape_css(trim_js(F.substring(get("value"), 3, 1 << 20)))
-        as_link = plain.withField("element", F.concat(F.lit('a[href="'), href, F.lit('"]')))
-        as_link = as_link.withField("description", get("value")).withField("value", F.lit(None).cast("string"))
-        untyped = _action(selectorType=F.lit("css"), maxWait=F.lit(float(PARSED_WAIT)))
+        as_link = _normal(
+            get,
+            element=F.concat(F.lit('a[href="'), href, F.lit('"]')),
+            description=get("value"),
+            value=F.lit(None),
+        )
         return (
-            F.when(v.isNull() | F.is_variant_null(v) | bad_type | F.coalesce(odd_value, F.lit(False)), None)
-            .when(~is_object, untyped)
-            .when(F.coalesce(link, F.lit(False)), as_link)
-            .otherwise(plain)
+            F.when(v.isNull() | F.is_variant_null(v), None)
+            .when(~is_object, _untyped())
+            .when(bad, None)
+            .when(F.coalesce(bare_click & F.startswith(get("value"), F.lit("a.")), F.lit(False)), as_link)
+            .otherwise(_normal(get))
         )
 
-    return parse(value)
+    return let(F.try_parse_json(text), parse)
 
 
 def _embedded_json(text: Column) -> Column:
@@ -99,21 +108,22 @@ def _key_values(text: Column) -> Column:
     )
 
 
-def _from_pairs(pairs: Column) -> Column:
+def _from_pairs(text: Column) -> Column:
     """An action from pairs that name a type, or an action where no type is given. Keys are lower case here, so
     the camel-case fields are never found."""
 
-    def last(name: str) -> Column:
-        return F.get(pairs["values"], F.nullif(F.array_position(pairs["keys"], name), F.lit(0)).cast("int") - 1)
+    def action(pairs: Column) -> Column:
+        def last(name: str) -> Column:
+            return F.get(pairs["values"], F.nullif(F.array_position(pairs["keys"], name), F.lit(0)).cast("int") - 1)
 
-    def get(name: str) -> Column:
-        if name != name.lower():
-            return F.lit(None).cast("string")
-        if name == "type":
-            return F.coalesce(last("type"), last("action"))
-        return last(name)
+        def get(name: str) -> Column:
+            if name != name.lower():
+                return F.lit(None).cast("string")
+            return F.coalesce(last("type"), last("action")) if name == "type" else last(name)
 
-    return F.when(F.arrays_overlap(pairs["keys"], F.array(F.lit("type"), F.lit("action"))), _normal(get))
+        return F.when(F.arrays_overlap(pairs["keys"], F.array(F.lit("type"), F.lit("action"))), _normal(get))
+
+    return let(_key_values(text), action)
 
 
 def _loose(text: Column, mode: str) -> Column:
@@ -142,7 +152,7 @@ def _loose(text: Column, mode: str) -> Column:
             value=F.when(asks, F.coalesce(after("question"), F.lit(DEFAULT_QUESTION))),
             direction=F.when(kind == "scroll", F.when(~down & up, F.lit("up")).otherwise(F.lit("down"))),
             selectorType=F.lit("css"),
-            maxWait=F.lit(float(PARSED_WAIT)),
+            maxWait=_wait(PARSED_WAIT),
         )
 
     return let(word, lambda kind: F.when(kind.isNotNull(), action(kind)))
@@ -155,7 +165,7 @@ def _help(text: Column) -> Column:
     return F.when(
         asks,
         _action(
-            type=F.lit("sendHumanMessage"), question=question, selectorType=F.lit("css"), maxWait=F.lit(float(HELP_WAIT))
+            type=F.lit("sendHumanMessage"), question=question, selectorType=F.lit("css"), maxWait=_wait(HELP_WAIT)
         ),
     )
 
@@ -167,22 +177,32 @@ def parse_actions(messages: DataFrame, text: str = "text", mode: str = "referenc
     """
     if mode not in ("reference", "intended"):
         raise ValueError(f"unknown mode: {mode}")
-    kept = messages.columns
-    message = F.when(trim_js(text) != "", F.col(text))
-    out = messages.select("*", _whole_json(message).alias("_json"))
-    left = F.col("_json").isNull()
-    out = out.select("*", F.when(left, _embedded_json(message)).alias("_embedded"))
-    left = left & F.col("_embedded").isNull()
-    out = out.select("*", F.when(left, _key_values(message)).alias("_pairs"))
-    out = out.select("*", F.when(left, _from_pairs(F.col("_pairs"))).alias("_key_value"))
-    left = left & F.col("_key_value").isNull()
-    out = out.select("*", F.when(left, _loose(message, mode)).alias("_loose"))
-    left = left & F.col("_loose").isNull()
-    out = out.select("*", F.when(left, _help(message)).alias("_help"))
-    ways = ["_json", "_embedded", "_key_value", "_loose", "_help"]
-    names = ["json", "embedded_json", "key_value", "loose", "help"]
-    method = F.coalesce(*[F.when(F.col(w).isNotNull(), F.lit(n)) for w, n in zip(ways, names, strict=True)])
-    return out.select(*kept, F.coalesce(*ways).alias("action"), method.alias("method"))
+    ways = [
+        ("json", _whole_json),
+        ("embedded_json", _embedded_json),
+        ("key_value", _from_pairs),
+        ("loose", lambda t: _loose(t, mode)),
+        ("help", _help),
+    ]
+
+    def first_of(message: Column, rest) -> Column:
+        (name, way), *others = rest
+        nothing = F.lit(None) if not others else first_of(message, others)
+        return let(
+            way(message),
+            lambda fields: F.when(
+                fields.isNotNull(), F.struct(F.lit(name).alias("method"), fields.alias("fields"))
+            ).otherwise(nothing),
+        )
+
+    parsed = let(F.col(text), lambda message: F.when(trim_js(message) != "", first_of(message, ways)))
+    fields = [F.get("_parsed.fields", F.lit(i)).alias(f) for i, f in enumerate(FIELDS)]
+    fields = [f.cast("double").alias("maxWait") if n == "maxWait" else f for f, n in zip(fields, FIELDS, strict=True)]
+    return messages.select("*", parsed.alias("_parsed")).select(
+        *messages.columns,
+        F.when(F.col("_parsed").isNotNull(), F.struct(*fields)).alias("action"),
+        F.col("_parsed.method").alias("method"),
+    )
 
 
 def unparsed(parsed: DataFrame) -> DataFrame:

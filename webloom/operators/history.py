@@ -220,7 +220,8 @@ def verify_actions(log: DataFrame, current_url: str = "current_url", observed: s
 def run_stats(log: DataFrame) -> DataFrame:
     """Per session: total and successful actions, success rate, and duration in whole seconds."""
     total, good = F.count("*"), F.count(F.when(F.col("result") == "success", 1))
-    span = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = F.max(at) - F.min(at)
     return log.groupBy("session_id").agg(
         total.alias("total_actions"),
         good.alias("successful_actions"),
