@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from webloom.catalog import events, pages, rendered
+    from webloom.catalog import events, pages, rendered, resolution
 
-    return [pages, rendered, events]
+    return [pages, rendered, events, resolution]
 
 
 def all_queries():
