@@ -14,7 +14,8 @@ JS_SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-JS_SPACE_CLASS = "[" + JS_SPACE + "]"
+# The same set for patterns. Ranges keep the class small: it is tested for every character of a text.
+JS_SPACE_CLASS = "[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028-\u2029\u202f\u205f\u3000\ufeff]"
 
 # Marks the seams between text runs while a page's text is decoded in one go.
 SEAM = "\u0001"
@@ -48,12 +49,26 @@ def contains_ci(haystack, needle) -> Column:
     return F.contains(F.lower(as_column(haystack)), F.lower(as_column(needle)))
 
 
-def _named_entities() -> Column:
-    # The usual ones first: a map lookup scans from the front.
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value worked out once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# Separates the entries of the entity table.
+_ENTRY = "\u0002"
+
+
+def _named_entity(ref: Column) -> Column:
+    """Look a name up in the HTML table, kept as one text: a map of its 2,231 names would be far more to ship."""
+    # The usual ones first: the search scans from the front.
     usual = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "middot;", "hellip;", "mdash;", "ndash;"]
-    table = {name: html.entities.html5[name] for name in usual}
-    table.update(html.entities.html5)
-    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+    names = dict.fromkeys([*usual, *html.entities.html5])
+    table = F.lit(_ENTRY + "".join(f"{name}={html.entities.html5[name]}{_ENTRY}" for name in names))
+    entry = F.concat(F.lit(_ENTRY), ref, F.lit("="))
+    return let(
+        F.instr(table, entry),
+        lambda at: F.when(at > 0, F.substring_index(F.substring(table, at + F.length(entry), F.lit(8)), _ENTRY, 1)),
+    )
 
 
 def _windows_1252() -> dict[int, str]:
@@ -81,11 +96,6 @@ def _numeric_entity(ref: Column) -> Column:
     )
 
 
-def let(value: Column, body) -> Column:
-    """`body(value)` with the value worked out once, however often the body mentions it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def decode_entities(text, attribute: bool = False) -> Column:
     """Replace character references. In attributes a reference needs its semicolon."""
     col = as_column(text)
@@ -94,13 +104,11 @@ def decode_entities(text, attribute: bool = False) -> Column:
     end, old = (";", "") if attribute else (";?+", "|" + "|".join(bare))
     reference = f"&(?:#[0-9]++{end}|#[xX][0-9a-fA-F]++{end}|[a-zA-Z][a-zA-Z0-9]*+;{old})"
     parts = F.regexp_extract_all(col, F.lit(reference + "|[^&]++|&"), F.lit(0))
-    names = _named_entities()
 
     def one(part: Column) -> Column:
         ref = F.substring(part, 2, 40)
-        value = F.when(part.startswith("&#"), F.when(F.length(part) > 2, _numeric_entity(ref))).otherwise(
-            F.try_element_at(names, ref)
-        )
+        numeric = F.when(F.length(part) > 2, _numeric_entity(ref))
+        value = F.when(part.startswith("&#"), numeric).otherwise(_named_entity(ref))
         return F.when(part.startswith("&"), F.coalesce(value, part)).otherwise(part)
 
     # Without a reference the text comes back as it is, in one part.

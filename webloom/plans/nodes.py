@@ -83,15 +83,23 @@ class Dom:
     @staticmethod
     def load(spark, path: str) -> Dom:
         """Read saved tables back, partitioned by page again (one exchange each)."""
-        nodes = spark.read.parquet(f"{path}/nodes").repartition("page_id")
-        return Dom(nodes, spark.read.parquet(f"{path}/docs").repartition("page_id"))
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        nodes, docs = (spark.read.parquet(f"{path}/{name}").repartition(partitions, "page_id") for name in ("nodes", "docs"))
+        return Dom(nodes, docs)
 
 
-def parse(pages: DataFrame) -> Dom:
-    """Nodes and text runs of `pages(page_id, url, html)`."""
+def parse(pages: DataFrame, partitions: int | None = None) -> Dom:
+    """Nodes and text runs of `pages(page_id, url, html)`.
+
+    `partitions` defaults to spark.sql.shuffle.partitions. It is given to Spark as a number because the sizes that
+    adaptive execution sees are those of the HTML, while the work is that of its many more tokens: merging small
+    partitions here would idle cores. As a rule, one partition per 128 MB of stored pages.
+    """
+    partitions = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # URL and HTML travel as one string: nodes and docs then need the very same exchange, which Spark reuses.
     envelope = F.concat(F.coalesce("url", F.lit("")), F.lit(SEAM), clean_html(F.col("html")))
-    packed = pages.where("page_id is not null").select("page_id", envelope.alias("packed")).repartition("page_id")
+    packed = pages.where("page_id is not null").select("page_id", envelope.alias("packed"))
+    packed = packed.repartition(partitions, "page_id")
     body = F.substring("packed", F.instr("packed", F.lit(SEAM)) + 1, F.length("packed"))
     docs = packed.select(
         "page_id",
