@@ -120,7 +120,7 @@ def test_registry(dom_of):
 def test_page_state_and_empty_pages(spark, dom_of):
     rows = [(1, "http://a.b/", PAGE), (2, "http://a.b/2", "  "), (3, "http://a.b/3", "<p>1<p>2<div>3</div><iframe></iframe>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    state = rows_of(snapshot.page_state(pages, parse(pages)).select("title", "links_count", "error", "is_navigating"), "page_id")
+    state = rows_of(snapshot.page_state(parse(pages)).select("title", "links_count", "error", "is_navigating"), "page_id")
     assert state == [("A b", 3, None, False), ("Unknown", None, "Failed to extract page content", True), ("", 0, None, False)]
     empty = rows_of(snapshot.empty_page_check(parse(pages)).select("page_id", "iframe_count", "body_children"), "page_id")
     assert empty == [(2, 0, 0), (3, 1, 4)]
@@ -129,7 +129,7 @@ def test_page_state_and_empty_pages(spark, dom_of):
 def test_compact_caps(spark):
     html = "".join(f'<a href="/{i}">link {i}</a>' for i in range(40)) + '<a rel=next href="/n">go on</a><a href="/2">2</a><a href="/3">3</a>'
     pages = spark.createDataFrame([(1, "http://a.b/", html)], "page_id bigint, url string, html string")
-    snap = snapshot.compact_snapshot(pages, parse(pages)).first()
+    snap = snapshot.compact_snapshot(parse(pages)).first()
     assert len(snap.controls) == 30 and snap.controls[0].ref_id == "n1"
     assert [p.name for p in snap.pagination] == ["go on", "2"]
     assert 0 < snap.hints.text_density < 1 and snap.hints.link_density == 1.0

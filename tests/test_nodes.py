@@ -177,3 +177,32 @@ def test_saved_nodes(spark, dom_of, tmp_path):
     dom = dom_of('<a href="/x">t</a>')
     dom.save(str(tmp_path))
     assert rows_of(extract.links(Dom.load(spark, str(tmp_path)))) == rows_of(extract.links(dom))
+
+
+def test_bucketed_tables_are_read_without_exchange(spark, tmp_path):
+    from webloom.operators import extract
+    from webloom.plans.nodes import Dom
+
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS saved LOCATION '{tmp_path}'")
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    parse(pages).save_tables("saved.site", 4)
+    try:
+        links = extract.links(Dom.from_tables(spark, "saved.site"))
+        assert "Exchange hashpartitioning" not in plan_of(links)
+        assert sorted(rows_of(links)) == sorted(rows_of(extract.links(parse(pages))))
+    finally:
+        spark.sql("DROP DATABASE saved CASCADE")
+
+
+def test_skewed_join(spark):
+    from webloom.plans.scale import skew_join
+
+    left = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id % 7) AS k", "cast(id AS string) AS r")
+    right = spark.createDataFrame([(0, "a"), (0, "b"), (3, "c")], "k bigint, v string")
+    for how in ("inner", "left"):
+        got = skew_join(left, right, "k", "r", how, max_rows=100)
+        assert sorted(rows_of(got.select("k", "r", "v")), key=str) == sorted(rows_of(left.join(right, "k", how).select("k", "r", "v")), key=str)
+
+
+def test_seam_characters_in_pages_do_no_harm(dom_of):
+    assert texts(dom_of(("http://a\u0001b/", "<p>a\u0001b</p><p>c</p>")), "p") == [("p", "ab"), ("p", "c")]

@@ -138,13 +138,13 @@ def _scraped(spark, sf_dir):
 
 def scrape_products(spark, sf_dir):
     pages = fx.product_pages(spark, sf_dir)
-    items, _ = scrape.scrape(pages, parse(pages), STORE_SPEC)
+    items, _ = scrape.scrape(pages, STORE_SPEC)
     return items.select("page_id", "page_url", "data.*")
 
 
 def scrape_second_dialect(spark, sf_dir):
     pages = fx.product_pages(spark, sf_dir)
-    items, _ = scrape.scrape(pages, parse(pages), LINK_SPEC)
+    items, _ = scrape.scrape(pages, LINK_SPEC)
     return items.select("page_id", "data.*")
 
 
@@ -165,7 +165,7 @@ def scrape_first_items(spark, sf_dir):
     """maxPages and maxItems: the first items of the first pages."""
     spec = {**STORE_SPEC, "target": {**STORE_SPEC["target"], "maxPages": 3, "maxItems": 40}}
     pages = fx.product_pages(spark, sf_dir)
-    items, _ = scrape.scrape(pages, parse(pages), spec)
+    items, _ = scrape.scrape(pages, spec)
     return items.select("page_id", "data.title", "data.price")
 
 

@@ -138,25 +138,23 @@ def page_chain(dom: Dom, selector: str, max_pages: int | None = None) -> DataFra
         .distinct()
         .join(before, "url", "left")
         .select("url", "back", F.col("url").alias("root"), F.when(F.col("back").isNull(), 0).otherwise(1).alias("steps"))
-        .select("url", "back", F.coalesce("back", "root").alias("root"), "steps")
     )
-    span, total = 1, hops.count()
-    while span < total:
-        far = hops.select(
-            F.col("url").alias("back"), F.col("back").alias("_back"), F.col("root").alias("_root"), F.col("steps").alias("_steps")
+    # Rows that have reached their first page (root, steps away) leave the joins; the others know the page `back`, steps
+    # away, and take over what that page knows.
+    done, active = hops.where("back is null"), hops.where("back is not null")
+    reach, total = 1, hops.count()
+    while reach < total and not active.isEmpty():
+        known = done.unionByName(active).select(
+            F.col("url").alias("back"), F.col("back").alias("_back"), "root", F.col("steps").alias("_steps")
         )
-        hops = cut(
-            hops.join(far, "back", "left").select(
-                "url",
-                F.col("_back").alias("back"),
-                F.coalesce("_root", "root").alias("root"),
-                (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-            )
+        moved = cut(
+            active.select("url", "back", "steps")
+            .join(known, "back")
+            .select("url", F.col("_back").alias("back"), "root", (F.col("steps") + F.col("_steps")).alias("steps"))
         )
-        span *= 2
-        if hops.where("back is not null").isEmpty():
-            break
-    place = hops.select(
+        done, active = done.unionByName(moved.where("back is null")), moved.where("back is not null")
+        reach *= 2
+    place = done.unionByName(active).select(
         "url",
         F.when(F.col("back").isNull(), F.col("root")).alias("first_url"),
         F.when(F.col("back").isNull(), F.col("steps") + 1).alias("position"),

@@ -17,6 +17,7 @@ from webloom.functions.css import match, simple
 from webloom.functions.text import collapse_ws, contains_ci, non_empty, trim_js
 from webloom.operators.extract import context, css_path, with_attrs
 from webloom.plans.nodes import Dom, with_text
+from webloom.plans.scale import skew_join
 
 # Strategies by priority.
 STRATEGIES = {
@@ -215,9 +216,16 @@ def _mentions(element: Column, word: str) -> Column:
     return F.coalesce(F.contains(F.lower(element), F.lit(word)), F.lit(False))
 
 
+def _value_that_matters(action: str = "action") -> Column:
+    """An action's value, where some strategy looks at it: texts typed into fields do not make requests differ."""
+    named = _mentions(F.col(f"{action}.element"), "a[href") | _mentions(F.col(f"{action}.element"), "button")
+    return F.when((F.col(f"{action}.type") == "click") & named, F.col(f"{action}.value"))
+
+
 def _request_key(action: str = "action") -> Column:
-    part = lambda f: F.coalesce(F.concat(F.lit("="), F.col(f"{action}.{f}")), F.lit("-"))
-    return F.concat_ws("\u0001", part("type"), part("element"), part("value"))
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    fields = [F.col(f"{action}.type"), F.col(f"{action}.element"), _value_that_matters(action)]
+    return F.concat_ws("\u0001", *[part(f) for f in fields])
 
 
 def _can_handle() -> dict[str, Column]:
@@ -274,7 +282,7 @@ def _resolve_requests(requests: DataFrame, dom: Dom) -> DataFrame:
     named = F.coalesce(contains_ci("name", "want_name"), F.lit(False))
     linked = F.coalesce(F.col("is_a") & F.contains("href", F.col("want_href")), F.lit(False))
     by_text = (
-        by_text.join(controls, "page_id")
+        skew_join(by_text, controls, "page_id", "request")
         .where(named | linked)
         .groupBy("page_id", "request")
         .agg(
@@ -286,11 +294,8 @@ def _resolve_requests(requests: DataFrame, dom: Dom) -> DataFrame:
         )
     )
 
-    joined = (
-        asked.join(by_selector, ["page_id", "request"], "left")
-        .join(by_text, ["page_id", "request"], "left")
-        .join(_page_facts(dom), "page_id", "left")
-    )
+    joined = asked.join(by_selector, ["page_id", "request"], "left").join(by_text, ["page_id", "request"], "left")
+    joined = skew_join(joined, _page_facts(dom), "page_id", "request", "left")
     quote = lambda before, column, after: F.concat(F.lit(before), column, F.lit(after))
     at = lambda pos, selector: F.when(F.col(pos).isNotNull(), F.struct(F.col(pos).alias("pos"), selector.alias("selector")))
     url = F.regexp_extract("element", r"""(?i)a\[href=["']([^"']+)["']\]""", 1)
@@ -348,7 +353,7 @@ def resolve_elements(actions: DataFrame, dom: Dom) -> DataFrame:
     the trace of strategies tried."""
     keyed = actions.withColumn("_request", _request_key())
     requests = keyed.select(
-        "page_id", F.col("_request").alias("request"), "action.type", "action.element", "action.value"
+        "page_id", F.col("_request").alias("request"), "action.type", "action.element", _value_that_matters().alias("value")
     ).dropDuplicates(["page_id", "request"])
     resolved = _resolve_requests(requests, dom).select(
         "page_id", F.col("request").alias("_request"), "pos", "strategy", "selector", "unsupported_selector", "trace"

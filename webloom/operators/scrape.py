@@ -12,7 +12,7 @@ from webloom.functions.css import match, parse_selector
 from webloom.functions.text import non_empty, trim_js
 from webloom.functions.url import origin, resolve_url
 from webloom.operators.extract import with_attrs
-from webloom.plans.nodes import Dom, contained, with_html, with_text
+from webloom.plans.nodes import Dom, contained, parse, with_html, with_text
 
 
 def extract_currency(text: Column) -> Column:
@@ -197,11 +197,9 @@ def errors(rows: DataFrame) -> DataFrame:
     )
 
 
-def scrape(pages: DataFrame, dom: Dom, spec: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
-    """Items and errors of the pages a spec selects."""
-    chosen = select_pages(pages, spec).select("page_id")
-    kept = Dom(dom.nodes.join(chosen, "page_id", "left_semi"), dom.docs)
-    rows = scraped(kept, spec)
+def scrape(pages: DataFrame, spec: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
+    """Items and errors of the pages a spec selects; other pages are dropped before any parsing."""
+    rows = scraped(parse(select_pages(pages, spec)), spec)
     return items(rows, spec), errors(rows)
 
 

@@ -151,11 +151,11 @@ def snapshot_stats(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def page_state(pages: DataFrame, dom: Dom) -> DataFrame:
+def page_state(dom: Dom) -> DataFrame:
     """url, title and number of elements per category; pages without HTML get an error instead."""
     flat = extract_specific(dom, ["title", *ELEMENT_CATEGORIES])
     counts = [F.size(c).cast("bigint").alias(f"{c}_count") for c in ELEMENT_CATEGORIES]
-    blank = pages.select("page_id", (trim_js(F.coalesce("html", F.lit(""))) == "").alias("blank"))
+    blank = dom.docs.select("page_id", "blank")
     return (
         flat.select("page_id", "url", "title", *counts)
         .join(blank, "page_id")
@@ -287,24 +287,21 @@ def compact_forms(dom: Dom, limit: int = MAX_FORMS, max_fields: int = MAX_FORM_F
     )
 
 
-def page_hints(pages: DataFrame, dom: Dom) -> DataFrame:
+def page_hints(dom: Dom) -> DataFrame:
     """Text per HTML character, and link text per text character."""
-    total = dom.docs.select("page_id", F.length(F.array_join("texts", "")).alias("chars"))
+    total = dom.docs.select("page_id", F.col("html_length").alias("html_chars"), F.length(F.array_join("texts", "")).alias("chars"))
     links = with_text(dom.nodes.where("tag = 'a'"), dom.docs).groupBy("page_id").agg(
         F.sum(F.length("text")).alias("link_chars")
     )
-    size = pages.select("page_id", F.length("html").alias("html_chars"))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.nullif(F.col(b), F.lit(0))), F.lit(0.0))
     return (
-        total.join(links, "page_id", "left")
-        .join(size, "page_id")
-        .select(
+        total.join(links, "page_id", "left").select(
             "page_id", ratio("chars", "html_chars").alias("text_density"), ratio("link_chars", "chars").alias("link_density")
         )
     )
 
 
-def compact_snapshot(pages: DataFrame, dom: Dom) -> DataFrame:
+def compact_snapshot(dom: Dom) -> DataFrame:
     """url, title, headings, lists, controls, pagination, forms and hints, each within its cap."""
     out = extract_specific(dom, ["title", "headings"]).select(
         "page_id", "url", "title", F.transform("headings", lambda h: h["text"]).alias("headings")
@@ -320,6 +317,6 @@ def compact_snapshot(pages: DataFrame, dom: Dom) -> DataFrame:
         grouped = rows.groupBy("page_id").agg(_sorted_items(F.struct(*fields), F.lit(True), [F.col("rank")]).alias(name))
         out = out.join(grouped, "page_id", "left")
     filled = [F.coalesce(F.col(n), F.array()).alias(n) for n in parts]
-    return out.join(page_hints(pages, dom), "page_id").select(
+    return out.join(page_hints(dom), "page_id").select(
         "page_id", "url", "title", "headings", *filled, F.struct("text_density", "link_density").alias("hints")
     )

@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.attrs import attr, has_attr
-from webloom.functions.text import SEAM, decode_runs
+from webloom.functions.text import SEAM, decode_runs, trim_js
 
 _IN_TAG = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
 _TAG = rf"<(?:/?[a-zA-Z]{_IN_TAG}|[!?/][^>]*+)>"
 _TOKEN = rf"({_TAG})((?:[^<]++|<(?!{_TAG[1:]}))*+)"
-# Comments go; script, style and noscript keep their tags and lose their body.
-_DROPPED = rf"(?is)<!--.*?(?:-->|\z)|(<(script|style|noscript)\b{_IN_TAG}>).*?(</\2\s*+>|\z)"
+# Comments and the seam character go; script, style and noscript keep their tags and lose their body.
+_DROPPED = rf"(?is)\x01|<!--.*?(?:-->|\z)|(<(script|style|noscript)\b{_IN_TAG}>).*?(</\2\s*+>|\z)"
 
 # Element names from the HTML standard.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
@@ -45,7 +45,7 @@ FAMILIES = {
 
 def clean_html(html) -> Column:
     """HTML without comments and script bodies, led by an empty declaration that owns any leading text."""
-    return F.concat(F.lit("<!>"), F.regexp_replace(F.coalesce(html, F.lit("")), _DROPPED, "$1$3"))
+    return F.concat(F.lit("<!>"), F.regexp_replace(html, _DROPPED, "$1$3"))
 
 
 def _family(tag: Column) -> Column:
@@ -69,7 +69,7 @@ class Dom:
     """Nodes of a set of pages together with the page-level rows that hold their text.
 
     nodes: page_id, pos, end, tag, raw
-    docs:  page_id, url, texts (decoded run per tag), tokens (raw tag and run)
+    docs:  page_id, url, html_length, blank, texts (decoded run per tag), tokens (raw tag and run)
     """
 
     nodes: DataFrame
@@ -87,6 +87,16 @@ class Dom:
         nodes, docs = (spark.read.parquet(f"{path}/{name}").repartition(partitions, "page_id") for name in ("nodes", "docs"))
         return Dom(nodes, docs)
 
+    def save_tables(self, name: str, buckets: int) -> None:
+        """Write both as catalog tables bucketed by page: reading them back needs no exchange at all."""
+        for part, rows in (("nodes", self.nodes), ("docs", self.docs)):
+            writer = rows.write.mode("overwrite").bucketBy(buckets, "page_id").sortBy("page_id")
+            writer.saveAsTable(f"{name}_{part}")
+
+    @staticmethod
+    def from_tables(spark, name: str) -> Dom:
+        return Dom(spark.table(f"{name}_nodes"), spark.table(f"{name}_docs"))
+
 
 def parse(pages: DataFrame, partitions: int | None = None) -> Dom:
     """Nodes and text runs of `pages(page_id, url, html)`.
@@ -96,14 +106,24 @@ def parse(pages: DataFrame, partitions: int | None = None) -> Dom:
     partitions here would idle cores. As a rule, one partition per 128 MB of stored pages.
     """
     partitions = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # URL and HTML travel as one string: nodes and docs then need the very same exchange, which Spark reuses.
-    envelope = F.concat(F.coalesce("url", F.lit("")), F.lit(SEAM), clean_html(F.col("html")))
+    # URL, HTML and two facts about it travel as one string: nodes and docs then need the very same exchange, which
+    # Spark reuses, and the stored HTML is read once.
+    html = F.coalesce("html", F.lit(""))
+    head = [
+        F.replace(F.coalesce("url", F.lit("")), F.lit(SEAM), F.lit("")),
+        F.length(html).cast("string"),
+        F.when(trim_js(html) == "", F.lit("blank")).otherwise(F.lit("")),
+    ]
+    envelope = F.concat_ws(SEAM, *head, clean_html(html))
     packed = pages.where("page_id is not null").select("page_id", envelope.alias("packed"))
     packed = packed.repartition(partitions, "page_id")
-    body = F.substring("packed", F.instr("packed", F.lit(SEAM)) + 1, F.length("packed"))
+    field = lambda n: F.substring_index(F.substring_index("packed", SEAM, n), SEAM, -1)
+    body = F.substring("packed", F.length(F.substring_index("packed", SEAM, 3)) + 2, F.length("packed"))
     docs = packed.select(
         "page_id",
-        F.substring_index("packed", SEAM, 1).alias("url"),
+        field(1).alias("url"),
+        field(2).cast("int").alias("html_length"),
+        (field(3) == "blank").alias("blank"),
         decode_runs(F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(2))).alias("texts"),
         F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)).alias("tokens"),
     )

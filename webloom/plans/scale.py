@@ -67,6 +67,22 @@ def number_rows(
     )
 
 
+def skew_join(
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """Join on `key` when one key may own a large share of `left`. Left rows of a hot key are dealt out by `spread_by`
+    over as many parts as it needs, and its right rows are copied to each part; other keys are joined as usual.
+
+    Part counts follow from exact row counts, so both sides always agree on them.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_rows)
+    hot = counts.select(key, F.ceil(F.col("_rows") / max_rows).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread_by), parts).cast("int"))
+    copied = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("_parts").join(copied.drop("_parts"), [key, "_part"], how).drop("_part")
+
+
 def with_previous(
     rows: DataFrame, key: list[str], seq: str, payload: Column, back: int, name: str = "previous", block: int = 65_536
 ) -> DataFrame:
