@@ -139,7 +139,7 @@ def verified_actions(spark, sf_dir):
     current = F.concat(F.lit("https://x.example/"), number.cast("string"), F.lit("?from=log"))
     observed = F.concat(F.lit("v"), number.cast("string"))
     rows = log.withColumn("current_url", current).withColumn("observed_value", observed)
-    return history.verify_actions(rows).groupBy("action.type", "verified", "url_changed").agg(F.count("*").alias("actions"))
+    return history.verify_actions(rows).groupBy("action.type", "verified", F.col("url_changed").cast("string").alias("url_changed")).agg(F.count("*").alias("actions"))
 
 
 def verify_navigate(spark, sf_dir):
@@ -271,7 +271,7 @@ FROM log GROUP BY 1""",
 WITH {_LOG}
 SELECT type, CASE type WHEN 'click' THEN TRUE WHEN 'input' THEN value = 'v' || event_id % 4
     WHEN 'navigate' THEN value = 'https://x.example/' || event_id % 4 WHEN 'wait' THEN TRUE ELSE FALSE END AS verified,
-  CASE type WHEN 'click' THEN TRUE END AS url_changed, count(*) AS actions
+  CASE type WHEN 'click' THEN 'true' END AS url_changed, count(*) AS actions
 FROM log GROUP BY ALL""",
     "verify_navigate": "SELECT page_id, page_id % 5 <> 2 OR regexp_matches(url, '[?#]') AS arrived FROM pages",
     "text_matches": """

@@ -42,7 +42,7 @@ def form_actions(spark, sf_dir):
 def resolve_elements(spark, sf_dir):
     dom = parse(fx.customer_forms(spark, sf_dir))
     resolved = resolve.resolve_elements(form_actions(spark, sf_dir), dom)
-    return resolved.select("action_id", F.col("pos").cast("bigint").alias("pos"), "strategy", "selector", "unsupported_selector")
+    return resolved.select("action_id", F.col("pos").cast("string").alias("pos"), "strategy", "selector", "unsupported_selector")
 
 
 def resolution_trace(spark, sf_dir):
@@ -80,7 +80,8 @@ def element_exists(spark, sf_dir):
 
 
 def element_info(spark, sf_dir):
-    return resolve.element_info(_button_selectors(spark, sf_dir), parse(fx.button_pages(spark, sf_dir)))
+    found = resolve.element_info(_button_selectors(spark, sf_dir), parse(fx.button_pages(spark, sf_dir)))
+    return found.withColumn("is_visible", F.col("is_visible").cast("string"))
 
 
 def suggest_selectors(spark, sf_dir):
@@ -137,7 +138,7 @@ def fallback_purposes(spark, sf_dir):
 
 def fallback_elements(spark, sf_dir):
     found = resolve.try_fallbacks(_fallback_actions(spark, sf_dir), parse(fx.customer_forms(spark, sf_dir)))
-    return found.select("action_id", "purpose", F.col("pos").cast("bigint").alias("pos"), "selector")
+    return found.select("action_id", "purpose", F.col("pos").cast("string").alias("pos"), "selector")
 
 
 def find_by_text(spark, sf_dir):
@@ -155,7 +156,7 @@ _ASKED = "asked AS (SELECT p_partkey AS page_id, ['#b' || p_partkey, 'button', '
 
 ORACLES = {
     "resolve_elements": f"""
-SELECT c_custkey AS action_id, CAST([9, 16, 6, 16, 19, 19, NULL, NULL][{_KIND} + 1] AS BIGINT) AS pos,
+SELECT c_custkey AS action_id, CAST([9, 16, 6, 16, 19, 19, NULL, NULL][{_KIND} + 1] AS VARCHAR) AS pos,
   ['DirectSelector', 'InputPattern', 'DirectSelector', 'SingleElement', 'DirectSelector', 'RoleBased', NULL, NULL][{_KIND} + 1] AS strategy,
   ['#name' || c_custkey, 'textarea', 'form#f' || c_custkey, 'single-input-fallback', 'input[type=submit]', 'role=button[name="save"]', NULL, NULL][{_KIND} + 1] AS selector,
   {_KIND} = 7 AS unsupported_selector
@@ -182,7 +183,7 @@ FROM found""",
 WITH {_B}, {_ASKED},
 i AS (SELECT *, CASE WHEN selector LIKE '#b%' THEN CASE WHEN kind = 0 THEN 1 ELSE 0 END WHEN selector = 'button' THEN 2 + CASE WHEN kind = 0 THEN 1 ELSE 0 END
           WHEN selector = '.my-button' THEN CASE WHEN kind = 6 THEN 1 ELSE 0 END ELSE 0 END AS n FROM b JOIN asked USING (page_id))
-SELECT page_id, selector, n > 0 AS found, CAST(n AS BIGINT) AS count, CASE WHEN n > 0 THEN TRUE END AS is_visible,
+SELECT page_id, selector, n > 0 AS found, CAST(n AS BIGINT) AS count, CASE WHEN n > 0 THEN 'true' END AS is_visible,
   CASE WHEN n > 0 THEN CASE WHEN selector = '.my-button' THEN 'SPAN' ELSE 'BUTTON' END END AS tag_name,
   CASE WHEN n > 0 THEN CASE WHEN kind = 0 AND selector <> '.my-button' THEN text ELSE '' END END AS text
 FROM i""",
@@ -208,7 +209,7 @@ SELECT c_custkey AS action_id, ['search-input', 'submit-button', 'general-input'
   CAST([10, 9, 5, 7, 5, 8][c_custkey % 6 + 1] AS BIGINT) AS selectors FROM customer""",
     "fallback_elements": """
 SELECT c_custkey AS action_id, ['search-input', 'submit-button', 'general-input', 'navigation', 'general-button', 'search-button'][c_custkey % 6 + 1] AS purpose,
-  CAST([NULL, 19, 16, NULL, NULL, 19][c_custkey % 6 + 1] AS BIGINT) AS pos,
+  CAST([NULL, 19, 16, NULL, NULL, 19][c_custkey % 6 + 1] AS VARCHAR) AS pos,
   [NULL, 'input[type="submit"]', 'textarea', NULL, NULL, 'input[type="submit"]'][c_custkey % 6 + 1] AS selector FROM customer""",
     "find_by_text": f"""
 WITH {_B}
