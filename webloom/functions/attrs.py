@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloom.functions.text import as_column, decode_entities
+from webloom.functions.text import as_column, built_once, decode_entities
 
 VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
 NAME = r"[^\s/>][^\s/>=]*+"
@@ -25,10 +25,12 @@ def _skip_to(name: str) -> str:
 _BASIC_REFERENCES = [("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 
 
+@built_once
 def has_attr(name: str, raw="raw") -> Column:
     return as_column(raw).rlike(_skip_to(name))
 
 
+@built_once
 def attr(name: str, raw="raw") -> Column:
     """Value of the first attribute with this name; '' when it has none, null when absent.
 
@@ -49,6 +51,7 @@ def class_list(value: Column) -> Column:
     return F.filter(F.split(F.coalesce(value, F.lit("")), r"[\t\n\f\r ]+"), lambda c: c != "")
 
 
+@built_once
 def has_class(name: str, raw="raw") -> Column:
     return attr("class", raw).rlike(rf"(?:^|[\t\n\f\r ]){re.escape(name)}(?:$|[\t\n\f\r ])")
 
@@ -58,6 +61,7 @@ def _unquote(value: Column) -> Column:
     return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
+@built_once
 def attr_map(raw="raw") -> Column:
     """All attributes as a map: names lower-cased, the first of a repeated name wins."""
     body = F.regexp_replace(as_column(raw), r"^<[a-zA-Z][^\s/>]*+|>$", "")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.attrs import attr, has_attr, has_class
-from webloom.functions.text import collapse_ws, contains_ci
+from webloom.functions.text import built_once, collapse_ws, contains_ci
 
 _PIECE = re.compile(
     r"""(?P<comma>\s*,\s*)|(?P<space>\s+)|(?P<tag>[a-zA-Z][\w-]*|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)
@@ -108,6 +108,7 @@ def parse_selector(selector: str) -> list[list[Compound]]:
     return [*groups, [*chain, now]]
 
 
+@built_once
 def simple(selector: str) -> Column:
     """Predicate of a selector list without descendant combinators."""
     groups = parse_selector(selector)

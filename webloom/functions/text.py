@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import html.entities
 import json
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,14 +23,34 @@ JS_SPACE_CLASS = "[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028-\u2029\u202f\u20
 SEAM = "\u0001"
 
 
+def built_once(function):
+    """Keep what a column builder returns for names and constants: such expressions are not bound to any DataFrame, and
+    building one takes hundreds of calls into the JVM."""
+    kept: dict = {}
+
+    @functools.wraps(function)
+    def build(*args, **kwargs):
+        given = (*args, *kwargs.values())
+        if any(isinstance(a, Column) for a in given):
+            return function(*args, **kwargs)
+        key = (id(SparkContext._gateway), args, tuple(sorted(kwargs.items())))
+        if key not in kept:
+            kept[key] = function(*args, **kwargs)
+        return kept[key]
+
+    return build
+
+
 def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+@built_once
 def trim_js(text) -> Column:
     return F.btrim(as_column(text), F.lit(JS_SPACE))
 
 
+@built_once
 def collapse_ws(text) -> Column:
     return trim_js(F.regexp_replace(as_column(text), JS_SPACE_CLASS + "++", " "))
 
@@ -96,6 +118,7 @@ def _numeric_entity(ref: Column) -> Column:
     )
 
 
+@built_once
 def decode_entities(text, attribute: bool = False) -> Column:
     """Replace character references. In attributes a reference needs its semicolon."""
     col = as_column(text)
@@ -115,6 +138,7 @@ def decode_entities(text, attribute: bool = False) -> Column:
     return F.array_join(F.transform(parts, one), "")
 
 
-def decode_runs(runs: Column) -> Column:
+@built_once
+def decode_runs(runs) -> Column:
     """Decode an array of text runs through one pass over the joined text."""
     return F.split(decode_entities(F.array_join(runs, SEAM)), SEAM, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloom.functions.text import as_column, let
+from webloom.functions.text import as_column, built_once, let
 
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 _ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)"
@@ -17,6 +17,7 @@ def origin(url) -> Column:
     return F.nullif(F.regexp_extract(as_column(url), _ORIGIN, 1), F.lit(""))
 
 
+@built_once
 def hostname(url) -> Column:
     return F.lower(F.regexp_extract(as_column(url), _HOST, 1))
 
@@ -82,6 +83,7 @@ def _normal(url: Column) -> Column:
     return let(url, normal)
 
 
+@built_once
 def resolve_url(href, base) -> Column:
     """The absolute URL of `href` on page `base`; null without an absolute base to resolve against."""
     base = as_column(base)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.attrs import attr, attr_map, class_list, has_attr
 from webloom.functions.css import simple
-from webloom.functions.text import collapse_ws, non_empty, trim_js, truncate
+from webloom.functions.text import built_once, collapse_ws, non_empty, trim_js, truncate
 from webloom.functions.url import is_external, resolve_url
 from webloom.plans.nodes import Dom, contained, is_hidden, with_ancestors, with_text
 
@@ -71,9 +71,15 @@ def with_attrs(elements: DataFrame) -> DataFrame:
     mapped = elements.select("*", attr_map().alias("attrs"))
     if "url" not in elements.columns:
         return mapped
-    return mapped.select("*", F.when(F.col("tag") == "a", resolve_url(_a("href"), "url")).alias("target"))
+    return mapped.select("*", _target().alias("target"))
 
 
+@built_once
+def _target() -> Column:
+    return F.when(F.col("tag") == "a", resolve_url(_a("href"), "url"))
+
+
+@built_once
 def _a(name: str) -> Column:
     return F.try_element_at("attrs", F.lit(name))
 
@@ -90,6 +96,7 @@ def _attributes(*names: str) -> Column:
     return F.struct(*[non_empty(_a(name)).alias(name) for name in names]).alias("attributes")
 
 
+@built_once
 def css_path(tag="tag") -> Column:
     """#id, else .firstClass, else the tag."""
     named = non_empty(_a("id"))
@@ -97,6 +104,7 @@ def css_path(tag="tag") -> Column:
     return F.coalesce(F.concat(F.lit("#"), named), F.concat(F.lit("."), first), F.col(tag))
 
 
+@built_once
 def _buttons() -> list[Column]:
     return [
         F.col("tag").alias("tag_name"),
@@ -110,6 +118,7 @@ def _buttons() -> list[Column]:
     ]
 
 
+@built_once
 def _links() -> list[Column]:
     href = F.coalesce("target", F.lit(""))
     return [
@@ -122,6 +131,7 @@ def _links() -> list[Column]:
     ]
 
 
+@built_once
 def _landmarks() -> list[Column]:
     return [
         F.col("tag").alias("tag_name"),
@@ -136,6 +146,7 @@ def _pixels(name: str) -> Column:
     return F.regexp_extract(_a(name), r"^\s*(\d{1,9})", 1).try_cast("int").alias(name)
 
 
+@built_once
 def _images() -> list[Column]:
     return [
         _a("src").alias("src"),
@@ -148,6 +159,7 @@ def _images() -> list[Column]:
     ]
 
 
+@built_once
 def _frames() -> list[Column]:
     no_box = F.coalesce(_pixels("width") == 0, F.lit(False)) | F.coalesce(_pixels("height") == 0, F.lit(False))
     return [
@@ -159,6 +171,7 @@ def _frames() -> list[Column]:
     ]
 
 
+@built_once
 def link_score() -> Column:
     """How prominent a content link is."""
     names = class_list(_a("class"))
@@ -177,6 +190,7 @@ def link_score() -> Column:
     return reduce(lambda total, p: total + F.when(p[0], p[1]).otherwise(0), points, F.lit(0))
 
 
+@built_once
 def _navigation() -> list[Column]:
     return [
         _text().alias("text"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.attrs import attr, has_attr
-from webloom.functions.text import SEAM, decode_runs, trim_js
+from webloom.functions.text import SEAM, built_once, decode_runs, trim_js
 
 _IN_TAG = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
 _TAG = rf"<(?:/?[a-zA-Z]{_IN_TAG}|[!?/][^>]*+)>"
@@ -124,9 +124,10 @@ def parse(pages: DataFrame, partitions: int | None = None) -> Dom:
         field(1).alias("url"),
         field(2).cast("int").alias("html_length"),
         (field(3) == "blank").alias("blank"),
-        decode_runs(F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(2))).alias("texts"),
+        F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(2)).alias("runs"),
         F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)).alias("tokens"),
     )
+    docs = docs.select("page_id", "url", "html_length", "blank", decode_runs("runs").alias("texts"), "tokens")
     return Dom(_with_ends(_tokens(packed.select("page_id", body.alias("body")))), docs)
 
 
@@ -237,6 +238,7 @@ def with_ancestors(nodes: DataFrame, tests: dict[str, Column]) -> DataFrame:
     return nodes.select(*nodes.columns, *flags)
 
 
+@built_once
 def is_hidden() -> Column:
     """Hidden by its own markup: the attribute, or inline display/visibility. No layout is computed."""
     style = F.lower(F.coalesce(attr("style"), F.lit("")))
