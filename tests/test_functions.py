@@ -9,7 +9,7 @@ from webloom.functions.url import escape_css, hostname, is_external, pathname, r
 
 ENTITIES = [
     "&amp;&lt;&euro;&#8364;&#x20AC;&nbsp;x&foo;&copy 2020&ampx", "plain", "&", "&&amp", "&#0;&#xD800;&#128;&#99999999;",
-    "&NotEqualTilde;|&equals;|&fjlig;", "", "&amp;lt;", "a&b=c&lt",
+    "&NotEqualTilde;|&equals;|&fjlig;", "", "&amp;lt;", "a&b=c&lt", "&notit; &not &notin;", "&x; &ampamp;",
 ]
 
 

@@ -195,12 +195,15 @@ def test_bucketed_tables_are_read_without_exchange(spark, tmp_path):
 
 
 def test_skewed_join(spark):
-    from webloom.plans.scale import skew_join
+    from webloom.plans.scale import hot_keys, skew_join
 
     left = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id % 7) AS k", "cast(id AS string) AS r")
     right = spark.createDataFrame([(0, "a"), (0, "b"), (3, "c")], "k bigint, v string")
+    assert hot_keys(left, "k") is None
+    hot = hot_keys(left, "k", max_rows=500)
+    assert rows_of(hot.select("k")) == [(0,)]
     for how in ("inner", "left"):
-        got = skew_join(left, right, "k", "r", how, max_rows=100)
+        got = skew_join(left, right, "k", "r", hot, how)
         assert sorted(rows_of(got.select("k", "r", "v")), key=str) == sorted(rows_of(left.join(right, "k", how).select("k", "r", "v")), key=str)
 
 

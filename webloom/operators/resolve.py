@@ -17,7 +17,7 @@ from webloom.functions.css import match, simple
 from webloom.functions.text import collapse_ws, contains_ci, non_empty, trim_js
 from webloom.operators.extract import context, css_path, with_attrs
 from webloom.plans.nodes import Dom, with_text
-from webloom.plans.scale import skew_join
+from webloom.plans.scale import hot_keys, skew_join
 
 # Strategies by priority.
 STRATEGIES = {
@@ -246,6 +246,7 @@ def _can_handle() -> dict[str, Column]:
 
 def _resolve_requests(requests: DataFrame, dom: Dom) -> DataFrame:
     """requests(page_id, request, type, element, value) with pos, strategy, selector and trace."""
+    hot = hot_keys(requests, "page_id")
     asked = requests.select("*", *[c.alias(f"_can_{n}") for n, c in _can_handle().items()])
     can = lambda n: F.col(f"_can_{n}")
 
@@ -282,7 +283,7 @@ def _resolve_requests(requests: DataFrame, dom: Dom) -> DataFrame:
     named = F.coalesce(contains_ci("name", "want_name"), F.lit(False))
     linked = F.coalesce(F.col("is_a") & F.contains("href", F.col("want_href")), F.lit(False))
     by_text = (
-        skew_join(by_text, controls, "page_id", "request")
+        skew_join(by_text, controls, "page_id", "request", hot)
         .where(named | linked)
         .groupBy("page_id", "request")
         .agg(
@@ -295,7 +296,7 @@ def _resolve_requests(requests: DataFrame, dom: Dom) -> DataFrame:
     )
 
     joined = asked.join(by_selector, ["page_id", "request"], "left").join(by_text, ["page_id", "request"], "left")
-    joined = skew_join(joined, _page_facts(dom), "page_id", "request", "left")
+    joined = skew_join(joined, _page_facts(dom), "page_id", "request", hot, "left")
     quote = lambda before, column, after: F.concat(F.lit(before), column, F.lit(after))
     at = lambda pos, selector: F.when(F.col(pos).isNotNull(), F.struct(F.col(pos).alias("pos"), selector.alias("selector")))
     url = F.regexp_extract("element", r"""(?i)a\[href=["']([^"']+)["']\]""", 1)
@@ -377,8 +378,12 @@ def _existing(dom: Dom, selectors: list[str]) -> DataFrame:
 
 def suggest_selectors(wanted: DataFrame, dom: Dom) -> DataFrame:
     """wanted(page_id, selector) with `suggestions`: alternatives for inputs and buttons that exist on the page."""
+    return _suggest(wanted, dom, hot_keys(wanted, "page_id"))
+
+
+def _suggest(wanted: DataFrame, dom: Dom, hot: DataFrame | None) -> DataFrame:
     known = [s for group in SUGGESTIONS.values() for s in group]
-    joined = wanted.join(_existing(dom, known), "page_id", "left")
+    joined = skew_join(wanted, _existing(dom, known), "page_id", "selector", hot, "left")
     parts = [
         F.when(F.contains("selector", F.lit(word)), F.array(*[F.lit(s) for s in group])).otherwise(F.array())
         for word, group in SUGGESTIONS.items()
@@ -396,7 +401,7 @@ def element_exists(wanted: DataFrame, dom: Dom) -> DataFrame:
         F.lit(None).cast("string").alias("value"),
     )
     found = _resolve_requests(requests, dom).select("page_id", F.col("request").alias("selector"), "pos", "match_count", "unsupported_selector")
-    offered = suggest_selectors(found, dom)
+    offered = _suggest(found, dom, hot_keys(asked, "page_id"))
     exists = F.col("pos").isNotNull()
     count = F.when(exists, F.when(F.col("unsupported_selector"), F.lit(1)).otherwise(F.col("match_count"))).otherwise(0)
     hint = F.when(~exists & (F.size("suggestions") > 0), F.concat(F.lit("Try instead: "), F.array_join("suggestions", ", ")))
@@ -431,7 +436,7 @@ def close_matches(wanted: DataFrame, dom: Dom, limit: int = MAX_SIMILAR) -> Data
     )
     marked = marked.where("node_id is not null or node_class is not null")
     held = F.when(F.col("by_id"), F.col("node_id")).otherwise(F.col("node_class"))
-    near = asked.join(marked, "page_id").where(F.contains(held, F.col("part")))
+    near = skew_join(asked, marked, "page_id", "selector", hot_keys(asked, "page_id")).where(F.contains(held, F.col("part")))
     rank = F.row_number().over(Window.partitionBy("page_id", "selector").orderBy("pos"))
     top = near.select("page_id", "selector", "pos", "end", "tag", "raw", rank.alias("rank")).where(F.col("rank") <= limit)
     rows = with_attrs(with_text(top, dom.docs))
@@ -467,6 +472,7 @@ def best_match(wanted: DataFrame, dom: Dom) -> DataFrame:
     """wanted(page_id, reference) with `match`: the reference if it selects something, a usual stand-in, or the element
     that scores highest by id, name, role and text."""
     asked = wanted.select("page_id", F.col("reference").alias("selector")).where("selector <> ''").distinct()
+    hot = hot_keys(asked, "page_id")
     exact = select_nodes(asked, dom.nodes).select("page_id", "selector", (F.col("match_count") > 0).alias("exact"))
     stand_ins = [s for group in PATTERN_MATCHES.values() for s in group]
     existing = _existing(dom, stand_ins)
@@ -478,7 +484,7 @@ def best_match(wanted: DataFrame, dom: Dom) -> DataFrame:
         )
         for pattern, group in PATTERN_MATCHES.items()
     ]
-    known = exact.join(existing, "page_id", "left").select(
+    known = skew_join(exact, existing, "page_id", "selector", hot, "left").select(
         "page_id", "selector", F.when(F.col("exact"), F.col("selector")).otherwise(F.coalesce(*patterns)).alias("known")
     )
 
@@ -493,7 +499,7 @@ def best_match(wanted: DataFrame, dom: Dom) -> DataFrame:
         + F.when(F.col("node_name") == ref, 2).otherwise(0)
         + F.when(F.col("node_role") == ref, 2).otherwise(0)
     )
-    scored = left.join(marked, "page_id").select("*", points.alias("points")).where("points > 0")
+    scored = skew_join(left, marked, "page_id", "selector", hot).select("*", points.alias("points")).where("points > 0")
     label = F.coalesce(
         F.concat(F.lit("#"), non_empty("node_id")),
         F.concat("tag", F.lit('[name="'), non_empty("node_name"), F.lit('"]')),
@@ -503,7 +509,7 @@ def best_match(wanted: DataFrame, dom: Dom) -> DataFrame:
     total = F.col("points") + F.when(contains_ci("text", ref), 1).otherwise(0)
     by_attrs = scored.groupBy("page_id", "selector").agg(F.min_by(label, F.struct(-total, F.col("pos"))).alias("by_attrs"))
     whole = dom.docs.select("page_id", F.array_join("texts", "").alias("page_text"))
-    by_text = left.join(whole, "page_id").where(contains_ci("page_text", ref)).select("page_id", "selector", F.lit("html").alias("by_text"))
+    by_text = skew_join(left, whole, "page_id", "selector", hot).where(contains_ci("page_text", ref)).select("page_id", "selector", F.lit("html").alias("by_text"))
     keys = ["page_id", "selector"]
     return (
         known.join(by_attrs, keys, "left")
@@ -564,6 +570,7 @@ def find_by_text(wanted: DataFrame, dom: Dom, mode: str = "reference") -> DataFr
     the first button or link of any text wins; `intended` asks all of them.
     """
     asked = wanted.select("page_id", F.col("text").alias("want")).where("want <> ''").distinct()
+    hot = hot_keys(asked, "page_id")
     tag = F.col("tag")
     controls = dom.nodes.where(tag.isin("button", "a") | simple('[role="button"]'))
     controls = with_text(controls, dom.docs).select("page_id", "pos", "tag", "text")
@@ -571,13 +578,13 @@ def find_by_text(wanted: DataFrame, dom: Dom, mode: str = "reference") -> DataFr
     first = worded if mode == "intended" else tag.isin("button", "a") | worded
     rank = F.when(first, 0).when(contains_ci("text", "want"), 1)
     if mode == "intended":
-        hits = asked.join(controls, "page_id").select("page_id", "want", "pos", rank.alias("rank")).where("rank is not null")
+        hits = skew_join(asked, controls, "page_id", "want", hot).select("page_id", "want", "pos", rank.alias("rank")).where("rank is not null")
         found = hits.groupBy("page_id", "want").agg(F.min_by("pos", F.struct("rank", "pos")).alias("pos"))
     else:
         # Buttons and links need no comparison: the first one of the page stands for all of them.
         any_first = controls.where(tag.isin("button", "a")).groupBy("page_id").agg(F.min("pos").alias("any_pos"))
         roles = controls.where(~tag.isin("button", "a"))
-        hits = asked.join(roles, "page_id").select("page_id", "want", "pos", rank.alias("rank")).where("rank is not null")
+        hits = skew_join(asked, roles, "page_id", "want", hot).select("page_id", "want", "pos", rank.alias("rank")).where("rank is not null")
         ranked = hits.groupBy("page_id", "want").agg(
             F.min(F.when(F.col("rank") == 0, F.col("pos"))).alias("worded_pos"), F.min("pos").alias("loose_pos")
         )
@@ -595,7 +602,8 @@ def try_fallbacks(actions: DataFrame, dom: Dom, mode: str = "reference") -> Data
     given = actions.where(F.col("action.element") != "").select("*", purpose.alias("purpose"), text.alias("text"))
     hits = _fallback_hits(dom)
     chosen = F.coalesce(*[F.when(F.col("purpose") == p, F.col(f"`{p}`")) for p in FALLBACKS])
-    joined = given.join(hits, "page_id", "left").select(*given.columns, chosen.alias("hit"))
+    joined = skew_join(given, hits, "page_id", "action_id", hot_keys(actions, "page_id"), "left")
+    joined = joined.select(*given.columns, chosen.alias("hit"))
     by_text = find_by_text(given.select("page_id", "text"), dom, mode).withColumnRenamed("pos", "text_pos")
     return joined.join(by_text, ["page_id", "text"], "left").select(
         *actions.columns,

@@ -67,16 +67,24 @@ def number_rows(
     )
 
 
+def hot_keys(rows: DataFrame, key: str, max_rows: int = MAX_ROWS) -> DataFrame | None:
+    """Keys with more than `max_rows` rows and the number of parts each should be dealt out over; None without any."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_rows)
+    hot = cut(counts.select(key, F.ceil(F.col("_rows") / max_rows).cast("int").alias("_parts")))
+    return None if hot.isEmpty() else hot
+
+
 def skew_join(
-    left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", max_rows: int = MAX_ROWS
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, hot: DataFrame | None, how: str = "inner"
 ) -> DataFrame:
     """Join on `key` when one key may own a large share of `left`. Left rows of a hot key are dealt out by `spread_by`
-    over as many parts as it needs, and its right rows are copied to each part; other keys are joined as usual.
+    over its parts, and its right rows are copied to each part; other keys are joined as usual.
 
-    Part counts follow from exact row counts, so both sides always agree on them.
+    Without hot keys this is the plain join, which leaves the partitioning of `right` alone. `hot` may come from any
+    rows that include `left`.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_rows)
-    hot = counts.select(key, F.ceil(F.col("_rows") / max_rows).cast("int").alias("_parts"))
+    if hot is None:
+        return left.join(right, key, how)
     parts = F.coalesce("_parts", F.lit(1))
     dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread_by), parts).cast("int"))
     copied = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
