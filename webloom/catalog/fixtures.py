@@ -45,12 +45,12 @@ def product_pages(spark, sf_dir) -> DataFrame:
         F.lit("</div>"),
     )
     pages = part.groupBy(F.floor(key / PER_PAGE).alias("n")).agg(_joined(card, "p_partkey").alias("cards"))
-    count = part.agg(F.floor(F.max("p_partkey") / PER_PAGE).alias("last"))
+    before = part.select((F.floor(key / PER_PAGE) - 1).alias("n")).distinct().withColumn("has_next", F.lit(True))
     following = F.when(
-        F.col("n") < F.col("last"), F.concat(F.lit('<a class="next" href="/products?page='), (F.col("n") + 1).cast("string"), F.lit('">Next</a>'))
+        F.col("has_next"), F.concat(F.lit('<a class="next" href="/products?page='), (F.col("n") + 1).cast("string"), F.lit('">Next</a>'))
     ).otherwise("")
     url = F.concat(F.lit(f"{STORE}/products?page="), _s("n"))
-    return pages.join(F.broadcast(count)).select(
+    return pages.join(before, "n", "left").select(
         *_page(F.col("n"), url, F.concat(F.lit("<main>"), "cards", following, F.lit("</main>")))
     )
 
