@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,19 +13,37 @@ from pyspark.sql import functions as F
 MAX_ROWS = 1_000_000
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a local one only where none is configured, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as `spark.checkpoint.dir` names it.
+
+    Only a session in one process may do without: it gets a temporary folder. A cluster that names none is an error,
+    since each executor would write to its own disk.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="webloom-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there: shorter lineage and fixed values."""
-    _checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like `cut`, but as a Parquet table: columns that a later step does not use are not read again.
+
+    The files stay in the shared folder, whose owner removes them with the checkpoints.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def range_cuts(rows: DataFrame, key: list[str], order: str, max_rows: int = MAX_ROWS) -> DataFrame:
     """For keys with more than `max_rows` rows: `cuts`, the values of `order` at which to cut them into ranges.
 
