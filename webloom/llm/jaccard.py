@@ -1,15 +1,19 @@
 """N-gram Jaccard join with vertical partitioning, and its connected components.
 
 Method. The grams (word shingles) of all texts get one global order: grams frequent in the whole data last, others by
-hash. Sets that are equal become one class first. Two classes can only reach the similarity if they share a gram among
-their first |set| - ceil(share * |set|) + 1 in that order, so such prefixes give the candidates. The order is then cut
-into fragments: each candidate pair's common grams are counted fragment by fragment and the counts are summed.
+hash. Equal sets are one class, known by the sum of its grams' hashes. Two classes can only reach the similarity if they
+share a gram among their first |set| - ceil(share * |set|) + 1 in that order, so such prefixes give the candidates. The
+order is also cut into fragments: each candidate pair's common grams are counted fragment by fragment and summed.
 
 Components need no full list of pairs. In every list of classes that share a prefix gram, all are first compared with
-the one best connected; what links becomes one component. Rounds with further leaders follow while a list holds several
-components. The last round compares exactly those pairs of a list that still lie in different components and were not
-compared. Thus no link between different texts is lost, while a group of many near copies costs about one comparison
-per copy.
+one leader, and what links becomes one component. Members outside the leader's component get further leaders among
+themselves (TURNS in all; pairs that share few prefix grams wait). The last turn takes exactly those pairs of a list
+that still lie in different components. It knows all prefix grams they share, which bounds what they can share at all,
+and compares those that may reach the similarity. So no link between different texts is lost, while a group of many
+near copies costs about one comparison per copy.
+
+Lists of grams that are not frequent are made in buckets from packed arrays; those of frequent grams, of any length, by
+aggregates and joins that Spark can split.
 
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing and is its own
 component. Texts shorter than a shingle are one gram. Equal doc_ids are one vertex. Rows with null doc_id have a null
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.words import mixed, repeated, rows_of, shingles, word_ids
@@ -31,8 +35,12 @@ SIZE = 5
 SHARE, OF = 80, 100
 FRAGMENTS = 4
 #: A gram that makes up more than 1 / HEAVY_SHARE of all is put last; so there are at most HEAVY_SHARE of them.
-HEAVY_SHARE = 1 << 18
-ROUNDS = 3
+HEAVY_SHARE = 1 << 20
+#: Turns with a leader per list, and the share of the smaller prefix that a pair must have in common to be compared
+#: in them already.
+TURNS, EARLY = 3, 0.3
+#: Prefix grams of a bucket.
+BUCKET_GRAMS = 1_000_000
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -60,62 +68,116 @@ def heavy_grams(docs: DataFrame, size: int = SIZE) -> tuple[np.ndarray, np.ndarr
     return grams[order], counts[order]
 
 
-def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
-    """doc_id, n_shingles, the 128-bit identity of the set and its prefix."""
+def _identity(grams: np.ndarray) -> int:
+    """A set's identity: the sum of its hashes, equal for equal sets."""
+    return int(mixed(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(grams) else 0
+
+
+def _sets(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
+    """doc_id, n, node (the set's identity), its prefix without frequent grams, and the frequent grams of its prefix."""
     grams, counts = heavy
 
     def batches(rows):
         for batch in rows_of(rows):
-            n, high, low, prefix = [], [], [], []
+            n, node, light, rest = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(word_ids(text), size)
                 n.append(len(own))
-                # The sum and the sum of remixed members: equal for equal sets, whatever the order.
-                high.append(int(own.sum(dtype=np.uint64)))
-                low.append(int(mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
+                node.append(_identity(own))
                 keep = len(own) - -(-SHARE * len(own) // OF) + 1 if len(own) else 0
-                if len(grams):
+                often = 0
+                if len(grams) and len(own):
                     at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
                     weight = np.where(grams[at] == own, counts[at], 0)
-                    own = own[np.argsort(weight, kind="stable")]
-                prefix.append(own[:keep].astype("<u8").tobytes())
-            columns = [pa.array(n, pa.int64()), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "high", "low", "prefix"])
-
-    return _texts(docs).mapInArrow(batches, "doc_id bigint, n bigint, high bigint, low bigint, prefix binary")
+                    order = np.argsort(weight, kind="stable")[:keep]
+                    own, often = own[order], int((weight[order] > 0).sum())
+                own = own[:keep]
+                light.append(own[: len(own) - often].tobytes())
+                rest.append(own[len(own) - often :].view(np.int64).tolist() if often else None)
+            columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(light, pa.binary()), pa.array(rest, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "node", "light", "heavy"])
 
+    return _texts(docs).mapInArrow(batches, "doc_id bigint, n bigint, node bigint, light binary, heavy array<bigint>")
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """gram, node and n for each gram of a prefix, for grams that several classes share."""
 
-    def unpacked(batches):
-        for batch in rows_of(batches, 2048):
-            parts = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
-            times = np.array([len(p) for p in parts], np.int64)
-            columns = [pa.array(np.concatenate(parts))] + [pa.array(np.repeat(batch.column(c).to_numpy(), times)) for c in ("node", "n")]
-            yield pa.RecordBatch.from_arrays(columns, names=["gram", "node", "n"])
+_LIST = "gram bigint, node bigint, n bigint, leader bigint, leader_n bigint"
 
-    rows = classes.select("node", "n", "prefix").mapInArrow(unpacked, "gram bigint, node bigint, n bigint")
-    # Half the lists have one member: the count goes along as an aggregate of the same grouping.
-    return rows
 
+def _lists(sets: DataFrame) -> DataFrame:
+    """gram, node, n, leader, leader_n: the classes that share a prefix gram, and the leader of each list."""
+    total = sets.agg(F.sum(F.length("light"))).first()[0] or 0
+    buckets = max(1, -(-total // (8 * BUCKET_GRAMS)))
 
-def _fragments(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, fragment and the grams of that fragment of the order, for the given classes."""
+    def packed(batches):
+        seen: set[int] = set()
+        for batch in rows_of(batches, 4096):
+            grams, nodes, ns = [], [], []
+            for node, n, light in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "light")), strict=True):
+                if node in seen:  # copies read by this task; what it forgets is sorted out in the bucket
+                    continue
+                seen.add(node)
+                own = np.frombuffer(light, np.uint64)
+                grams.append(own)
+                nodes.append(np.full(len(own), node))
+                ns.append(np.full(len(own), n, np.uint32))
+            if len(seen) > 1 << 18:
+                seen.clear()
+            if not grams:
+                continue
+            grams, nodes, ns = map(np.concatenate, (grams, nodes, ns))
+            bucket = (mixed(grams) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            parts = [order[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            columns = [[x[at].tobytes() for at in parts] for x in (grams, nodes, ns)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "grams", "nodes", "ns"])
+
+    def listed(table: pa.Table) -> pa.Table:
+        grams, nodes, ns = (np.concatenate([np.frombuffer(v, kind) for v in table.column(c).to_pylist()]) for c, kind in (("grams", np.uint64), ("nodes", np.int64), ("ns", np.uint32)))
+        order = np.lexsort((mixed(nodes.view(np.uint64)), grams))
+        grams, nodes, ns = grams[order], nodes[order], ns[order]
+        own = np.ones(len(grams), bool)
+        own[1:] = (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])
+        grams, nodes, ns = grams[own], nodes[own], ns[own]
+        _, first, place, members = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+        kept = members[place] > 1
+        lead = first[place[kept]]
+        columns = [grams[kept].view(np.int64), nodes[kept], ns[kept].astype(np.int64), nodes[lead], ns[lead].astype(np.int64)]
+        return pa.table(dict(zip(("gram", "node", "n", "leader", "leader_n"), columns, strict=True)))
+
+    light = sets.where(F.length("light") > 0).select("node", "n", "light").mapInArrow(packed, "bucket int, grams binary, nodes binary, ns binary")
+    light = light.groupBy("bucket").applyInArrow(listed, _LIST)
+    heavy = sets.where(F.col("heavy").isNotNull()).select(F.explode("heavy").alias("gram"), "node", "n").distinct()
+    leaders = _leaders(heavy, 0).select("gram", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
+    return stored(light.unionByName(heavy.join(leaders, "gram")), "lists")
+
+
+def _leaders(lists: DataFrame, turn: int, *more: str) -> DataFrame:
+    """One member of each gram's list, the same for as many lists as possible."""
+    return lists.groupBy("gram").agg(F.min_by(F.struct("node", "n", *more), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("leader"))
+
+
+def _fragments(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """node, part and the grams of that part of the order, for the classes of the pairs."""
 
     def cut(batches):
         for batch in rows_of(batches):
             node, part, grams = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for text in batch.column("text").to_pylist():
                 own = shingles(word_ids(text), size)
-                ends = np.searchsorted(own >> np.uint64(32), np.arange(FRAGMENTS + 1, dtype=np.uint64) * np.uint64((1 << 32) // FRAGMENTS))
-                for k, (a, b) in enumerate(zip(ends, [*ends[1:-1], len(own)], strict=False)):
-                    if k < FRAGMENTS and b > a:
-                        node.append(doc), part.append(k), grams.append(own[a:b].astype("<u8").tobytes())
+                own_node, places = _identity(own), (own >> np.uint64(32)) * np.uint64(FRAGMENTS) >> np.uint64(32)
+                ends = np.searchsorted(places, np.arange(FRAGMENTS + 1, dtype=np.uint64))
+                for k in range(FRAGMENTS):
+                    if ends[k + 1] > ends[k]:
+                        node.append(own_node)
+                        part.append(k)
+                        grams.append(own[ends[k] : ends[k + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.binary())], names=["node", "part", "grams"])
 
-    wanted = _texts(docs).join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    return stored(wanted.mapInArrow(cut, "node bigint, part int, grams binary"), "fragments")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(classes.join(nodes, "node", "left_semi").select("doc_id"), "wanted")
+    found = _texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(cut, "node bigint, part int, grams binary")
+    return stored(found.dropDuplicates(["node", "part"]), "fragments")
 
 
 def _linked(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -155,74 +217,76 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("component", F.col("node"))
-    return lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _component(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """The rows with the component of a node; a node without label is its own."""
+    known = labels.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(known, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """a, b, na, nb and how many lists they met in, from (node, n, other, other_n); only sizes that can reach the share."""
+    met = met.where((F.col("node") != F.col("other")) & (OF * F.least("n", "other_n") >= SHARE * F.greatest("n", "other_n")))
+    first = F.col("node") < F.col("other")
+    ends = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    ends += [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("n", "other_n", "na"), ("other_n", "n", "nb"))]
+    return met.select(*ends).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
+
+
+def _prefix(n: str) -> Column:
+    return F.expr(f"{n} - ({SHARE} * {n} + {OF - 1}) div {OF} + 1")
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
-    sets = stored(_prefixes(docs, heavy_grams(docs, size), size), "sets")
-    identity = ["high", "low", "n"]
+    sets = stored(_sets(docs, heavy_grams(docs, size), size), "sets")
     filled = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = filled.groupBy(*identity).agg(F.min("doc_id").alias("node"))
-    # The text of the class's first document stands for it; equal rows of it are one.
-    whole = filled.join(classes, identity).where(F.col("doc_id") == F.col("node")).groupBy("node", "n").agg(F.min("prefix").alias("prefix"))
-    postings = _postings(whole)
-    often = postings.groupBy("gram").agg(F.count("*").alias("shared")).where("shared > 1")
-    lists = stored(postings.join(often, "gram"), "lists")
-    # A text without grams of its own shares most: the original among its edited copies.
-    ties = lists.groupBy("node").agg(F.count("*").alias("ties"))
-    lists = stored(lists.join(ties, "node"), "tied-lists")
-    fragments = _fragments(docs, ties.select("node"), size)
-    edges = filled.join(classes, identity).where(F.col("doc_id") != F.col("node")).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    labels, compared = None, None
-    for turn in range(ROUNDS + 1):
-        placed = stored(_labelled(lists, labels), "placed")
-        sizes = placed.groupBy("gram", "component").agg(F.count("*").alias("members"))
-        of_list = sizes.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("members", "component")).alias("largest"))
-        open_lists = placed.join(of_list.where("parts > 1"), "gram")
-        outside = open_lists.where(F.col("component") != F.col("largest"))
-        if turn < ROUNDS:
-            # The best connected of the largest component and the best connected outside of it lead.
-            best = F.max_by(F.struct("node", "n", "component"), F.struct("ties", -F.xxhash64("node", F.lit(turn))))
-            leaders = open_lists.groupBy("gram").agg(best.alias("leader"))
-            if turn:
-                leaders = leaders.unionAll(outside.groupBy("gram").agg(best.alias("leader")))
-            leaders = leaders.select("gram", F.col("leader.node").alias("other"), F.col("leader.n").alias("other_n"), F.col("leader.component").alias("other_component"))
-            members = open_lists if not turn else outside
+    classes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    lists = _lists(filled)
+    edges = labels = None
+    for turn in range(TURNS + 1):
+        if turn == 0:
+            met = lists.select("node", "n", F.col("leader").alias("other"), F.col("leader_n").alias("other_n"))
+        elif labels is not None or turn == TURNS:
+            # Members of a list that are not in the component of its first leader; they only get fewer.
+            known = labels if labels is not None else lists.select("node", F.col("node").alias("component")).limit(0)
+            placed = _component(lists if turn == 1 or labels is None else outside.drop("component", "leading"), known, "node", "component")
+            outside = stored(_component(placed, known, "leader", "leading").where("component <> leading"), "outside")
+            if turn < TURNS:
+                leaders = _leaders(outside, turn, "component").select("gram", F.col("leader.node").alias("other"), F.col("leader.n").alias("other_n"), F.col("leader.component").alias("other_component"))
+                met = outside.select("gram", "node", "n", "component").join(leaders, "gram")
+            else:
+                every = _component(lists.join(outside.select("gram").distinct(), "gram", "left_semi"), known, "node", "component")
+                every = _component(every, known, "leader", "leading")
+                every = every.select("gram", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"), (F.col("component") == F.col("leading")).alias("inside"))
+                met = outside.select("gram", "node", "n", "component").join(every, "gram").where(F.col("inside") | (F.col("node") < F.col("other")))
+            met = met.where("component <> other_component")
         else:
-            leaders = open_lists.select("gram", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-            members = outside
-        met = members.select("gram", "node", "n", "component").join(leaders, "gram").where("component <> other_component")
-        met = met.where((OF * F.least("n", "other_n") >= SHARE * F.greatest("n", "other_n")))
-        first = F.col("node") < F.col("other")
-        pairs = met.select(
-            F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"),
-            F.when(first, F.col("n")).otherwise(F.col("other_n")).alias("na"), F.when(first, F.col("other_n")).otherwise(F.col("n")).alias("nb"),
-        ).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+            continue
+        pairs = _pairs(met)
+        if turn < TURNS:
+            pairs = pairs.where(F.col("met") >= EARLY * F.least(_prefix("na"), _prefix("nb")))
+        else:
+            # All prefix grams that they share are counted; beyond the prefixes they share no more than what is left.
+            least = F.expr(f"({SHARE} * (na + nb) + {OF + SHARE - 1}) div {OF + SHARE}")
+            pairs = pairs.where(F.col("met") + F.greatest(F.col("na") - _prefix("na"), F.col("nb") - _prefix("nb")) >= least)
         pairs = stored(pairs, "pairs")
-        if not pairs.isEmpty():
-            new = stored(_linked(pairs, fragments), "links")
-            if not new.isEmpty():
-                edges = new if turn == 0 else edges.unionAll(new)
-                labels = components(edges)
-        compared = pairs.select("a", "b") if compared is None else compared.unionAll(pairs.select("a", "b"))
-    # Rows of one doc_id with different sets are one vertex: classes and links meet in it.
-    own = filled.join(classes, identity).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    several = filled.groupBy("doc_id").agg(F.countDistinct("high", "low", "n").alias("k")).where("k > 1")
-    if not several.isEmpty():
-        labels = components(edges.unionAll(own.where("a <> b")))
-        node_of = F.col("doc_id")
-    else:
-        node_of = F.coalesce("node", "doc_id")
-    rows = sets.join(classes, identity, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(node_of).alias("node"))
+        if pairs.isEmpty():
+            continue
+        new = stored(_linked(pairs, _fragments(docs, pairs, classes, size)), "links")
+        edges = new if edges is None else edges.unionAll(new)
+        labels = components(edges)
+    # Rows of one doc_id with different sets are one vertex.
+    several = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
+    same = stored(several.select("a", F.explode("nodes").alias("b")), "same-id")
+    if not same.isEmpty():
+        labels = components(same if edges is None else edges.unionAll(same))
+    rows = sets.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     if labels is None:
-        return rows.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
-    return rows.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+        named = classes.select("node", F.col("doc_id").alias("component_id"))
+    else:
+        of = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+        named = of.join(of.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id")
+    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op4_jaccard_join(spark, sf_dir):
