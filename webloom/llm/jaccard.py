@@ -35,10 +35,10 @@ SIZE = 5
 SHARE, OF = 80, 100
 FRAGMENTS = 4
 #: A gram that makes up more than 1 / HEAVY_SHARE of all is put last; so there are at most HEAVY_SHARE of them.
-HEAVY_SHARE = 1 << 20
+HEAVY_SHARE = 1 << 21
 #: Turns with a leader per list, and the share of the smaller prefix that a pair must have in common to be compared
 #: in them already.
-TURNS, EARLY = 3, 0.3
+TURNS, EARLY = 6, 0.3
 #: Prefix grams of a bucket.
 BUCKET_GRAMS = 1_000_000
 
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     lists = _lists(filled)
     edges = labels = None
     for turn in range(TURNS + 1):
-        if turn == 0:
+        if turn == 0 and turn < TURNS:
             met = lists.select("node", "n", F.col("leader").alias("other"), F.col("leader_n").alias("other_n"))
         elif labels is not None or turn == TURNS:
             # Members of a list that are not in the component of its first leader; they only get fewer.
