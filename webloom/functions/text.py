@@ -129,13 +129,13 @@ def decode_entities(text, attribute: bool = False) -> Column:
     parts = F.regexp_extract_all(col, F.lit(reference + "|[^&]++|&"), F.lit(0))
 
     def one(part: Column) -> Column:
-        ref = F.substring(part, 2, 40)
+        ref = F.substring(part, F.lit(2), F.length(part))
         numeric = F.when(F.length(part) > 2, _numeric_entity(ref))
         value = F.when(part.startswith("&#"), numeric).otherwise(_named_entity(ref))
         if not attribute:
             # An unknown name may still begin with an old one.
             start = F.regexp_extract(part, f"^&({'|'.join(bare)})", 1)
-            value = F.coalesce(value, F.concat(_named_entity(start), F.substring(part, F.length(start) + 2, F.lit(1 << 20))))
+            value = F.coalesce(value, F.concat(_named_entity(start), F.substring(part, F.length(start) + 2, F.length(part))))
         return F.when(part.startswith("&"), F.coalesce(value, part)).otherwise(part)
 
     # Without a reference the text comes back as it is, in one part.

@@ -32,7 +32,8 @@ def valid_url(url) -> Column:
     col = F.btrim(as_column(url), F.lit("\t\n\x0b\f\r "))
     web = (
         r"(?i)^(?:https?|ftp|wss?):[/\\]*(?:[^/\\?#@]*@)?"
-        r"(?:\[[0-9a-f:.]+\]|[^\s\x00-\x20#%/:<>?@\[\\\]^|]+)(?::[0-9]{0,5})?(?:[/\\?#].*)?$"
+        r"(?:\[[0-9a-f:.]+\]|[^\s\x00-\x20#%/:<>?@\[\\\]^|]+)(?::(?:0*(?:[0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5]))?)?"
+        r"(?:[/\\?#].*)?$"
     )
     other = r"(?is)^(?!(?:https?|ftp|wss?):)[a-z][a-z0-9+.\-]*:.*"
     return F.coalesce(col.rlike(web) | col.rlike(other), F.lit(False))

@@ -70,7 +70,7 @@ def _whole_json(text: Column) -> Column:
         bare_click = (F.lower(get("type")) == "click") & (F.coalesce(get("element"), F.lit("")) == "")
         odd_value = bare_click & ~_kind(v, "value").isin("STRING", "VOID") & ~get("value").isin("0", "false")
         bad = ~_kind(v, "type").isin("STRING", "VOID") | F.coalesce(odd_value, F.lit(False))
-        href = escape_css(trim_js(F.substring(get("value"), 3, 1 << 20)))
+        href = escape_css(trim_js(F.substring(get("value"), F.lit(3), F.length(get("value")))))
         as_link = _normal(
             get,
             element=F.concat(F.lit('a[href="'), href, F.lit('"]')),

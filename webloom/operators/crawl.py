@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -77,8 +78,9 @@ def discover_links(dom: Dom, spec: dict[str, Any] | None = None, visited: DataFr
     return frontier
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """Breadth-first depth of URLs over `edges(source, target)` from `seeds(url)`, up to `max_depth`.
+def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Breadth-first depth of URLs over `edges(source, target)` from `seeds(url)`: up to `max_depth`, or until nothing
+    new is reached. Depth 0 is the seeds alone.
 
     Each round joins only the newest URLs with the edges and writes its result down, so the plan does not grow with
     depth and a lost executor costs one round.
@@ -86,7 +88,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     edges = cut(edges.select("source", "target").where("source <> target").distinct())
     reached = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     newest = reached
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         targets = edges.join(newest.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url"))
         newest = cut(targets.distinct().join(reached, "url", "left_anti").withColumn("depth", F.lit(depth)))
         if newest.isEmpty():
@@ -106,7 +108,7 @@ def crawl_pages(pages: DataFrame, dom: Dom, seeds: DataFrame, spec: dict[str, An
         without_fragment("page_url").alias("source"), without_fragment("url").alias("target")
     )
     edges = edges.join(stored.select(F.col("url").alias("target")), "target", "left_semi")
-    depths = crawl(edges, seeds.select(without_fragment("url").alias("url")), navigation.get("maxDepth") or 1)
+    depths = crawl(edges, seeds.select(without_fragment("url").alias("url")), navigation.get("maxDepth"))
     return stored.join(depths, "url").select("page_id", "url", "depth")
 
 
@@ -164,18 +166,19 @@ def page_chain(dom: Dom, selector: str, max_pages: int | None = None) -> DataFra
 
 
 def url_page_numbers(pages: DataFrame, parameter: str = "page") -> DataFrame:
-    """Pages that carry their number in the URL: series, number, and whether the next number is stored too.
+    """Pages that carry their number in the URL: series, number, and whether the next number is stored too. A number
+    beyond 64 bits is none.
 
     The next page is looked up by (series, number), so one long series does not end up in one task.
     """
-    query, path = rf"[?&]{parameter}=(\d{{1,9}})(?=&|#|$)", rf"/{parameter}/(\d{{1,9}})(?=[/?#]|$)"
+    query, path = rf"[?&]{parameter}=(\d+)(?=&|#|$)", rf"/{parameter}/(\d+)(?=[/?#]|$)"
     bare = without_fragment("url")
     number = F.coalesce(
         F.regexp_extract("url", query, 1).try_cast("bigint"), F.regexp_extract("url", path, 1).try_cast("bigint")
     )
     series = F.regexp_replace(
-        F.regexp_replace(bare, rf"([?&]){parameter}=\d{{1,9}}(?=&|$)", f"$1{parameter}=*"),
-        rf"/{parameter}/\d{{1,9}}(?=[/?]|$)",
+        F.regexp_replace(bare, rf"([?&]){parameter}=\d+(?=&|$)", f"$1{parameter}=*"),
+        rf"/{parameter}/\d+(?=[/?]|$)",
         f"/{parameter}/*",
     )
     numbered = pages.select("page_id", "url", series.alias("series"), number.alias("page_number")).where(

@@ -143,7 +143,7 @@ def _landmarks() -> list[Column]:
 
 
 def _pixels(name: str) -> Column:
-    return F.regexp_extract(_a(name), r"^\s*(\d{1,9})", 1).try_cast("int").alias(name)
+    return F.regexp_extract(_a(name), r"^\s*(\d+)", 1).try_cast("int").alias(name)
 
 
 @built_once

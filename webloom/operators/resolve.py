@@ -89,7 +89,7 @@ def _parts(selector: Column) -> Column:
         return F.struct(
             F.coalesce(plain, F.lower(group(1))).alias("name"),
             F.when(p.startswith("#"), F.lit("=")).when(p.startswith("."), F.lit("~=")).otherwise(group(2)).alias("op"),
-            F.when(plain.isNotNull(), F.substring(p, 2, 1 << 20))
+            F.when(plain.isNotNull(), F.substring(p, F.lit(2), F.length(p)))
             .otherwise(F.concat(group(3), group(4), group(5)))
             .alias("value"),
             (F.lower(group(6)) == "i").alias("ci"),
@@ -430,7 +430,7 @@ def element_info(wanted: DataFrame, dom: Dom) -> DataFrame:
 def close_matches(wanted: DataFrame, dom: Dom, limit: int = MAX_SIMILAR) -> DataFrame:
     """For #x and .x selectors: the first elements whose id or class contains x."""
     asked = wanted.select("page_id", "selector").distinct().where(F.col("selector").rlike(r"^[#.]."))
-    asked = asked.select("page_id", "selector", F.substring("selector", 2, 1 << 20).alias("part"), F.startswith("selector", F.lit("#")).alias("by_id"))
+    asked = asked.select("page_id", "selector", F.substring("selector", F.lit(2), F.length("selector")).alias("part"), F.startswith("selector", F.lit("#")).alias("by_id"))
     marked = dom.nodes.where(F.length("raw") > F.length("tag") + 2).select(
         "page_id", "pos", "end", "tag", "raw", attr("id").alias("node_id"), attr("class").alias("node_class")
     )

@@ -37,7 +37,7 @@ def select_pages(pages: DataFrame, spec: dict[str, Any]) -> DataFrame:
         pages = pages.where(origin("url") == F.lit(base))
         if (spec.get("navigation") or {}).get("type") == "single":
             pages = pages.where(F.col("url") == F.lit(base + (target.get("startPath") or "/")))
-    if target.get("maxPages"):
+    if target.get("maxPages") is not None:
         pages = pages.orderBy("page_id").limit(target["maxPages"])
     return pages
 
@@ -187,7 +187,7 @@ def items(rows: DataFrame, spec: dict[str, Any] | None = None) -> DataFrame:
         "page_id", "page_url", "pos", "data"
     )
     limit = ((spec or {}).get("target") or {}).get("maxItems")
-    return valid.orderBy("page_id", "pos").limit(limit) if limit else valid
+    return valid.orderBy("page_id", "pos").limit(limit) if limit is not None else valid
 
 
 def errors(rows: DataFrame) -> DataFrame:

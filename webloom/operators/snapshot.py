@@ -244,8 +244,8 @@ def compact_pagination(dom: Dom, limit: int = MAX_PAGINATION) -> DataFrame:
     rel = F.lower(F.coalesce(F.try_element_at("attrs", F.lit("rel")), F.lit("")))
     rank = (
         F.when(rel.rlike(r"\b(?:next|prev)\b"), 0)
-        .when(word.rlike(r"^(?:next|previous|prev|older|newer|more|»|›|→|load more)\b.{0,12}$|^[»›→]$"), 1)
-        .when(word.rlike(r"^\d{1,4}$"), 2)
+        .when(word.rlike(r"^(?:next|previous|prev|older|newer|more|»|›|→|load more)\b|^[»›→]$"), 1)
+        .when(word.rlike(r"^\d+$"), 2)
     )
     rows = _clickable(dom).select("page_id", "pos", rank.alias("kind"), _node_ref(F.col("name")).alias("control"))
     return _top(rows.where("kind is not null"), ["kind", "pos"], limit).select("page_id", "pos", "rank", "control.*")

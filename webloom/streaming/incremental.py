@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from webloom.plans.nodes import Dom, parse
@@ -30,7 +31,9 @@ def extract_stream(
     """Run an extractor over every micro-batch of pages and append its rows below `out`."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = extractor(parse(batch.dropDuplicates(["page_id"])))
+        # Of several versions of a page in one batch the one that sorts last counts, in every run the same.
+        last = batch.groupBy("page_id").agg(F.max(F.struct("url", "html")).alias("page")).select("page_id", "page.url", "page.html")
+        rows = extractor(parse(last))
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
