@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of a range that is numbered by one task.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 SEED = 17
 
 
