@@ -80,6 +80,8 @@ def test_near_duplicates_against_brute_force(docs, monkeypatch, turns):
     """Chains of edits, copies, a common passage and short texts; with and without leaders the components are the same."""
     monkeypatch.setattr(jaccard, "TURNS", turns)
     monkeypatch.setattr(jaccard, "HEAVY_SHARE", 1 << 9)
+    monkeypatch.setattr(jaccard, "HEAVY_LEAST", 4)
+    monkeypatch.setattr(jaccard, "LEVEL_GRAMS", 500)
     rng = random.Random(5)
     passage = " ".join(f"p{k}" for k in range(40))
     texts = [None, "", "  \n", "one two", "ONE  two", "one two three", "y " * 4000]

@@ -1,9 +1,12 @@
 """N-gram Jaccard join with vertical partitioning, and its connected components.
 
-Method. The grams (word shingles) of all texts get one global order: grams frequent in the whole data last, others by
-hash. Equal sets are one class, known by the sum of its grams' hashes. Two classes can only reach the similarity if they
-share a gram among their first |set| - ceil(share * |set|) + 1 in that order, so such prefixes give the candidates. The
-order is also cut into fragments: each candidate pair's common grams are counted fragment by fragment and summed.
+Method. The grams (word shingles) of all texts get one global order: by the number of classes that hold them, rarest
+first, then by hash. Equal sets are one class, known by the sum of its grams' hashes. Two classes can only reach the
+similarity if they share a gram among their first |set| - ceil(share * |set|) + 1 in that order, so such prefixes give
+the candidates; a class whose prefix is all its own has none. The numbers are counted in buckets of gram hashes, which
+answer each class with a byte per gram. Grams frequent in the whole data are told apart beforehand and come last.
+Another order, by hash, is cut into fragments: each candidate pair's common grams are counted fragment by fragment and
+summed.
 
 Components need no full list of pairs. In every list of classes that share a prefix gram, all are first compared with
 one leader, and what links becomes one component. Members outside the leader's component get further leaders among
@@ -34,13 +37,14 @@ SIZE = 5
 #: The similarity as a fraction: 80 / 100.
 SHARE, OF = 80, 100
 FRAGMENTS = 4
-#: A gram that makes up more than 1 / HEAVY_SHARE of all is put last; so there are at most HEAVY_SHARE of them.
-HEAVY_SHARE = 1 << 21
+#: A gram that makes up more than 1 / HEAVY_SHARE of all is put last; so there are at most HEAVY_SHARE of them. One
+#: found at most HEAVY_LEAST times fits a bucket anyway.
+HEAVY_SHARE, HEAVY_LEAST = 1 << 20, 50_000
 #: Turns with a leader per list, and the share of the smaller prefix that a pair must have in common to be compared
 #: in them already.
 TURNS, EARLY = 6, 0.3
-#: Prefix grams of a bucket.
-BUCKET_GRAMS = 1_000_000
+#: Grams of a bucket where classes are counted, and prefix grams of a bucket of lists.
+LEVEL_GRAMS, BUCKET_GRAMS = 2_000_000, 1_000_000
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def heavy_grams(docs: DataFrame, size: int = SIZE) -> tuple[np.ndarray, np.ndarr
 
     def counted(batches):
         sets = (shingles(word_ids(text), size) for batch in rows_of(batches) for text in batch.column("text").to_pylist())
-        for grams, counts, seen in repeated(sets, HEAVY_SHARE):
+        for grams, counts, seen in repeated(sets, HEAVY_SHARE, 1 << 22):
             grams, counts = np.append(grams.view(np.int64), 0), np.append(counts, seen)
             total = np.zeros(len(grams), bool)
             total[-1] = True
@@ -61,7 +65,7 @@ def heavy_grams(docs: DataFrame, size: int = SIZE) -> tuple[np.ndarray, np.ndarr
     sums = _texts(docs).select("text").mapInArrow(counted, "gram bigint, n bigint, total boolean").groupBy("gram", "total").agg(F.sum("n").alias("n"))
     sums = stored(sums, "gram-counts")
     total = sums.where("total").first()
-    least = max(4, (total["n"] if total else 0) // HEAVY_SHARE)
+    least = max(HEAVY_LEAST, (total["n"] if total else 0) // HEAVY_SHARE)
     rows = sums.where(~F.col("total") & (F.col("n") > least)).select("gram", "n").toArrow()
     grams, counts = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(grams)
@@ -73,39 +77,146 @@ def _identity(grams: np.ndarray) -> int:
     return int(mixed(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(grams) else 0
 
 
+def _light(own: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Marks the grams that are not frequent in the whole data."""
+    if not len(heavy) or not len(own):
+        return np.ones(len(own), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, own), len(heavy) - 1)] != own
+
+
+def _reach(n: int) -> int:
+    """Grams of the prefix of a set of n."""
+    return n - -(-SHARE * n // OF) + 1 if n else 0
+
+
 def _sets(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
-    """doc_id, n, node (the set's identity), its prefix without frequent grams, and the frequent grams of its prefix."""
+    """doc_id, n, node (the set's identity), and the frequent grams of its prefix."""
     grams, counts = heavy
 
     def batches(rows):
         for batch in rows_of(rows):
-            n, node, light, rest = [], [], [], []
+            n, node, rest = [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(word_ids(text), size)
                 n.append(len(own))
                 node.append(_identity(own))
-                keep = len(own) - -(-SHARE * len(own) // OF) + 1 if len(own) else 0
-                often = 0
-                if len(grams) and len(own):
-                    at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-                    weight = np.where(grams[at] == own, counts[at], 0)
-                    order = np.argsort(weight, kind="stable")[:keep]
-                    own, often = own[order], int((weight[order] > 0).sum())
-                own = own[:keep]
-                light.append(own[: len(own) - often].tobytes())
-                rest.append(own[len(own) - often :].view(np.int64).tolist() if often else None)
-            columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(light, pa.binary()), pa.array(rest, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "node", "light", "heavy"])
-
-    return _texts(docs).mapInArrow(batches, "doc_id bigint, n bigint, node bigint, light binary, heavy array<bigint>")
+                often = own[~_light(own, grams)]
+                order = np.argsort(counts[np.searchsorted(grams, often)], kind="stable")
+                often = often[order][: max(0, _reach(len(own)) - (len(own) - len(often)))]
+                rest.append(often.view(np.int64).tolist() if len(often) else None)
+            columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "node", "heavy"])
+
+    return _texts(docs).mapInArrow(batches, "doc_id bigint, n bigint, node bigint, heavy array<bigint>")
+
+
+def _bucketed(own: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each gram, and the grams' order by bucket."""
+    bucket = (mixed(own) % np.uint64(buckets)).astype(np.int64)
+    return bucket, np.argsort(bucket, kind="stable")
+
+
+def _levels(docs: DataFrame, heavy: np.ndarray, buckets: int, size: int) -> DataFrame:
+    """node, bucket, levels: how many classes hold each gram of a class, as a byte, in the order of `_bucketed`.
+
+    A level is a rounded logarithm, 0 for a gram that one class alone holds. It is a function of the gram's bucket and
+    the lower half of its hash, so it orders all sets alike even where two grams share both. Classes whose grams of a
+    bucket are all their own get no row.
+    """
+
+    def packed(batches):
+        seen: set[int] = set()
+        for batch in rows_of(batches):
+            nodes, grams = [], []
+            for text in batch.column("text").to_pylist():
+                own = shingles(word_ids(text), size)
+                node = _identity(own)
+                if not len(own) or node in seen:  # copies read by this task; what it forgets is sorted out in the bucket
+                    continue
+                seen.add(node)
+                own = own[_light(own, heavy)]
+                nodes.append(np.full(len(own), node))
+                grams.append(own)
+            if len(seen) > 1 << 18:
+                seen.clear()
+            if not grams:
+                continue
+            nodes, grams = np.concatenate(nodes), np.concatenate(grams)
+            bucket, order = _bucketed(grams, buckets)
+            nodes, halves = nodes[order], grams[order].astype(np.uint32)
+            held, ends = np.unique(bucket, return_counts=True)
+            ends = np.cumsum(ends)
+            parts = list(zip([0, *ends[:-1]], ends, strict=True))
+            runs = [_runs(nodes[a:b]) for a, b in parts]
+            columns = [[halves[a:b].tobytes() for a, b in parts], *([x[i].tobytes() for x in runs] for i in range(2))]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "halves", "nodes", "ns"])
+
+    def counted(table: pa.Table) -> pa.Table:
+        halves, nodes, ns = (np.concatenate([np.frombuffer(v, kind) for v in table.column(c).to_pylist()]) for c, kind in (("halves", np.uint32), ("nodes", np.int64), ("ns", np.uint32)))
+        first = np.zeros(len(nodes), bool)
+        first[np.unique(nodes, return_index=True)[1]] = True
+        halves, nodes, ns = halves[np.repeat(first, ns)], nodes[first], ns[first]
+        _, place, classes = np.unique(halves, return_inverse=True, return_counts=True)
+        level = np.minimum(np.rint(8 * np.log2(classes)), 255).astype(np.uint8)[place]
+        ends = np.cumsum(ns)
+        shared = [(node, level[end - n : end].tobytes()) for node, n, end in zip(nodes.tolist(), ns.tolist(), ends.tolist(), strict=True) if level[end - n : end].any()]
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table({
+            "node": pa.array([node for node, _ in shared], pa.int64()),
+            "bucket": pa.array([bucket] * len(shared), pa.int64()),
+            "levels": pa.array([own for _, own in shared], pa.binary()),
+        })
+
+    rows = _texts(docs).where("doc_id IS NOT NULL").select("text").mapInArrow(packed, "bucket bigint, halves binary, nodes binary, ns binary")
+    return rows.groupBy("bucket").applyInArrow(counted, "node bigint, bucket bigint, levels binary")
+
+
+def _runs(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring equal values as one value and its number."""
+    starts = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
+    return nodes[starts], np.diff(np.append(starts, len(nodes))).astype(np.uint32)
+
+
+def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int) -> DataFrame:
+    """node, n and the packed grams of its prefix that other classes hold too, frequent ones left out.
+
+    The rarest grams come first. A class with enough grams of its own to fill the prefix has no partner and no row.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total // LEVEL_GRAMS))
+    levels = _levels(docs, heavy, buckets, size).groupBy("node").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("levels").alias("levels"))
+    wanted = levels.join(classes, "node").select("doc_id", F.col("node").alias("wanted"), "buckets", "levels")
+
+    def chosen(batches):
+        for batch in rows_of(batches):
+            node, n, light = [], [], []
+            for text, asked, held, levels in zip(*(batch.column(c).to_pylist() for c in ("text", "wanted", "buckets", "levels")), strict=True):
+                own = shingles(word_ids(text), size)
+                if _identity(own) != asked:  # another text of the same doc_id
+                    continue
+                rest = own[_light(own, heavy)]
+                bucket, order = _bucketed(rest, buckets)
+                level = np.zeros(len(rest), np.uint8)
+                at = bucket[order]
+                for b, found in zip(held, levels, strict=True):
+                    level[order[np.searchsorted(at, b) : np.searchsorted(at, b, "right")]] = np.frombuffer(found, np.uint8)
+                first = np.argsort(level, kind="stable")[: _reach(len(own))]
+                first = first[level[first] > 0]
+                if len(first):
+                    node.append(asked)
+                    n.append(len(own))
+                    light.append(rest[first].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(light, pa.binary())], names=["node", "n", "light"])
+
+    return stored(_texts(docs).join(wanted, "doc_id").mapInArrow(chosen, "node bigint, n bigint, light binary"), "prefixes")
 
 
 _LIST = "gram bigint, node bigint, n bigint, leader bigint, leader_n bigint"
 
 
-def _lists(sets: DataFrame) -> DataFrame:
+def _lists(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
     """gram, node, n, leader, leader_n: the classes that share a prefix gram, and the leader of each list."""
-    total = sets.agg(F.sum(F.length("light"))).first()[0] or 0
+    total = prefixes.agg(F.sum(F.length("light"))).first()[0] or 0
     buckets = max(1, -(-total // (8 * BUCKET_GRAMS)))
 
     def packed(batches):
@@ -145,7 +256,7 @@ def _lists(sets: DataFrame) -> DataFrame:
         columns = [grams[kept].view(np.int64), nodes[kept], ns[kept].astype(np.int64), nodes[lead], ns[lead].astype(np.int64)]
         return pa.table(dict(zip(("gram", "node", "n", "leader", "leader_n"), columns, strict=True)))
 
-    light = sets.where(F.length("light") > 0).select("node", "n", "light").mapInArrow(packed, "bucket int, grams binary, nodes binary, ns binary")
+    light = prefixes.mapInArrow(packed, "bucket int, grams binary, nodes binary, ns binary")
     light = light.groupBy("bucket").applyInArrow(listed, _LIST)
     heavy = sets.where(F.col("heavy").isNotNull()).select(F.explode("heavy").alias("gram"), "node", "n").distinct()
     leaders = _leaders(heavy, 0).select("gram", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
@@ -238,10 +349,11 @@ def _prefix(n: str) -> Column:
 
 def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
-    sets = stored(_sets(docs, heavy_grams(docs, size), size), "sets")
+    heavy = heavy_grams(docs, size)
+    sets = stored(_sets(docs, heavy, size), "sets")
     filled = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    lists = _lists(filled)
+    classes = stored(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
+    lists = _lists(filled, _prefixes(docs, classes, heavy[0], size))
     edges = labels = None
     for turn in range(TURNS + 1):
         if turn == 0 and turn < TURNS:
