@@ -90,24 +90,25 @@ def _reach(n: int) -> int:
 
 
 def _sets(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
-    """doc_id, n, node (the set's identity), and the frequent grams of its prefix."""
+    """doc_id, n, node (the set's identity), the number of frequent grams, and those of its prefix."""
     grams, counts = heavy
 
     def batches(rows):
         for batch in rows_of(rows):
-            n, node, rest = [], [], []
+            n, node, number, rest = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(word_ids(text), size)
                 n.append(len(own))
                 node.append(_identity(own))
                 often = own[~_light(own, grams)]
+                number.append(len(often))
                 order = np.argsort(counts[np.searchsorted(grams, often)], kind="stable")
                 often = often[order][: max(0, _reach(len(own)) - (len(own) - len(often)))]
                 rest.append(often.view(np.int64).tolist() if len(often) else None)
-            columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "node", "heavy"])
+            columns = [*(pa.array(x, pa.int64()) for x in (n, node, number)), pa.array(rest, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "node", "often", "heavy"])
 
-    return _texts(docs).mapInArrow(batches, "doc_id bigint, n bigint, node bigint, heavy array<bigint>")
+    return _texts(docs).mapInArrow(batches, "doc_id bigint, n bigint, node bigint, often bigint, heavy array<bigint>")
 
 
 def _bucketed(own: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,11 +118,11 @@ def _bucketed(own: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _levels(docs: DataFrame, heavy: np.ndarray, buckets: int, size: int) -> DataFrame:
-    """node, bucket, levels: how many classes hold each gram of a class, as a byte, in the order of `_bucketed`.
+    """node, bucket, shared, levels: how many classes hold each gram of a class, as a byte, in the order of `_bucketed`.
 
     A level is a rounded logarithm, 0 for a gram that one class alone holds. It is a function of the gram's bucket and
-    the lower half of its hash, so it orders all sets alike even where two grams share both. Classes whose grams of a
-    bucket are all their own get no row.
+    the lower half of its hash, so it orders all sets alike even where two grams share both. `shared` is the number of
+    levels above 0; where it is 0 there is no row.
     """
 
     def packed(batches):
@@ -164,11 +165,12 @@ def _levels(docs: DataFrame, heavy: np.ndarray, buckets: int, size: int) -> Data
         return pa.table({
             "node": pa.array([node for node, _ in shared], pa.int64()),
             "bucket": pa.array([bucket] * len(shared), pa.int64()),
+            "shared": pa.array([len(own) - own.count(0) for _, own in shared], pa.int64()),
             "levels": pa.array([own for _, own in shared], pa.binary()),
         })
 
     rows = _texts(docs).where("doc_id IS NOT NULL").select("text").mapInArrow(packed, "bucket bigint, halves binary, nodes binary, ns binary")
-    return rows.groupBy("bucket").applyInArrow(counted, "node bigint, bucket bigint, levels binary")
+    return rows.groupBy("bucket").applyInArrow(counted, "node bigint, bucket bigint, shared bigint, levels binary")
 
 
 def _runs(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +186,10 @@ def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int)
     """
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // LEVEL_GRAMS))
-    levels = _levels(docs, heavy, buckets, size).groupBy("node").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("levels").alias("levels"))
-    wanted = levels.join(classes, "node").select("doc_id", F.col("node").alias("wanted"), "buckets", "levels")
+    levels = _levels(docs, heavy, buckets, size).groupBy("node").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("bucket", "levels")).alias("found"))
+    wanted = levels.join(classes, "node").where(F.col("n") - F.col("often") - F.col("shared") < _prefix("n"))
+    wanted = stored(wanted.select("doc_id", F.col("node").alias("wanted"), F.col("found.bucket").alias("buckets"), F.col("found.levels").alias("levels")), "shared")
+    texts = _texts(docs).join(wanted.select("doc_id"), "doc_id", "left_semi")
 
     def chosen(batches):
         for batch in rows_of(batches):
@@ -208,7 +212,7 @@ def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int)
                     light.append(rest[first].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(light, pa.binary())], names=["node", "n", "light"])
 
-    return stored(_texts(docs).join(wanted, "doc_id").mapInArrow(chosen, "node bigint, n bigint, light binary"), "prefixes")
+    return stored(texts.join(wanted, "doc_id").mapInArrow(chosen, "node bigint, n bigint, light binary"), "prefixes")
 
 
 _LIST = "gram bigint, node bigint, n bigint, leader bigint, leader_n bigint"
@@ -352,7 +356,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     heavy = heavy_grams(docs, size)
     sets = stored(_sets(docs, heavy, size), "sets")
     filled = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
+    classes = stored(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("often").alias("often")), "classes")
     lists = _lists(filled, _prefixes(docs, classes, heavy[0], size))
     edges = labels = None
     for turn in range(TURNS + 1):
