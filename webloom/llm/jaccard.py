@@ -8,12 +8,16 @@ answer each class with a byte per gram. Grams frequent in the whole data are tol
 Another order, by hash, is cut into fragments: each candidate pair's common grams are counted fragment by fragment and
 summed.
 
+A gram's place in both sets bounds what they share if it is the first gram that they share: itself and what follows
+it in either. A pair that can link passes this bound at its first common gram, so a pair and a gram that fail it are not
+looked at, nor is a class in a list where even the smallest member would fail with it.
+
 Components need no full list of pairs. In every list of classes that share a prefix gram, all are first compared with
-one leader, and what links becomes one component. Members outside the leader's component get further leaders among
-themselves (TURNS in all; pairs that share few prefix grams wait). The last turn takes exactly those pairs of a list
-that still lie in different components. It knows all prefix grams they share, which bounds what they can share at all,
-and compares those that may reach the similarity. So no link between different texts is lost, while a group of many
-near copies costs about one comparison per copy.
+one leader, the smallest, and what links becomes one component. Members outside the leader's component are compared
+with more leaders of the list (TURNS in all), up to LEADERS each. The last turn takes exactly those pairs of a list that still lie in different
+components. It knows all prefix grams they share down to the last that passes the bound, and so how much they can share
+at all, and compares those that may reach the similarity. So no link between different texts is lost, while a group of
+many near copies costs about one comparison per copy.
 
 Lists of grams that are not frequent are made in buckets from packed arrays; those of frequent grams, of any length, by
 aggregates and joins that Spark can split.
@@ -40,9 +44,8 @@ FRAGMENTS = 4
 #: A gram that makes up more than 1 / HEAVY_SHARE of all is put last; so there are at most HEAVY_SHARE of them. One
 #: found at most HEAVY_LEAST times fits a bucket anyway.
 HEAVY_SHARE, HEAVY_LEAST = 1 << 20, 50_000
-#: Turns with a leader per list, and the share of the smaller prefix that a pair must have in common to be compared
-#: in them already.
-TURNS, EARLY = 6, 0.3
+#: Turns with leaders, and leaders per list in the turns after the first.
+TURNS, LEADERS = 2, 32
 #: Grams of a bucket where classes are counted, and prefix grams of a bucket of lists.
 LEVEL_GRAMS, BUCKET_GRAMS = 2_000_000, 1_000_000
 
@@ -180,7 +183,8 @@ def _runs(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int) -> DataFrame:
-    """node, n and the packed grams of its prefix that other classes hold too, frequent ones left out.
+    """node, n, the packed grams of its prefix that other classes hold too, frequent ones left out, and `after`: how many
+    grams follow the first of them in the order.
 
     The rarest grams come first. A class with enough grams of its own to fill the prefix has no partner and no row.
     """
@@ -193,7 +197,7 @@ def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int)
 
     def chosen(batches):
         for batch in rows_of(batches):
-            node, n, light = [], [], []
+            node, n, light, after = [], [], [], []
             for text, asked, held, levels in zip(*(batch.column(c).to_pylist() for c in ("text", "wanted", "buckets", "levels")), strict=True):
                 own = shingles(word_ids(text), size)
                 if _identity(own) != asked:  # another text of the same doc_id
@@ -204,30 +208,34 @@ def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int)
                 at = bucket[order]
                 for b, found in zip(held, levels, strict=True):
                     level[order[np.searchsorted(at, b) : np.searchsorted(at, b, "right")]] = np.frombuffer(found, np.uint8)
-                first = np.argsort(level, kind="stable")[: _reach(len(own))]
-                first = first[level[first] > 0]
+                prefix = np.argsort(level, kind="stable")[: _reach(len(own))]
+                first = prefix[level[prefix] > 0]
                 if len(first):
+                    after.append(len(own) - (len(prefix) - len(first)) - 1)
                     node.append(asked)
                     n.append(len(own))
                     light.append(rest[first].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(light, pa.binary())], names=["node", "n", "light"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(light, pa.binary()), pa.array(after, pa.int64())], names=["node", "n", "light", "after"])
 
-    return stored(texts.join(wanted, "doc_id").mapInArrow(chosen, "node bigint, n bigint, light binary"), "prefixes")
+    return stored(texts.join(wanted, "doc_id").mapInArrow(chosen, "node bigint, n bigint, light binary, after bigint"), "prefixes")
 
 
-_LIST = "gram bigint, node bigint, n bigint, leader bigint, leader_n bigint"
+_LIST = "gram bigint, node bigint, n bigint, rest bigint, leader bigint, leader_n bigint, leader_rest bigint"
 
 
 def _lists(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """gram, node, n, leader, leader_n: the classes that share a prefix gram, and the leader of each list."""
+    """The classes that share a prefix gram, and the leader of each list, its smallest member.
+
+    `rest` is how many grams of the class follow this one. Classes that not even the smallest one could reach are left out.
+    """
     total = prefixes.agg(F.sum(F.length("light"))).first()[0] or 0
     buckets = max(1, -(-total // (8 * BUCKET_GRAMS)))
 
     def packed(batches):
         seen: set[int] = set()
         for batch in rows_of(batches, 4096):
-            grams, nodes, ns = [], [], []
-            for node, n, light in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "light")), strict=True):
+            grams, nodes, ns, rests = [], [], [], []
+            for node, n, light, after in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "light", "after")), strict=True):
                 if node in seen:  # copies read by this task; what it forgets is sorted out in the bucket
                     continue
                 seen.add(node)
@@ -235,41 +243,52 @@ def _lists(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
                 grams.append(own)
                 nodes.append(np.full(len(own), node))
                 ns.append(np.full(len(own), n, np.uint32))
+                rests.append((after - np.arange(len(own))).astype(np.uint32))
             if len(seen) > 1 << 18:
                 seen.clear()
             if not grams:
                 continue
-            grams, nodes, ns = map(np.concatenate, (grams, nodes, ns))
+            grams, nodes, ns, rests = map(np.concatenate, (grams, nodes, ns, rests))
             bucket = (mixed(grams) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             parts = [order[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-            columns = [[x[at].tobytes() for at in parts] for x in (grams, nodes, ns)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "grams", "nodes", "ns"])
+            columns = [[x[at].tobytes() for at in parts] for x in (grams, nodes, ns, rests)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "grams", "nodes", "ns", "rests"])
 
     def listed(table: pa.Table) -> pa.Table:
-        grams, nodes, ns = (np.concatenate([np.frombuffer(v, kind) for v in table.column(c).to_pylist()]) for c, kind in (("grams", np.uint64), ("nodes", np.int64), ("ns", np.uint32)))
-        order = np.lexsort((mixed(nodes.view(np.uint64)), grams))
-        grams, nodes, ns = grams[order], nodes[order], ns[order]
+        kinds = (("grams", np.uint64), ("nodes", np.int64), ("ns", np.uint32), ("rests", np.uint32))
+        grams, nodes, ns, rests = (np.concatenate([np.frombuffer(v, kind) for v in table.column(c).to_pylist()]) for c, kind in kinds)
+        order = np.lexsort((mixed(nodes.view(np.uint64)), ns, grams))
+        grams, nodes, ns, rests = grams[order], nodes[order], ns[order], rests[order]
         own = np.ones(len(grams), bool)
         own[1:] = (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])
-        grams, nodes, ns = grams[own], nodes[own], ns[own]
+        grams, nodes, ns, rests = grams[own], nodes[own], ns[own].astype(np.int64), rests[own].astype(np.int64)
         _, first, place, members = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
         kept = members[place] > 1
         lead = first[place[kept]]
-        columns = [grams[kept].view(np.int64), nodes[kept], ns[kept].astype(np.int64), nodes[lead], ns[lead].astype(np.int64)]
-        return pa.table(dict(zip(("gram", "node", "n", "leader", "leader_n"), columns, strict=True)))
+        columns = [grams[kept].view(np.int64), nodes[kept], ns[kept], rests[kept], nodes[lead], ns[lead], rests[lead]]
+        return pa.table(dict(zip(("gram", "node", "n", "rest", "leader", "leader_n", "leader_rest"), columns, strict=True)))
 
-    light = prefixes.mapInArrow(packed, "bucket int, grams binary, nodes binary, ns binary")
+    light = prefixes.mapInArrow(packed, "bucket int, grams binary, nodes binary, ns binary, rests binary")
     light = light.groupBy("bucket").applyInArrow(listed, _LIST)
-    heavy = sets.where(F.col("heavy").isNotNull()).select(F.explode("heavy").alias("gram"), "node", "n").distinct()
-    leaders = _leaders(heavy, 0).select("gram", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
-    return stored(light.unionByName(heavy.join(leaders, "gram")), "lists")
+    heavy = sets.where(F.col("heavy").isNotNull()).select("node", "n", "often", F.posexplode("heavy").alias("at", "gram"))
+    heavy = heavy.select("gram", "node", "n", (F.col("often") - F.col("at") - 1).alias("rest")).distinct()
+    leaders = heavy.groupBy("gram").agg(F.min_by(F.struct("node", "n", "rest"), F.struct("n", "node")).alias("leader"))
+    leaders = leaders.select("gram", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.rest").alias("leader_rest"))
+    smallest = F.expr(f"greatest(leader_n, ({SHARE} * n + {OF - 1}) div {OF})")
+    rows = light.unionByName(heavy.join(leaders, "gram")).withColumn("smallest", smallest)
+    return stored(rows.where(F.col("rest") + 1 >= _least("n", "smallest")).drop("smallest"), "lists")
+
+
+_OTHER = ("other", "other_n", "other_rest", "other_component", "inside")
 
 
-def _leaders(lists: DataFrame, turn: int, *more: str) -> DataFrame:
-    """One member of each gram's list, the same for as many lists as possible."""
-    return lists.groupBy("gram").agg(F.min_by(F.struct("node", "n", *more), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("leader"))
+def _leaders(lists: DataFrame, turn: int) -> DataFrame:
+    """Up to LEADERS members of each gram's list, the same for as many lists as possible."""
+    by = F.xxhash64("other", F.lit(turn))
+    chosen = lists.groupBy("gram", F.pmod(by, F.lit(LEADERS)).alias("seat")).agg(F.min_by(F.struct(*_OTHER), F.struct(by, "other")).alias("leader"))
+    return chosen.select("gram", "leader.*")
 
 
 def _fragments(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -339,12 +358,22 @@ def _component(rows: DataFrame, labels: DataFrame, node: str, name: str) -> Data
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """a, b, na, nb and how many lists they met in, from (node, n, other, other_n); only sizes that can reach the share."""
+    """a, b, na, nb, in how many lists they met, and how many grams may still follow, from (node, n, rest, other, ...).
+
+    Only sizes and places in the order that can reach the share.
+    """
     met = met.where((F.col("node") != F.col("other")) & (OF * F.least("n", "other_n") >= SHARE * F.greatest("n", "other_n")))
+    met = met.where(F.least("rest", "other_rest") + 1 >= _least("n", "other_n"))
     first = F.col("node") < F.col("other")
     ends = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     ends += [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("n", "other_n", "na"), ("other_n", "n", "nb"))]
-    return met.select(*ends).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
+    rows = met.select(*ends, F.least("rest", "other_rest").alias("rest"))
+    return rows.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"), F.min("rest").alias("follow"))
+
+
+def _least(n: str, other: str) -> Column:
+    """How many grams sets of these sizes must have in common."""
+    return F.expr(f"({SHARE} * ({n} + {other}) + {OF + SHARE - 1}) div {OF + SHARE}")
 
 
 def _prefix(n: str) -> Column:
@@ -361,30 +390,27 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     edges = labels = None
     for turn in range(TURNS + 1):
         if turn == 0 and turn < TURNS:
-            met = lists.select("node", "n", F.col("leader").alias("other"), F.col("leader_n").alias("other_n"))
+            met = lists.select("node", "n", "rest", F.col("leader").alias("other"), F.col("leader_n").alias("other_n"), F.col("leader_rest").alias("other_rest"))
         elif labels is not None or turn == TURNS:
             # Members of a list that are not in the component of its first leader; they only get fewer.
             known = labels if labels is not None else lists.select("node", F.col("node").alias("component")).limit(0)
             placed = _component(lists if turn == 1 or labels is None else outside.drop("component", "leading"), known, "node", "component")
             outside = stored(_component(placed, known, "leader", "leading").where("component <> leading"), "outside")
+            every = _component(lists.join(outside.select("gram").distinct(), "gram", "left_semi"), known, "node", "component")
+            every = _component(every, known, "leader", "leading").withColumn("inside", F.col("component") == F.col("leading"))
+            every = every.select("gram", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("rest").alias("other_rest"), F.col("component").alias("other_component"), "inside")
+            own = outside.select("gram", "node", "n", "rest", "component")
             if turn < TURNS:
-                leaders = _leaders(outside, turn, "component").select("gram", F.col("leader.node").alias("other"), F.col("leader.n").alias("other_n"), F.col("leader.component").alias("other_component"))
-                met = outside.select("gram", "node", "n", "component").join(leaders, "gram")
+                met = own.join(_leaders(every, turn), "gram")
             else:
-                every = _component(lists.join(outside.select("gram").distinct(), "gram", "left_semi"), known, "node", "component")
-                every = _component(every, known, "leader", "leading")
-                every = every.select("gram", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"), (F.col("component") == F.col("leading")).alias("inside"))
-                met = outside.select("gram", "node", "n", "component").join(every, "gram").where(F.col("inside") | (F.col("node") < F.col("other")))
+                met = own.join(every, "gram").where(F.col("inside") | (F.col("node") < F.col("other")))
             met = met.where("component <> other_component")
         else:
             continue
         pairs = _pairs(met)
-        if turn < TURNS:
-            pairs = pairs.where(F.col("met") >= EARLY * F.least(_prefix("na"), _prefix("nb")))
-        else:
-            # All prefix grams that they share are counted; beyond the prefixes they share no more than what is left.
-            least = F.expr(f"({SHARE} * (na + nb) + {OF + SHARE - 1}) div {OF + SHARE}")
-            pairs = pairs.where(F.col("met") + F.greatest(F.col("na") - _prefix("na"), F.col("nb") - _prefix("nb")) >= least)
+        if turn == TURNS:
+            # All their common grams down to the last that passed are counted; after it they share no more than follow.
+            pairs = pairs.where(F.col("met") + F.col("follow") >= _least("na", "nb"))
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             continue
