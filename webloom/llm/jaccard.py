@@ -121,9 +121,9 @@ def _bucketed(own: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _levels(docs: DataFrame, heavy: np.ndarray, buckets: int, size: int) -> DataFrame:
-    """node, bucket, shared, levels: how many classes hold each gram of a class, as a byte, in the order of `_bucketed`.
+    """node, shared, buckets, levels: how many classes hold each gram of a class, as a byte, in the order of `_bucketed`.
 
-    A level is a rounded logarithm, 0 for a gram that one class alone holds. It is a function of the gram's bucket and
+    Buckets where every level of the class is 0 are left out. A level is a rounded logarithm, 0 for a gram that one class alone holds. It is a function of the gram's bucket and
     the lower half of its hash, so it orders all sets alike even where two grams share both. `shared` is the number of
     levels above 0; where it is 0 there is no row.
     """
@@ -162,18 +162,51 @@ def _levels(docs: DataFrame, heavy: np.ndarray, buckets: int, size: int) -> Data
         halves, nodes, ns = halves[np.repeat(first, ns)], nodes[first], ns[first]
         _, place, classes = np.unique(halves, return_inverse=True, return_counts=True)
         level = np.minimum(np.rint(8 * np.log2(classes)), 255).astype(np.uint8)[place]
-        ends = np.cumsum(ns)
-        shared = [(node, level[end - n : end].tobytes()) for node, n, end in zip(nodes.tolist(), ns.tolist(), ends.tolist(), strict=True) if level[end - n : end].any()]
-        bucket = table.column("bucket")[0].as_py()
+        kept = np.add.reduceat((level > 0).astype(np.int64), np.cumsum(ns, dtype=np.int64) - ns) > 0
+        level, nodes, ns = level[np.repeat(kept, ns)], nodes[kept], ns[kept]
+        # One row for each target, where all of a class meets again: as many rows as targets, not as classes.
+        target = (mixed(nodes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        level, nodes, ns, target = level[_moved(ns, order)], nodes[order], ns[order], target[order]
+        held, first = np.unique(target, return_index=True)
+        runs = np.append(first, len(target))
+        at = np.append(0, np.cumsum(ns, dtype=np.int64))[runs]
+        spans = list(zip(runs, runs[1:], strict=False))
         return pa.table({
-            "node": pa.array([node for node, _ in shared], pa.int64()),
-            "bucket": pa.array([bucket] * len(shared), pa.int64()),
-            "shared": pa.array([len(own) - own.count(0) for _, own in shared], pa.int64()),
-            "levels": pa.array([own for _, own in shared], pa.binary()),
+            "target": pa.array(held, pa.int64()),
+            "bucket": pa.array([table.column("bucket")[0].as_py()] * len(held), pa.int32()),
+            "nodes": pa.array([nodes[a:b].tobytes() for a, b in spans], pa.binary()),
+            "ns": pa.array([ns[a:b].tobytes() for a, b in spans], pa.binary()),
+            "levels": pa.array([level[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()),
+        })
+
+    def gathered(table: pa.Table) -> pa.Table:
+        kinds = (("nodes", np.int64), ("ns", np.uint32), ("levels", np.uint8))
+        parts = [[np.frombuffer(v, kind) for v in table.column(c).to_pylist()] for c, kind in kinds]
+        bucket = np.repeat(table.column("bucket").to_numpy(), [len(part) for part in parts[0]])
+        nodes, ns, level = map(np.concatenate, parts)
+        order = np.lexsort((bucket, nodes))
+        level, nodes, ns, bucket = level[_moved(ns, order)], nodes[order], ns[order], bucket[order].astype(np.int32)
+        node, first = np.unique(nodes, return_index=True)
+        runs = np.append(first, len(nodes))
+        at = np.append(0, np.cumsum(ns, dtype=np.int64))[runs]
+        return pa.table({
+            "node": pa.array(node, pa.int64()),
+            "shared": pa.array(np.add.reduceat((level > 0).astype(np.int64), at[:-1]), pa.int64()),
+            "buckets": pa.array([bucket[a:b].tobytes() for a, b in zip(runs, runs[1:], strict=False)], pa.binary()),
+            "levels": pa.array([level[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()),
         })
 
     rows = _texts(docs).where("doc_id IS NOT NULL").select("text").mapInArrow(packed, "bucket bigint, halves binary, nodes binary, ns binary")
-    return rows.groupBy("bucket").applyInArrow(counted, "node bigint, bucket bigint, shared bigint, levels binary")
+    met = rows.groupBy("bucket").applyInArrow(counted, "target bigint, bucket int, nodes binary, ns binary, levels binary")
+    return met.groupBy("target").applyInArrow(gathered, "node bigint, shared bigint, buckets binary, levels binary")
+
+
+def _moved(ns: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where the elements of runs of these lengths come from when the runs are put into another order."""
+    lengths = ns.astype(np.int64)
+    starts, moved = np.cumsum(lengths) - lengths, lengths[order]
+    return np.repeat(starts[order] - (np.cumsum(moved) - moved), moved) + np.arange(moved.sum())
 
 
 def _runs(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,9 +223,9 @@ def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int)
     """
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // LEVEL_GRAMS))
-    levels = _levels(docs, heavy, buckets, size).groupBy("node").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("bucket", "levels")).alias("found"))
-    wanted = levels.join(classes, "node").where(F.col("n") - F.col("often") - F.col("shared") < _prefix("n"))
-    wanted = stored(wanted.select("doc_id", F.col("node").alias("wanted"), F.col("found.bucket").alias("buckets"), F.col("found.levels").alias("levels")), "shared")
+    wanted = _levels(docs, heavy, buckets, size)
+    wanted = wanted.join(classes, "node").where(F.col("n") - F.col("often") - F.col("shared") < _prefix("n"))
+    wanted = stored(wanted.select("doc_id", F.col("node").alias("wanted"), "buckets", "levels"), "shared")
     texts = _texts(docs).join(wanted.select("doc_id"), "doc_id", "left_semi")
 
     def chosen(batches):
@@ -205,9 +238,7 @@ def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int)
                 rest = own[_light(own, heavy)]
                 bucket, order = _bucketed(rest, buckets)
                 level = np.zeros(len(rest), np.uint8)
-                at = bucket[order]
-                for b, found in zip(held, levels, strict=True):
-                    level[order[np.searchsorted(at, b) : np.searchsorted(at, b, "right")]] = np.frombuffer(found, np.uint8)
+                level[order[np.isin(bucket[order], np.frombuffer(held, np.int32))]] = np.frombuffer(levels, np.uint8)
                 prefix = np.argsort(level, kind="stable")[: _reach(len(own))]
                 first = prefix[level[prefix] > 0]
                 if len(first):
