@@ -151,6 +151,9 @@ def test_personal_data_against_brute_force(spark, docs, tmp_path):
     alphabet = list("0123456789" * 4 + "..@+- ()abé_%\n:")
     texts = ODD + ["".join(rng.choice(alphabet, 80)) for _ in range(300)]
     texts += ["a@b.co_m@x.com", "mail me@x.org, +1 (244) 555-4688", "card 4111 1111 1111 1111 or 4111111111111112", "é日 1.2.3.4.5 256.1.1.1 0255.1.1.1", "9" * 20_000, "1 2" * 9_000]
+    texts += ["server 8.8.8.8 ok", "1.2.3.4 and 5", "+1(2)3(4)5(6)7(8)9", "+1.2.3.4.5.6.7.8", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "+1 2.3 4.5 6.7 8"]
+    # Digits that never stand next to each other.
+    texts += ["".join(c + d for c, d in zip(rng.choice(list(".() -+:@a"), 40), rng.choice(list("0123456789"), 40))) for _ in range(300)]
     texts += ["contact joe [at] site [dot] com", "call 555-123-4567 now", "4111 1111 1111 1111"] * 2
     docs(*[(i, t, None, None) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
     found = pii.op1_pii(spark, str(tmp_path)).collect()

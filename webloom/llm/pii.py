@@ -6,8 +6,8 @@ vote yes, no or nothing on every candidate: the strict rule, a gazetteer (domain
 dialling codes), the words before the span, and its form. Expectation-maximisation over the counts of vote patterns, at
 most 81 per kind, estimates how reliable each labeler is, with the truth hidden. The probabilities that follow label the
 candidates, and a classifier over the spans' features (votes and form) is trained on them: log-odds per feature value,
-a table of bounded size. A loose candidate that it finds more likely than not, and that overlaps no span found before
-it, becomes a span.
+a table of bounded size. A loose candidate that it finds more likely than not, and that overlaps no base span, becomes
+a span.
 
 DataFrame functions only. Spans are found where a row is read and nothing but vote counts is shuffled.
 
@@ -40,8 +40,13 @@ LOOSE = {
     "card": r"(?<![0-9])(?:[0-9]{4}[\x20-]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{13,16}(?![0-9])",
     "phone": r"(?<![0-9+)])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
-#: What a text must contain for the pattern to match at all.
-HINTS = {"email": ("@", ("[at]", "(at)", "[at)", "(at]")), "ip": (".", (":",)), "card": ("", ("",)), "phone": ("+", ("-", " ", "."))}
+#: What every text with a match of the base and of the loose pattern contains: spares most texts the long patterns.
+HINTS = {
+    "email": (r"@", r"[\[(]at[\])]"),
+    "ip": (r"[0-9]\.[0-9]", r"[0-9A-Fa-f]:[0-9A-Fa-f]"),
+    "card": (r"[0-9][\x20-]?[0-9]", r"[0-9]{4}"),
+    "phone": (r"\+[0-9]", r"[0-9]{3}"),
+}
 #: Gazetteers: fixed public values.
 GAZETTEER = {
     "email": r"(?i)[.\])\x20](?:com|org|net|edu|gov|io|info|biz|de|fr|es|it|nl|uk|eu|us|ca|ch|at|be|pl|se|no|dk|fi|pt|ie|br|mx|ar|in|jp|cn|ru|au|nz)$",
@@ -136,13 +141,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and its candidates, base ones first, each with votes and form; one row per document."""
     text = F.col("text")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    digits = text.rlike("[0-9][\\x20-]?[0-9]")
     for kind in KINDS:
-        hint, others = HINTS[kind]
-        may = F.contains(text, F.lit(hint)) & (F.lit(True) if kind == "email" else digits)
-        rows = rows.withColumn(f"base_{kind}", _guarded(text, may, _matches(text, BASE[kind], lambda v, k=kind: _holds(k, v))))
-        may = reduce(Column.__or__, [F.contains(text, F.lit(o)) for o in others]) & (F.lit(True) if kind == "email" else digits)
-        rows = rows.withColumn(f"loose_{kind}", _guarded(text, may, _matches(text, LOOSE[kind], lambda v: F.lit(True))))
+        base, loose = HINTS[kind]
+        rows = rows.withColumn(f"base_{kind}", _guarded(text, text.rlike(base), _matches(text, BASE[kind], lambda v, k=kind: _holds(k, v))))
+        rows = rows.withColumn(f"loose_{kind}", _guarded(text, text.rlike(loose), _matches(text, LOOSE[kind], lambda v: F.lit(True))))
     parts = []
     for kind in KINDS:
         base, loose = F.col(f"base_{kind}"), F.col(f"loose_{kind}")
