@@ -177,7 +177,8 @@ def test_resolution(spark, dom_of):
         (2, "click", "button#q", None, "SingleElement", "single-button-fallback"),
         (1, "notes", "#go", None, None, None),
         (1, "wait", None, None, None, None),
-        (1, "click", "div > p", None, None, None),
+        (1, "click", "div:hover", None, None, None),
+        (1, "click", "nav > a, form input", None, "DirectSelector", "nav > a, form input"),
     ]
     df = spark.createDataFrame(
         [(i, c[0], c[1:4]) for i, c in enumerate(cases)], "action_id int, page_id bigint, action struct<type:string,element:string,value:string>"

@@ -34,7 +34,7 @@ def form_actions(spark, sf_dir):
         _action("click", lit("input[type=submit]"), None),
         _action("click", lit("button.save"), lit("save")),
         _action("wait", None, None),
-        _action("click", lit("div > p"), None),
+        _action("click", lit("div:hover"), None),
     ]
     return fx.table(spark, sf_dir, "customer").select(k.alias("action_id"), k.alias("page_id"), _pick(k, options).alias("action"))
 
@@ -84,6 +84,38 @@ def element_info(spark, sf_dir):
     return found.withColumn("is_visible", F.col("is_visible").cast("string"))
 
 
+def _form_selectors(spark, sf_dir):
+    """A structural selector per customer's form: descendants, children, siblings, lists, :not and :has-text."""
+    k = F.col("c_custkey")
+    options = [
+        F.lit("form input"), F.lit("form > label > select"), F.lit("div > p"), F.lit("label, textarea"), F.lit("label + input"),
+        F.concat(F.lit('label:has-text("NAME OF '), k.cast("string"), F.lit('")')), F.lit("input:not([type=hidden]):not([type=submit])"), F.lit("label ~ input[type]"),
+    ]
+    return fx.table(spark, sf_dir, "customer").select(k.alias("page_id"), _pick(k, options).alias("selector"))
+
+
+def structural_info(spark, sf_dir):
+    found = resolve.element_info(_form_selectors(spark, sf_dir), parse(fx.customer_forms(spark, sf_dir)))
+    return found.select("page_id", "selector", "found", "count", "tag_name")
+
+
+def structural_exists(spark, sf_dir):
+    found = resolve.element_exists(_form_selectors(spark, sf_dir), parse(fx.customer_forms(spark, sf_dir)))
+    return found.select("page_id", "selector", "exists", "count")
+
+
+def structural_best_match(spark, sf_dir):
+    wanted = _form_selectors(spark, sf_dir).withColumnRenamed("selector", "reference")
+    return resolve.best_match(wanted, parse(fx.customer_forms(spark, sf_dir)))
+
+
+def structural_elements(spark, sf_dir):
+    asked = _form_selectors(spark, sf_dir)
+    actions = asked.select(F.col("page_id").alias("action_id"), "page_id", _action("click", F.col("selector"), None).alias("action"))
+    found = resolve.resolve_elements(actions, parse(fx.customer_forms(spark, sf_dir)))
+    return found.select("action_id", F.col("pos").cast("string").alias("pos"), "strategy", "selector", "unsupported_selector")
+
+
 def suggest_selectors(spark, sf_dir):
     wanted = fx.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("page_id"), F.when(F.col("c_custkey") % 2 == 0, "input.none").otherwise("#button").alias("selector")
@@ -154,7 +186,22 @@ _KIND = "c_custkey % 8"
 _B = "b AS (SELECT p_partkey AS page_id, p_partkey % 7 AS kind, 'Buy ' || p_name AS text, p_name FROM part)"
 _ASKED = "asked AS (SELECT p_partkey AS page_id, ['#b' || p_partkey, 'button', '.my-button', 'input.none'][p_partkey % 4 + 1] AS selector FROM part)"
 
+# What each of _form_selectors means on a form: how many elements, the first one's tag, and its place.
+_STRUCTURAL = """asked AS (
+  SELECT c_custkey, ['form input', 'form > label > select', 'div > p', 'label, textarea', 'label + input', 'label:has-text("NAME OF ' || c_custkey || '")',
+    'input:not([type=hidden]):not([type=submit])', 'label ~ input[type]'][c_custkey % 8 + 1] AS selector,
+    [3, 1, 0, 3, 1, 1, 1, 2][c_custkey % 8 + 1] AS n, ['INPUT', 'SELECT', NULL, 'LABEL', 'INPUT', 'LABEL', 'INPUT', 'INPUT'][c_custkey % 8 + 1] AS tag_name,
+    [9, 11, NULL, 7, 9, 7, 9, 18][c_custkey % 8 + 1] AS pos
+  FROM customer)"""
+
 ORACLES = {
+    "structural_info": f"WITH {_STRUCTURAL} SELECT c_custkey AS page_id, selector, n > 0 AS found, CAST(n AS BIGINT) AS count, tag_name FROM asked",
+    "structural_exists": f"WITH {_STRUCTURAL} SELECT c_custkey AS page_id, selector, n > 0 AS exists, CAST(n AS BIGINT) AS count FROM asked",
+    "structural_best_match": f"WITH {_STRUCTURAL} SELECT c_custkey AS page_id, selector AS reference, CASE WHEN n > 0 THEN selector END AS match FROM asked",
+    "structural_elements": f"""
+WITH {_STRUCTURAL}
+SELECT c_custkey AS action_id, CAST(pos AS VARCHAR) AS pos, CASE WHEN n > 0 THEN 'DirectSelector' END AS strategy, CASE WHEN n > 0 THEN selector END AS selector,
+  FALSE AS unsupported_selector FROM asked""",
     "resolve_elements": f"""
 SELECT c_custkey AS action_id, CAST([9, 16, 6, 16, 19, 19, NULL, NULL][{_KIND} + 1] AS VARCHAR) AS pos,
   ['DirectSelector', 'InputPattern', 'DirectSelector', 'SingleElement', 'DirectSelector', 'RoleBased', NULL, NULL][{_KIND} + 1] AS strategy,

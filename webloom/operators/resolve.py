@@ -12,10 +12,11 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.attrs import attr, attr_map, class_list, has_attr
+from webloom.functions.attrs import attr, class_list, has_attr
 from webloom.functions.css import match, simple
 from webloom.functions.text import collapse_ws, contains_ci, non_empty, trim_js
 from webloom.operators.extract import context, css_path, with_attrs
+from webloom.operators.select import select_nodes
 from webloom.plans.nodes import Dom, with_text
 from webloom.plans.scale import hot_keys, skew_join
 
@@ -68,108 +69,6 @@ FALLBACKS = {
 }
 MAX_SIMILAR, MAX_BUTTONS = 5, 10
 
-# One compound selector: a tag, then ids, classes and attribute tests.
-_ATTR = r"""\[\s*[\w-]+\s*(?:[\^$*~]?=\s*(?:"[^"]*"|'[^']*'|[^\]\s"']+)\s*[iI]?\s*)?\]"""
-_PART = rf"#[\w-]+|\.[\w-]+|{_ATTR}"
-_COMPOUND = rf"^\s*(?=[^\s])([a-zA-Z][\w-]*|\*)?((?:{_PART})*)\s*$"
-
-
-def supported_selector(selector) -> Column:
-    return F.col(selector).rlike(_COMPOUND) if isinstance(selector, str) else selector.rlike(_COMPOUND)
-
-
-def _parts(selector: Column) -> Column:
-    """A data selector's tests as structs; attribute tests with name, operator, value and case flag."""
-    rest = F.regexp_extract(selector, _COMPOUND, 2)
-    inner = r"""^\[\s*([\w-]+)\s*(?:([\^$*~]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s"']+))\s*([iI])?\s*)?\]$"""
-
-    def part(p: Column) -> Column:
-        group = lambda i: F.regexp_extract(p, inner, i)
-        plain = F.when(p.startswith("#"), F.lit("id")).when(p.startswith("."), F.lit("class"))
-        return F.struct(
-            F.coalesce(plain, F.lower(group(1))).alias("name"),
-            F.when(p.startswith("#"), F.lit("=")).when(p.startswith("."), F.lit("~=")).otherwise(group(2)).alias("op"),
-            F.when(plain.isNotNull(), F.substring(p, F.lit(2), F.length(p)))
-            .otherwise(F.concat(group(3), group(4), group(5)))
-            .alias("value"),
-            (F.lower(group(6)) == "i").alias("ci"),
-        )
-
-    return F.transform(F.regexp_extract_all(rest, F.lit(f"({_PART})"), F.lit(1)), part)
-
-
-def _holds(part: Column, attrs: str) -> Column:
-    """Does a node with these attributes pass one part of a selector?"""
-    have = F.try_element_at(attrs, part["name"])
-    have = F.when(part["ci"], F.lower(have)).otherwise(have)
-    want = F.when(part["ci"], F.lower(part["value"])).otherwise(part["value"])
-    some = want != ""
-    return F.coalesce(
-        F.when(part["op"] == "", have.isNotNull())
-        .when(part["op"] == "=", have == want)
-        .when(part["op"] == "~=", F.array_contains(class_list(have), want))
-        .when(part["op"] == "^=", some & F.startswith(have, want))
-        .when(part["op"] == "$=", some & F.endswith(have, want))
-        .when(part["op"] == "*=", some & F.contains(have, want)),
-        F.lit(False),
-    )
-
-
-def _features(nodes: DataFrame) -> DataFrame:
-    """What a selector can be looked up by: one row per node and tag, class, attribute, and attribute value."""
-    mapped = nodes.select("page_id", "pos", "tag", attr_map().alias("attrs"))
-    entries = F.map_entries("attrs")
-    keys = F.concat(
-        F.array(F.col("tag"), F.lit("*")),
-        F.transform(entries, lambda e: F.concat(F.lit("["), e["key"], F.lit("]"))),
-        F.transform(entries, lambda e: F.concat(F.lit("["), e["key"], F.lit("="), e["value"], F.lit("]"))),
-        F.transform(class_list(F.try_element_at("attrs", F.lit("class"))), lambda c: F.concat(F.lit("."), c)),
-    )
-    return mapped.select("page_id", "pos", "tag", "attrs", F.explode(F.array_distinct(keys)).alias("feature"))
-
-
-def select_nodes(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For `wanted(page_id, selector)`: first_pos and match_count of each distinct selector, and whether it is supported.
-
-    A selector is looked up by its rarest kind of part, so it meets only nodes that share that part; the other parts
-    are checked there.
-    """
-    asked = wanted.where("selector is not null").select("page_id", "selector").distinct()
-    parsed = asked.select(
-        "page_id",
-        "selector",
-        F.lower(F.regexp_extract("selector", _COMPOUND, 1)).alias("want_tag"),
-        F.when(supported_selector("selector"), _parts(F.col("selector"))).alias("parts"),
-    )
-
-    def key_of(test, text) -> Column:
-        found = F.get(F.filter("parts", lambda p: test(p) & ~p["ci"]), F.lit(0))
-        return F.when(found.isNotNull(), text(found))
-
-    exact = key_of(lambda p: p["op"] == "=", lambda p: F.concat(F.lit("["), p["name"], F.lit("="), p["value"], F.lit("]")))
-    named = key_of(lambda p: (p["op"] == "~=") & (p["name"] == "class"), lambda p: F.concat(F.lit("."), p["value"]))
-    first = F.get("parts", F.lit(0))
-    present = F.when(first.isNotNull(), F.concat(F.lit("["), first["name"], F.lit("]")))
-    feature = F.coalesce(exact, named, present, F.nullif(F.col("want_tag"), F.lit("")))
-    keyed = parsed.select("*", feature.alias("feature"))
-    pages = asked.select("page_id").distinct()
-    found = keyed.where("parts is not null").join(
-        _features(nodes.join(pages, "page_id", "left_semi")), ["page_id", "feature"]
-    )
-    passes = F.col("want_tag").isin("", "*") | (F.col("want_tag") == F.col("tag"))
-    hits = found.where(passes & F.forall("parts", lambda p: _holds(p, "attrs")))
-    counted = hits.groupBy("page_id", "selector").agg(
-        F.min("pos").alias("first_pos"), F.count("*").alias("match_count")
-    )
-    return asked.join(counted, ["page_id", "selector"], "left").select(
-        "page_id",
-        "selector",
-        "first_pos",
-        F.coalesce("match_count", F.lit(0)).alias("match_count"),
-        supported_selector("selector").alias("supported"),
-    )
-
-
 def _first_of(selectors: list[str], names: list[str]) -> Column:
     """Aggregate: the first selector in the list that matches anything, with its first node."""
     options = [
@@ -258,7 +157,7 @@ def _resolve_requests(requests: DataFrame, dom: Dom) -> DataFrame:
         F.when(by_id, F.array(*id_forms)).otherwise(F.array()),
     )
     spread = asked.select("page_id", "request", F.posexplode(selectors).alias("ord", "selector"))
-    found = select_nodes(spread, dom.nodes)
+    found = select_nodes(spread, dom, hot)
     hit = F.when(F.col("first_pos").isNotNull(), F.struct("ord", F.col("first_pos").alias("pos"), "selector"))
     by_selector = (
         spread.join(found, ["page_id", "selector"])
@@ -410,7 +309,7 @@ def element_exists(wanted: DataFrame, dom: Dom) -> DataFrame:
 
 def element_info(wanted: DataFrame, dom: Dom) -> DataFrame:
     """wanted(page_id, selector): found, count, and visibility, tag and text of the first match."""
-    found = select_nodes(wanted, dom.nodes)
+    found = select_nodes(wanted, dom, hot_keys(wanted, "page_id"))
     nodes = context(dom.nodes).select("page_id", F.col("pos").alias("first_pos"), "end", "tag", "raw", "hidden")
     first = found.where("first_pos is not null").join(nodes, ["page_id", "first_pos"])
     first = with_text(first.withColumnRenamed("first_pos", "pos"), dom.docs).select(
@@ -473,7 +372,7 @@ def best_match(wanted: DataFrame, dom: Dom) -> DataFrame:
     that scores highest by id, name, role and text."""
     asked = wanted.select("page_id", F.col("reference").alias("selector")).where("selector <> ''").distinct()
     hot = hot_keys(asked, "page_id")
-    exact = select_nodes(asked, dom.nodes).select("page_id", "selector", (F.col("match_count") > 0).alias("exact"))
+    exact = select_nodes(asked, dom, hot).select("page_id", "selector", (F.col("match_count") > 0).alias("exact"))
     stand_ins = [s for group in PATTERN_MATCHES.values() for s in group]
     existing = _existing(dom, stand_ins)
     here = F.coalesce("existing", F.array().cast("array<string>"))

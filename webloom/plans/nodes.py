@@ -238,6 +238,33 @@ def with_ancestors(nodes: DataFrame, tests: dict[str, Column]) -> DataFrame:
     return nodes.select(*nodes.columns, *flags)
 
 
+def with_family(nodes: DataFrame) -> DataFrame:
+    """Add `depth` (how many elements are open where each one starts), `parent` and `previous`: the positions of the
+    innermost element around it and of the sibling before it.
+
+    The parent is the latest element of one depth less, if that is still open; where tags are misnested there may be
+    none. Sorts within the page, no pairs.
+    """
+    columns = nodes.columns
+    spans = F.col("end") > F.col("pos")
+    event = lambda at, step, own: F.struct(F.col(at).alias("at"), F.lit(step).alias("step"), F.lit(own).alias("own"))
+    opened = F.array(event("end", -1, False), event("pos", 1, True))
+    events = nodes.select("*", F.explode(F.when(spans, opened).otherwise(F.array(event("pos", 0, True)))).alias("e"))
+    # What ends here is closed before the next element starts.
+    running = Window.partitionBy("page_id").orderBy("e.at", "e.own", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = events.select("*", F.coalesce(F.sum("e.step").over(running), F.lit(0)).alias("_depth")).where("e.own").drop("e")
+    # Every element stands at its own depth to be found, and one depth above to find its parent.
+    role = lambda depth, asks: F.struct(depth.alias("depth"), F.lit(asks).alias("asks"))
+    roles = F.array(role(F.col("_depth"), False), role(F.col("_depth") - 1, True))
+    both = placed.withColumn("_role", F.explode(roles))
+    above = Window.partitionBy("page_id", "_role.depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.last(F.when(~F.col("_role.asks"), F.struct("pos", "end")), True).over(above)
+    found = both.select(*columns, F.col("_depth").cast("int").alias("depth"), "_role", latest.alias("_outer")).where("_role.asks")
+    parent = F.when(F.col("_outer.end") > F.col("pos"), F.col("_outer.pos"))
+    siblings = Window.partitionBy("page_id", "parent").orderBy("pos")
+    return found.select(*columns, "depth", parent.alias("parent")).select("*", F.lag("pos").over(siblings).alias("previous"))
+
+
 @built_once
 def is_hidden() -> Column:
     """Hidden by its own markup: the attribute, or inline display/visibility. No layout is computed."""

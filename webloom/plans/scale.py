@@ -95,20 +95,20 @@ def hot_keys(rows: DataFrame, key: str, max_rows: int = MAX_ROWS) -> DataFrame |
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, key: str, spread_by: str, hot: DataFrame | None, how: str = "inner"
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, hot: DataFrame | None, how: str = "inner", also: list[str] | None = None
 ) -> DataFrame:
-    """Join on `key` when one key may own a large share of `left`. Left rows of a hot key are dealt out by `spread_by`
-    over its parts, and its right rows are copied to each part; other keys are joined as usual.
+    """Join on `key` (and the columns of `also`) when one key may own a large share of `left`. Left rows of a hot key are
+    dealt out by `spread_by` over its parts, and its right rows are copied to each part; other keys are joined as usual.
 
     Without hot keys this is the plain join, which leaves the partitioning of `right` alone. `hot` may come from any
     rows that include `left`.
     """
     if hot is None:
-        return left.join(right, key, how)
+        return left.join(right, [key, *(also or [])], how)
     parts = F.coalesce("_parts", F.lit(1))
     dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread_by), parts).cast("int"))
     copied = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.drop("_parts").join(copied.drop("_parts"), [key, "_part"], how).drop("_part")
+    return dealt.drop("_parts").join(copied.drop("_parts"), [key, *(also or []), "_part"], how).drop("_part")
 
 
 def with_previous(
