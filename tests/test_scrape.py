@@ -4,9 +4,11 @@ import json
 
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from webloom.operators import crawl, scrape
 from webloom.plans.nodes import parse
+from webloom.plans.scale import first_rows
 from webloom.sources.pages import read_pages
 from webloom.sources.sinks import OutputWriter
 from webloom.sources.spec import SpecError, load_spec, normal_spec, parse_spec, warnings
@@ -161,3 +163,93 @@ def test_single_page_and_reading(spark, tmp_path):
     (tmp_path / "x.html").write_text("<b>\n</b>")
     assert read_pages(spark, str(tmp_path / "x.html"), "text").first().html == "<b>\n</b>"
     assert parse(read_pages(spark, str(tmp_path / "x.html"), "text")).nodes.count() == 1
+
+
+SITE = {"target": {"baseUrl": "http://a.b", "startPath": "/l/1"}, "navigation": {"type": "multi"}}
+
+
+def site(spark, *pages):
+    return spark.createDataFrame([(i, f"http://a.b{url}", html) for i, (url, html) in enumerate(pages)], "page_id bigint, url string, html string")
+
+
+def walked(pages, spec):
+    return {r.url.removeprefix("http://a.b"): (r.round, r.number) for r in crawl.walk(pages, parse(pages), normal_spec({**BASIC, **spec})).collect()}
+
+
+def following(n, more=""):
+    return f'<a class=next href="/l/{n}#x">n</a>{more}'
+
+
+def test_walk_follows_runs_and_links(spark):
+    # A run of 1..9 that ends in a loop, a link from 3 to another run, a page nobody leads to, and a target not stored.
+    run = [(f"/l/{n}", following(n + 1 if n < 9 else 4, '<a class=go href="/m/1">m</a>' if n == 3 else "")) for n in range(1, 10)]
+    other = [("/m/1", '<a class=next href="/m/2">n</a>'), ("/m/2", '<a class=next href="/m/3">n</a><a class=go href="/gone">g</a>'), ("/m/3", '<a class=go href="/l/9">l</a><a class=go href="/cart">c</a>'), ("/cart", ""), ("/alone", "")]
+    pages = site(spark, *run, *other)
+    button = {"container": ".c", "pagination": {"nextButton": ".next"}}
+    links = {**button, "links": [{"selector": ".go", "attribute": "href", "follow": True}]}
+    assert walked(pages, {**SITE, "selectors": button}) == {f"/l/{n}": (0, n) for n in range(1, 10)}
+    everywhere = {**SITE, "selectors": links, "navigation": {"type": "multi", "excludedPaths": ["/cart"]}}
+    assert walked(pages, everywhere) == {f"/l/{n}": (0, n) for n in range(1, 10)} | {f"/m/{n}": (1, n) for n in (1, 2, 3)}
+    # Runs of at most two pages: 3 is out of reach, and so is its link.
+    short = {**SITE, "selectors": {**links, "pagination": {"nextButton": ".next", "maxPages": 2}}}
+    assert walked(pages, short) == {"/l/1": (0, 1), "/l/2": (0, 2)}
+    # A run of three from 1; from m/1 a new run begins, and m/3 leads back into the middle of the first.
+    three = {**SITE, "selectors": {**links, "pagination": {"nextButton": ".next", "maxPages": 3}}}
+    assert walked(pages, three) == {"/l/1": (0, 1), "/l/2": (0, 2), "/l/3": (0, 3), "/m/1": (1, 1), "/m/2": (1, 2), "/m/3": (1, 3), "/l/9": (2, 1), "/l/4": (2, 2), "/l/5": (2, 3), "/cart": (2, 1)}
+    assert set(walked(pages, {**three, "navigation": {"type": "multi", "maxDepth": 1}})) == {"/l/1", "/l/2", "/l/3", "/m/1", "/m/2", "/m/3"}
+    assert set(walked(pages, {**three, "navigation": {"type": "multi", "maxDepth": 0}})) == {"/l/1", "/l/2", "/l/3"}
+    assert set(walked(pages, {**three, "navigation": {"type": "multi", "followLinks": False}})) == {"/l/1", "/l/2", "/l/3"}
+    limited = {**everywhere, "target": {**SITE["target"], "maxPages": 4}}
+    assert walked(pages, limited) == {f"/l/{n}": (0, n) for n in range(1, 5)}
+    assert walked(pages, {**everywhere, "target": {**SITE["target"], "maxPages": 0}}) == {}
+    assert walked(pages, {**everywhere, "target": {"baseUrl": "http://a.b", "startPath": "/nowhere"}}) == {}
+    # Without pagination and links only the start page.
+    assert walked(pages, {**SITE, "selectors": {"container": ".c"}}) == {"/l/1": (0, 1)}
+
+
+def test_walk_by_numbers_and_items_of_visited_pages(spark):
+    pages = site(spark, *[(f"/list?page={n}", f"<p class=c><b class=t>{n}</b></p><p class=c></p>") for n in (1, 2, 3, 5)], ("/other", "<p class=c></p>"))
+    spec = {"target": {"baseUrl": "http://a.b", "startPath": "/list?page=2"}, "navigation": {"type": "multi"}, "pagination": {"strategy": "url-pattern"}}
+    spec = normal_spec({**BASIC, **spec})
+    found, _ = scrape.scrape(pages, spec, partitions=3)
+    assert rows_of(found.select("page_id", "data.t"), "page_id", "pos") == [(1, "2"), (1, None), (2, "3"), (2, None)]
+    assert len(warnings(normal_spec({**BASIC, "pagination": {"strategy": "next-button"}}))) == 1
+    with pytest.raises(SpecError):
+        normal_spec({"selectors": {"container": "a", "pagination": {"button": "b"}}})
+
+
+def test_long_run_takes_few_rounds(spark):
+    """A run of 200 pages is followed in steps of 1, 2, 4, ...: eight tables of steps."""
+    chain = spark.range(200).select(F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target"))
+    assert len(crawl._jumps(chain, 1000)) == 8
+    assert len(crawl._jumps(chain, 5)) == 3
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 500, 5000])
+def test_first_rows(spark, n):
+    rows = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("a"), (F.col("id") % 5).alias("b"))
+    got = sorted(rows_of(first_rows(rows, ["b", "a"], n)), key=lambda r: (r[1], r[0]))
+    assert got == sorted(rows_of(rows), key=lambda r: (r[1], r[0]))[:n]
+
+
+def test_limits_sort_no_pages(spark):
+    """maxPages ranks ids, and no plan limits or sorts pages as a whole."""
+    pages = site(spark, *[(f"/{n}", "<p class=c>x</p>" * 3) for n in range(40)])
+    spec = normal_spec({**BASIC, "target": {"baseUrl": "http://a.b", "maxPages": 7, "maxItems": 10}})
+    chosen = scrape.select_pages(pages, spec)
+    assert sorted(r.page_id for r in chosen.collect()) == list(range(7))
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "Limit" not in plan and "TakeOrdered" not in plan
+    found, _ = scrape.scrape(pages, spec)
+    assert rows_of(found.select("page_id"), "page_id", "pos") == [(0,), (0,), (0,), (1,), (1,), (1,), (2,), (2,), (2,), (3,)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Limit" not in plan and "TakeOrdered" not in plan
+
+
+def test_fields_are_read_without_pairs(dom_of):
+    """No join of containers with nodes, and no row per container and field."""
+    dom = dom_of("<div class=c><b class=t>x</b></div><b class=t>outside</b><div class=c></div>")
+    rows = scrape.scraped(dom, with_fields({"t": {"selector": ".t", "type": "text"}, "u": {"selector": ".c .t", "type": "text"}}))
+    assert [tuple(r.data) for r in rows.orderBy("pos").collect()] == [("x", "x"), (None, None)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Generate") == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STORE = "https://example-store.com"
+SITE = "https://parts-register.example"
 PER_PAGE = 24
 
 
@@ -28,31 +28,44 @@ def _s(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def product_pages(spark, sf_dir) -> DataFrame:
-    """24 product cards per page; every page but the last links to the next."""
+def register_pages(spark, sf_dir) -> DataFrame:
+    """A register of spare parts, 24 entries per page; every page but the last leads to the next, and every tenth entry
+    to a page about its maker that is stored once per maker. Some entries lack a name or price, or hold odd values."""
     part = table(spark, sf_dir, "part")
-    key = F.col("p_partkey")
-    title = F.when(key % 50 == 7, F.lit("")).otherwise(
-        F.concat(F.lit('<h2 class="title product-title">'), "p_name", F.lit("</h2>"))
-    )
-    price = F.when(key % 40 == 11, F.lit("call us")).otherwise(F.concat(F.lit("$"), F.format_number("p_retailprice", 2)))
-    rating = F.when(key % 3 == 0, F.concat(F.lit('<b class="product-rating">'), _s("p_size"), F.lit("</b>"))).otherwise("")
-    stock = F.when(key % 2 == 0, F.lit('<i class="product-stock">In stock &amp; ready</i>')).otherwise("")
-    card = F.concat(
-        F.lit('<div class="product-item">'), title, F.lit('<span class="product-price">'), price,
-        F.lit('</span><div class="product-image"><img src="/img/'), _s("p_partkey"),
-        F.lit('.png"></div><a class="product-link" href="/p/'), _s("p_partkey"), F.lit('">view</a>'), rating, stock,
-        F.lit("</div>"),
+    key, k = F.col("p_partkey"), _s("p_partkey")
+    lit = F.lit
+    name = F.when(key % 50 == 7, lit("")).otherwise(F.concat(lit("<h3 class='name wide'> "), "p_name", lit("</h3>")))
+    price = F.when(key % 40 == 11, lit("on request")).otherwise(F.concat(lit("EUR "), F.format_number("p_retailprice", 2)))
+    day = F.when(key % 30 == 4, lit("soon")).otherwise(F.concat(lit("20"), (key % 20 + 10).cast("string"), lit("-07-04")))
+    size = F.when(key % 3 == 0, F.concat(lit("<span class=size>"), _s("p_size"), lit(" mm</span>"))).otherwise("")
+    shelf = F.when(key % 2 == 0, lit("<em class=shelf>rack B &amp; C</em>")).otherwise("")
+    boxed = F.when(key % 25 == 3, lit("perhaps")).when(key % 2 == 0, lit("true")).otherwise("false")
+    maker = F.when(key % 10 == 0, F.concat(lit('<a class=maker href="/makers/'), F.substring("p_brand", 7, 2), lit('">'), "p_brand", lit("</a>"))).otherwise("")
+    entry = F.concat(
+        lit('<article class="entry" data-code="SP-'), k, lit('">'), name, lit('<p class="price">'), price, lit('</p><figure><img src="/drawings/'), k,
+        lit('.svg"></figure><a class="sheet" href="/sheets/'), k, lit('">data sheet</a><time>'), day, lit("</time><b class=grade>"), "p_type",
+        lit("</b><i class=boxed>"), boxed, lit("</i>"), size, shelf, maker, lit("</article>"),
     )
-    pages = part.groupBy(F.floor(key / PER_PAGE).alias("n")).agg(_joined(card, "p_partkey").alias("cards"))
+    pages = part.groupBy(F.floor(key / PER_PAGE).alias("n")).agg(_joined(entry, "p_partkey").alias("entries"))
     before = part.select((F.floor(key / PER_PAGE) - 1).alias("n")).distinct().withColumn("has_next", F.lit(True))
     following = F.when(
-        F.col("has_next"), F.concat(F.lit('<a class="next" href="/products?page='), (F.col("n") + 1).cast("string"), F.lit('">Next</a>'))
+        F.col("has_next"), F.concat(lit('<a rel="next" href="/register?page='), (F.col("n") + 1).cast("string"), lit('">Next</a>'))
     ).otherwise("")
-    url = F.concat(F.lit(f"{STORE}/products?page="), _s("n"))
-    return pages.join(before, "n", "left").select(
-        *_page(F.col("n"), url, F.concat(F.lit("<main>"), "cards", following, F.lit("</main>")))
-    )
+    url = F.concat(lit(f"{SITE}/register?page="), _s("n"))
+    return pages.join(before, "n", "left").select(*_page(F.col("n"), url, F.concat(lit("<main>"), "entries", lit("</main><nav>"), following, lit("</nav>"))))
+
+
+def maker_pages(spark, sf_dir) -> DataFrame:
+    """One page per maker, with an entry of its own and a link to the maker with the next number."""
+    part = table(spark, sf_dir, "part")
+    number = F.substring("p_brand", 7, 2).cast("bigint")
+    makers = part.groupBy(number.alias("m")).agg(F.first("p_brand").alias("brand"))
+    m = F.col("m").cast("string")
+    body = F.concat(
+        F.lit('<article class="entry" data-code="M-'), m, F.lit('"><h3 class="name">'), "brand", F.lit('</h3><p class="price">0</p><a class="sheet" href="/makers/'), m,
+        F.lit('/sheet">sheet</a></article><a class="maker" href="/makers/'), (F.col("m") + 1).cast("string"), F.lit('">next maker</a>'),
+    )
+    return makers.select(*_page(F.col("m") + 1_000_000_000, F.concat(F.lit(f"{SITE}/makers/"), m), body))
 
 
 def order_pages(spark, sf_dir) -> DataFrame:
@@ -65,7 +78,7 @@ def order_pages(spark, sf_dir) -> DataFrame:
         "rows", F.lit("</table>"),
     )
     pages = tables.groupBy(F.floor(F.col("l_orderkey") / 10).alias("n")).agg(_joined(html, "l_orderkey").alias("body"))
-    return pages.select(*_page(F.col("n"), F.concat(F.lit(f"{STORE}/orders/"), _s("n")), F.col("body")))
+    return pages.select(*_page(F.col("n"), F.concat(F.lit(f"{SITE}/orders/"), _s("n")), F.col("body")))
 
 
 def customer_lists(spark, sf_dir) -> DataFrame:
@@ -79,7 +92,7 @@ def customer_lists(spark, sf_dir) -> DataFrame:
     item = F.concat(F.lit("<li>"), "c_name", nested)
     pages = customer.groupBy(F.floor(F.col("c_custkey") / 20).alias("n")).agg(_joined(item, "c_custkey").alias("items"))
     body = F.concat(F.lit("<nav><ul><li>a<li>b</ul></nav><ol><li>only</ol><ul>"), "items", F.lit("</ul>"))
-    return pages.select(*_page(F.col("n"), F.concat(F.lit(f"{STORE}/customers/"), _s("n")), body))
+    return pages.select(*_page(F.col("n"), F.concat(F.lit(f"{SITE}/customers/"), _s("n")), body))
 
 
 def customer_forms(spark, sf_dir) -> DataFrame:
@@ -95,7 +108,7 @@ def customer_forms(spark, sf_dir) -> DataFrame:
         F.lit('</textarea><input type="hidden" name="key" value="'), key, F.lit('"><input type="submit" value="Save '), key,
         F.lit('"></form>'),
     )
-    return customer.select(*_page(F.col("c_custkey"), F.concat(F.lit(f"{STORE}/customer/"), key), body))
+    return customer.select(*_page(F.col("c_custkey"), F.concat(F.lit(f"{SITE}/customer/"), key), body))
 
 
 def button_pages(spark, sf_dir) -> DataFrame:
@@ -115,7 +128,7 @@ def button_pages(spark, sf_dir) -> DataFrame:
     body = F.coalesce(*[F.when(kind == i, k) for i, k in enumerate(kinds)])
     extra = '<button></button><div style="display: none"><button class="x">Hidden</button></div>'
     return part.select(
-        *_page(F.col("p_partkey"), F.concat(F.lit(f"{STORE}/b/"), key), F.concat(body, F.lit(extra)))
+        *_page(F.col("p_partkey"), F.concat(F.lit(f"{SITE}/b/"), key), F.concat(body, F.lit(extra)))
     )
 
 
@@ -129,7 +142,7 @@ def media_pages(spark, sf_dir) -> DataFrame:
         F.lit('<p hidden><img src="/hidden.png"></p><span role="img" aria-label="icon '), key,
         F.lit('"></span><iframe src="/f/'), key, F.lit('" title="'), "p_brand", F.lit('" width="300"></iframe><iframe width=0></iframe>'),
     )
-    return part.select(*_page(F.col("p_partkey"), F.concat(F.lit(f"{STORE}/m/"), key), body))
+    return part.select(*_page(F.col("p_partkey"), F.concat(F.lit(f"{SITE}/m/"), key), body))
 
 
 def score_pages(spark, sf_dir) -> DataFrame:
@@ -144,7 +157,7 @@ def score_pages(spark, sf_dir) -> DataFrame:
         F.lit('"><img src="x.png">image</a></article><a href="/x">x</a><a href="javascript:go()">go</a>'),
     )
     meta = '<meta name="description" content=" parts &amp; more ">'
-    return part.select(*_page(F.col("p_partkey"), F.concat(F.lit(f"{STORE}/s/"), key), body, meta))
+    return part.select(*_page(F.col("p_partkey"), F.concat(F.lit(f"{SITE}/s/"), key), body, meta))
 
 
 def graph_pages(spark, sf_dir) -> DataFrame:
@@ -162,7 +175,7 @@ def graph_pages(spark, sf_dir) -> DataFrame:
         F.lit("<ul>"), children, F.lit('</ul><a href="/c/'), F.floor((k - 1) / 10).cast("string"),
         F.lit('">parent</a><a href="https://elsewhere.example/c/1">out</a><a href="/cart/'), _s("c_custkey"), F.lit('">cart</a>'),
     )
-    return customer.select(*_page(k, F.concat(F.lit(f"{STORE}/c/"), _s("c_custkey")), body))
+    return customer.select(*_page(k, F.concat(F.lit(f"{SITE}/c/"), _s("c_custkey")), body))
 
 
 # --- agent messages and logs from events ------------------------------------------------------------------------------

@@ -52,18 +52,18 @@ def resolution_trace(spark, sf_dir):
 
 
 def resolve_links(spark, sf_dir):
-    """Clicks on product links: by selector, by link text, by part of the target, and in vain."""
+    """Clicks on links to data sheets: by selector, by link text, by part of the target, and in vain."""
     k = F.col("p_partkey")
     s = k.cast("string")
     options = [
-        _action("click", F.concat(F.lit('a[href="/p/'), s, F.lit('"]')), None),
-        _action("click", F.lit('a[href="/missing"]'), F.lit("VIEW")),
-        _action("click", F.concat(F.lit('a[href="(/p/'), s, F.lit(')"]')), None),
+        _action("click", F.concat(F.lit('a[href="/sheets/'), s, F.lit('"]')), None),
+        _action("click", F.lit('a[href="/missing"]'), F.lit("DATA SHEET")),
+        _action("click", F.concat(F.lit('a[href="(/sheets/'), s, F.lit(')"]')), None),
         _action("click", F.lit('a[href="/none"]'), None),
     ]
     page = F.floor(k / fx.PER_PAGE).cast("bigint")
     actions = fx.table(spark, sf_dir, "part").select(k.alias("action_id"), page.alias("page_id"), _pick(k, options).alias("action"))
-    dom = parse(fx.product_pages(spark, sf_dir))
+    dom = parse(fx.register_pages(spark, sf_dir))
     resolved = resolve.resolve_elements(actions, dom)
     targets = dom.nodes.where("tag = 'a'").select("page_id", "pos", attr("href").alias("href"))
     return resolved.join(targets, ["page_id", "pos"], "left").select("action_id", "strategy", "selector", "href")
@@ -215,8 +215,8 @@ WITH t(kind, priority, strategy, hit) AS (VALUES (0, 100::BIGINT, 'DirectSelecto
 SELECT c_custkey AS action_id, priority, strategy, hit FROM customer JOIN t ON kind = {_KIND}""",
     "resolve_links": """
 SELECT p_partkey AS action_id, ['DirectSelector', 'LinkStrategy', 'LinkStrategy', NULL][p_partkey % 4 + 1] AS strategy,
-  ['a[href="/p/' || p_partkey || '"]', 'link[text="VIEW"]', 'a[href*="(/p/' || p_partkey || ')"]', NULL][p_partkey % 4 + 1] AS selector,
-  ['/p/' || p_partkey, '/p/' || (p_partkey // 24 * 24), '/p/' || p_partkey, NULL][p_partkey % 4 + 1] AS href
+  ['a[href="/sheets/' || p_partkey || '"]', 'link[text="DATA SHEET"]', 'a[href*="(/sheets/' || p_partkey || ')"]', NULL][p_partkey % 4 + 1] AS selector,
+  ['/sheets/' || p_partkey, '/sheets/' || (p_partkey // 24 * 24), '/sheets/' || p_partkey, NULL][p_partkey % 4 + 1] AS href
 FROM part""",
     "element_exists": f"""
 WITH {_B}, {_ASKED},

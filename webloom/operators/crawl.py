@@ -13,7 +13,7 @@ from webloom.functions.text import trim_js
 from webloom.functions.url import hostname, pathname, resolve_url
 from webloom.operators.extract import context, link_score, with_attrs
 from webloom.plans.nodes import Dom, with_text
-from webloom.plans.scale import cut
+from webloom.plans.scale import cut, first_rows
 
 DEFAULT_LINKS = [{"selector": "a[href]", "attribute": "href", "follow": True}]
 
@@ -165,6 +165,102 @@ def page_chain(dom: Dom, selector: str, max_pages: int | None = None) -> DataFra
     return out.where(F.col("position") <= max_pages) if max_pages else out
 
 
+def start_url(spec: dict[str, Any]) -> str:
+    """Where a spec starts: baseUrl and startPath, which is / if none is given."""
+    target = spec["target"]
+    return target["baseUrl"].rstrip("/") + (target.get("startPath") or "/")
+
+
+def pagination_edges(pages: DataFrame, dom: Dom, spec: dict[str, Any]) -> DataFrame:
+    """source and target of the next pages a spec's pagination leads to: by its next-button, or by page numbers in URLs.
+
+    The strategy decides; without one, a next-button is used if the spec names one. Strategies that need a browser lead
+    nowhere.
+    """
+    button = ((spec.get("selectors") or {}).get("pagination") or {}).get("nextButton")
+    strategy = (spec.get("pagination") or {}).get("strategy") or ("next-button" if button else None)
+    none = pages.select(F.col("url").alias("source"), F.col("url").alias("target")).where(F.lit(False))
+    if strategy == "next-button" and button:
+        found = next_pages(dom, button).select(F.col("url").alias("source"), F.col("next_url").alias("target"))
+    elif strategy == "url-pattern":
+        found = url_page_numbers(pages).select(F.col("url").alias("source"), F.col("next_url").alias("target"))
+    else:
+        return none
+    return found.where("target is not null")
+
+
+def _jumps(following: DataFrame, longest: int) -> list[DataFrame]:
+    """Where 1, 2, 4, ... next pages lead: (source, target) tables up to runs of `longest` pages."""
+    jump, jumps = cut(following), []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        if 2 ** len(jumps) >= longest:
+            break
+        onward = jump.select(F.col("source").alias("target"), F.col("target").alias("_on"))
+        jump = cut(jump.join(onward, "target").select("source", F.col("_on").alias("target")))
+    return jumps
+
+
+def walk(pages: DataFrame, dom: Dom, spec: dict[str, Any]) -> DataFrame:
+    """The stored pages that a `multi` spec visits: page_id, url, round and number, from its start page on.
+
+    From a page the visit goes on along the run of next pages (pagination) and, unless followLinks is false, along the
+    links that the spec's link selectors let one follow. A page counts if some way leads to it with at most maxDepth
+    links and, since the last link, at most `selectors.pagination.maxPages` pages of one run. `round` is the least
+    number of links to it, `number` its place in the run it was then found in. Of all pages found, target.maxPages keeps
+    the first by round, number and page_id; no round is begun once that many are there.
+
+    A round costs one join for the links and, for runs of n pages, about log2(n) joins: next pages are followed in
+    steps of 1, 2, 4, ... Pages that are stored but not reached are not visited, nor are targets that are not stored;
+    a start page that is not stored reaches nothing. Of stored pages with one URL (fragments aside) all are visited.
+    """
+    navigation, target = spec.get("navigation") or {}, spec.get("target") or {}
+    max_depth, max_pages = navigation.get("maxDepth"), target.get("maxPages")
+    run = ((spec.get("selectors") or {}).get("pagination") or {}).get("maxPages")
+    clean = lambda c: without_fragment(c).alias(c)
+    stored = cut(pages.select("page_id", clean("url")))
+    known = stored.select(F.col("url").alias("target")).distinct()
+
+    def within(found: DataFrame) -> DataFrame:
+        return found.select(clean("source"), clean("target")).where("source <> target").join(known, "target", "left_semi")
+
+    following = allowed(pagination_edges(pages, dom, spec).withColumn("url", F.col("target")), spec)
+    # Of stored pages with one URL the least target counts, so that a page has one next page.
+    following = within(following).groupBy("source").agg(F.min("target").alias("target"))
+    jumps = _jumps(following, min(stored.count(), run or stored.count()))
+    links = None
+    if (spec.get("selectors") or {}).get("links") and navigation.get("followLinks") is not False:
+        found = allowed(link_rows(dom, spec), spec).where("follow")
+        links = cut(within(found.select(F.col("page_url").alias("source"), F.col("url").alias("target"))).distinct())
+
+    def runs(pages: DataFrame) -> DataFrame:
+        """Pages (url, number) with those that follow them in their runs."""
+        for k, jump in enumerate(jumps):
+            further = pages.withColumnRenamed("url", "source").join(jump, "source")
+            further = further.select(F.col("target").alias("url"), (F.col("number") + 2**k).alias("number"))
+            further = further.where(F.col("number") <= run) if run is not None else further
+            pages = pages.unionByName(further).groupBy("url").agg(F.min("number").alias("number"))
+        return pages
+
+    start = stored.where(F.col("url") == F.lit(start_url(spec))).select("url").distinct()
+    newest = cut(runs(start.withColumn("number", F.lit(1))).withColumn("round", F.lit(0)))
+    reached = newest
+    for turn in itertools.count(1):
+        done = links is None or newest.isEmpty() or (max_depth is not None and turn > max_depth)
+        if done or (max_pages is not None and reached.select("url").distinct().join(stored, "url").count() >= max_pages):
+            break
+        step = links.join(newest.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url"), F.lit(1).alias("number"))
+        # A page that was there already matters again only if more of its run is now within bounds.
+        better = F.col("r.url") == F.col("s.url")
+        better = better & (F.col("r.number") <= F.col("s.number")) if run is not None else better
+        new = runs(step.distinct()).alias("s").join(reached.alias("r"), better, "left_anti")
+        newest = cut(new.select("url", "number", F.lit(turn).alias("round")))
+        reached = reached.unionByName(newest)
+    first = reached.groupBy("url").agg(F.min(F.struct("round", "number")).alias("first"))
+    visited = stored.join(first, "url").select("page_id", "url", "first.round", "first.number")
+    return first_rows(visited, ["round", "number", "page_id"], max_pages) if max_pages is not None else visited
+
+
 def url_page_numbers(pages: DataFrame, parameter: str = "page") -> DataFrame:
     """Pages that carry their number in the URL: series, number, and whether the next number is stored too. A number
     beyond 64 bits is none.

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from webloom.functions.css import match, parse_selector
 from webloom.functions.text import non_empty, trim_js
 from webloom.functions.url import origin, resolve_url
+from webloom.operators import crawl
 from webloom.operators.extract import with_attrs
-from webloom.plans.nodes import Dom, contained, parse, with_html, with_text
+from webloom.plans.nodes import Dom, parse, with_html, with_text
+from webloom.plans.scale import first_rows
 
 
 def extract_currency(text: Column) -> Column:
@@ -29,16 +31,24 @@ def register_transform(name: str, function: Callable[[Column], Column]) -> None:
     TRANSFORMS[name] = function
 
 
+def site_pages(pages: DataFrame, spec: dict[str, Any]) -> DataFrame:
+    """The stored pages of the site a spec names."""
+    base = (spec.get("target") or {}).get("baseUrl")
+    return pages.where(origin("url") == F.lit(base.rstrip("/"))) if base else pages
+
+
 def select_pages(pages: DataFrame, spec: dict[str, Any]) -> DataFrame:
-    """The pages a spec is about: its base URL, the start page only for `single`, at most maxPages by page_id."""
+    """The pages a spec is about, as far as that can be told without their links: its site, the start page only for
+    `single`, at most maxPages by page_id. Which pages `multi` reaches is up to `crawl.walk`."""
     target = spec.get("target") or {}
-    if target.get("baseUrl"):
-        base = target["baseUrl"].rstrip("/")
-        pages = pages.where(origin("url") == F.lit(base))
-        if (spec.get("navigation") or {}).get("type") == "single":
-            pages = pages.where(F.col("url") == F.lit(base + (target.get("startPath") or "/")))
-    if target.get("maxPages") is not None:
-        pages = pages.orderBy("page_id").limit(target["maxPages"])
+    kind = (spec.get("navigation") or {}).get("type")
+    pages = site_pages(pages, spec)
+    if kind == "single" and target.get("baseUrl"):
+        pages = pages.where(F.col("url") == F.lit(crawl.start_url(spec)))
+    if target.get("maxPages") is not None and kind != "multi":
+        # Ids are ranked, not pages.
+        first = first_rows(pages.select("page_id"), ["page_id"], target["maxPages"])
+        pages = pages.join(first, "page_id", "left_semi")
     return pages
 
 
@@ -113,30 +123,32 @@ def _error(kind: str, field: str, selector: str, message: str, when: Column) ->
 def scraped(dom: Dom, spec: dict[str, Any]) -> DataFrame:
     """All container matches: page_id, page_url, pos, data (struct of fields), errors (array)."""
     fields: dict[str, dict[str, Any]] = spec["selectors"]["fields"]
-    inner = {n: f for n, f in fields.items() if not _is_scope(f["selector"])}
     names = {n: f"_f{i}" for i, n in enumerate(fields)}
-    selectors = {"_container": spec["selectors"]["container"]} | {names[n]: f["selector"] for n, f in inner.items()}
-    matched = match(dom.nodes, selectors)
-    found = contained(
-        matched.where(" or ".join(selectors)),
-        {names[n]: (F.col("_container"), F.col(names[n])) for n in inner},
-        alone={"_self": F.col("_container")},
-    ).select("page_id", "kind", "outer_pos", "pos", "end", "tag", "raw")
-    rows = with_text(found, dom.docs)
+    selectors = {"_container": spec["selectors"]["container"]}
+    selectors |= {names[n]: f["selector"] for n, f in fields.items() if not _is_scope(f["selector"])}
+    rows = with_text(match(dom.nodes, selectors).where(" or ".join(selectors)), dom.docs)
     if any(f["type"] == "html" for f in fields.values()):
         rows = with_html(rows, dom.docs)
-    rows = with_attrs(rows)
-    values = [
-        F.when(F.col("kind") == (names[n] if n in inner else "_self"), _raw_value(f)).alias(names[n])
+    # A field is the first match inside its container, even if that holds nothing: the next one in the page, if it
+    # starts before the container ends. So each match is read once and nothing is paired.
+    found = []
+    for n, f in fields.items():
+        value = F.struct(F.col("pos").alias("at"), _raw_value(f).alias("value"))
+        if _is_scope(f["selector"]):
+            found.append(F.when(F.col("_container"), value).alias(names[n]))
+        else:
+            found.append(F.when(F.col(names[n]), value).alias(names[n]))
+    read = with_attrs(rows).select("page_id", F.col("url").alias("page_url"), "pos", "end", "_container", *found)
+    following = [
+        F.col(names[n]) if _is_scope(f["selector"]) else F.expr(f"lead({names[n]}) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)").alias(names[n])
         for n, f in fields.items()
     ]
-    rows = rows.select("page_id", "url", "outer_pos", "pos", "kind", *values)
-    # The first match decides, even if it holds nothing.
-    firsts = [
-        F.min_by(names[n], F.when(F.col("kind") == (names[n] if n in inner else "_self"), F.col("pos"))).alias(names[n])
-        for n in fields
+    raw = read.select("page_id", "page_url", "pos", "end", "_container", *following).where("_container")
+    inside = [
+        F.when((F.col(f"{names[n]}.at") < F.col("end")) | F.lit(_is_scope(f["selector"])), F.col(f"{names[n]}.value")).alias(names[n])
+        for n, f in fields.items()
     ]
-    raw = rows.groupBy("page_id", "outer_pos").agg(F.first("url").alias("page_url"), *firsts)
+    raw = raw.select("page_id", "page_url", F.col("pos").alias("outer_pos"), *inside)
 
     filled = []
     for n, f in fields.items():
@@ -187,7 +199,7 @@ def items(rows: DataFrame, spec: dict[str, Any] | None = None) -> DataFrame:
         "page_id", "page_url", "pos", "data"
     )
     limit = ((spec or {}).get("target") or {}).get("maxItems")
-    return valid.orderBy("page_id", "pos").limit(limit) if limit is not None else valid
+    return first_rows(valid, ["page_id", "pos"], limit) if limit is not None else valid
 
 
 def errors(rows: DataFrame) -> DataFrame:
@@ -197,9 +209,20 @@ def errors(rows: DataFrame) -> DataFrame:
     )
 
 
-def scrape(pages: DataFrame, spec: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
-    """Items and errors of the pages a spec selects; other pages are dropped before any parsing."""
-    rows = scraped(parse(select_pages(pages, spec)), spec)
+def scrape_rows(pages: DataFrame, spec: dict[str, Any], partitions: int | None = None) -> DataFrame:
+    """All container matches (see `scraped`) of the pages a spec selects. Pages that cannot count are dropped before any
+    parsing; `multi` follows pagination and links from the start page over the stored pages (see `crawl.walk`)."""
+    chosen = select_pages(pages, spec)
+    dom = parse(chosen, partitions)
+    if (spec.get("navigation") or {}).get("type") == "multi" and (spec.get("target") or {}).get("baseUrl"):
+        reached = crawl.walk(chosen, dom, spec).select("page_id")
+        dom = Dom(dom.nodes.join(reached, "page_id", "left_semi"), dom.docs.join(reached, "page_id", "left_semi"))
+    return scraped(dom, spec)
+
+
+def scrape(pages: DataFrame, spec: dict[str, Any], partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Items and errors of the pages a spec selects. `partitions` as for `parse`."""
+    rows = scrape_rows(pages, spec, partitions)
     return items(rows, spec), errors(rows)
 
 

@@ -21,6 +21,7 @@ _KEYS = {
     "validation": {"requiredFields", "dataTypes", "constraints"},
 }
 _FIELD_KEYS = {"selector", "type", "attribute", "transform", "required", "fallback"}
+_PAGINATION_KEYS = {"nextButton", "pageIndicator", "maxPages"}
 _LINK_KEYS = {"selector", "attribute", "filter", "follow"}
 _CONSTRAINTS = {"min", "max", "pattern", "enum"}
 
@@ -91,6 +92,7 @@ def normal_spec(raw: dict[str, Any]) -> dict[str, Any]:
     links = selectors.get("links") or []
     for link in links:
         _check("link", link, _LINK_KEYS)
+    _check("selectors.pagination", selectors.get("pagination") or {}, _PAGINATION_KEYS)
     validation = raw.get("validation") or {}
     for name, kind in (validation.get("dataTypes") or {}).items():
         if kind not in DATA_TYPES:
@@ -114,6 +116,9 @@ def warnings(spec: dict[str, Any]) -> list[str]:
         notes.append(f"output.groupBy names an undefined field: {group}")
     if (spec.get("navigation") or {}).get("type") == "flow":
         notes.append("navigation type flow needs a browser")
+    buttons = (spec["selectors"].get("pagination") or {}).get("nextButton")
+    if (spec.get("pagination") or {}).get("strategy") == "next-button" and not buttons:
+        notes.append("pagination strategy next-button needs selectors.pagination.nextButton")
     if (spec.get("pagination") or {}).get("strategy") in ("infinite-scroll", "load-more"):
         notes.append(f"pagination strategy {spec['pagination']['strategy']} needs a browser")
     return notes
