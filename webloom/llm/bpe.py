@@ -22,10 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.words import rows_of
+from webloom.llm.words import freed, rows_of
 
-# Chunks of text that a worker remembers; beyond that it starts anew. A bound on memory, without effect on results.
-REMEMBERED = 400_000
+# Bytes of chunks and ids that a task remembers (about a fifth of what the table takes); beyond that it starts anew. A
+# bound on memory, without effect on results.
+REMEMBERED_BYTES = 8_000_000
 
 _WHITE_THEN_SPACE = regex.compile(r"\s |^ | $").search
 _RUNS = regex.compile(r"\s*\S+|\s+").findall
@@ -42,14 +43,27 @@ class Codec:
     """Encoder and decoder for one rank file and split pattern."""
 
     def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-        from tokenizers import Tokenizer
-        from tokenizers.models import BPE
-
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         characters = byte_table()
         self._shown = {b: c for b, c in enumerate(characters)}
+        self._ranks = ranks
+        self._split = regex.compile(pattern).findall
+        self._bytes = {rank: token for token, rank in ranks.items()}
+        self.lengths = np.zeros(max(self._bytes, default=0) + 1, np.int64)
+        for rank, token in self._bytes.items():
+            self.lengths[rank] = len(token)
+        self._known: dict[str, bytes] = {}
+        self._held = 0
+
+    @functools.cached_property
+    def _tokenizer(self):
+        """Built where texts are encoded only; decoding needs no merges."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+
+        ranks = self._ranks
         vocab = {self._as_characters(token): rank for token, rank in ranks.items()}
         # Any two neighbours whose union is a token may merge, the lowest rank first; of splits of one token the one
         # with the longer left part comes first, since merging goes from left to right.
@@ -59,14 +73,12 @@ class Codec:
             for i in range(len(token) - 1, 0, -1)
             if token[:i] in ranks and token[i:] in ranks
         ]
-        self._tokenizer = Tokenizer(BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
-        self._split = regex.compile(pattern).findall
-        back = {c: b for b, c in enumerate(characters)}
-        self._bytes = {rank: bytes(back[c] for c in token) for token, rank in vocab.items()}
-        self.lengths = np.zeros(max(self._bytes, default=0) + 1, np.int64)
-        for rank, token in self._bytes.items():
-            self.lengths[rank] = len(token)
-        self._known: dict[str, bytes] = {}
+        return Tokenizer(BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
+
+    def forget(self) -> None:
+        """Drop what was remembered of the texts."""
+        self._known.clear()
+        self._held = 0
 
     def _as_characters(self, data: bytes) -> str:
         return data.decode("latin-1").translate(self._shown)
@@ -75,8 +87,8 @@ class Codec:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         chunks = [self._chunks(text) for text in texts]
         fresh = [chunk for chunk in set().union(*chunks) if chunk not in self._known]
-        if len(self._known) + len(fresh) > REMEMBERED:
-            self._known.clear()
+        if self._held > REMEMBERED_BYTES:
+            self.forget()
             fresh = list(set().union(*chunks))
         split = [self._split(chunk) for chunk in fresh]
         pieces = [piece for piece in set().union(*split) if piece not in self._known]
@@ -85,6 +97,7 @@ class Codec:
         known = self._known
         known.update((piece, array("I", own.ids).tobytes()) for piece, own in zip(pieces, found, strict=True))
         known.update((chunk, b"".join(map(known.__getitem__, own))) for chunk, own in zip(fresh, split, strict=True))
+        self._held += sum(map(len, pieces)) + sum(map(len, fresh)) + sum(len(known[chunk]) for chunk in fresh)
         return [b"".join(map(known.__getitem__, own)) for own in chunks]
 
     def _chunks(self, text: str) -> list[str]:
@@ -131,6 +144,8 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
             if offsets:
                 columns, names = [*columns, pa.array([at.tolist() for at, _ in places], pa.list_(pa.int64()))], [*names, "offsets"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        coder.forget()
+        freed()
 
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(batches, schema)
@@ -145,6 +160,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in rows_of(rows):
             data = pa.array([coder.decode(ids or b"") for ids in batch.column("ids").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, data], names=[*batch.schema.names, "decoded"])
+        freed()
 
     return encoded.select("doc_id", "ids", "n_tokens", "n_split").mapInArrow(batches, schema)
 

@@ -141,5 +141,5 @@ def op7_langid(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = remainder(F.col("doc_id"), 4) == 2
     judge = Judge(profiles(docs.where(~held_out)))
-    rows = docs.select("doc_id", held_out.alias("held_out"), predictor(judge)("text").alias("found"))
+    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), predictor(judge)("text").alias("found"))
     return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")

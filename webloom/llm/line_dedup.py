@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from webloom.llm.words import mixed, rows_of
+from webloom.llm.words import freed, mixed, rows_of
 from webloom.plans.scale import stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -90,6 +90,7 @@ def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
                 found += own
             halves = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "high", "low"])
+        freed()
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return texts.mapInArrow(hashed, "doc_id bigint, high bigint, low bigint")

@@ -8,7 +8,7 @@ Learning uses a bounded, documented sample (MAX_EXAMPLES) of labelled rows, chos
 every row.
 
 Defined results: a null or empty text is scored by the intercept alone. Rows without label, with a null label or null
-doc_id teach nothing; several labels of one document count as toxic if one of them does. Without any example every
+doc_id teach nothing (a null doc_id is not held out either); several labels of one document count as toxic if one of them does. Without any example every
 score is 0. Repeated rows are scored row by row; extra columns are not looked at.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.words import chained, remainder, rows_of, word_ids
+from webloom.llm.words import chained, freed, remainder, rows_of, word_ids
 
 BITS = 20
 MAX_EXAMPLES = 20_000
@@ -103,6 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_e
         for batch in rows_of(batches):
             found = [features(text.encode()).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "found"])
+        freed()
 
     def fitted(table: pa.Table) -> pa.Table:
         # An order that has nothing to do with the ids, the same in every run.
@@ -136,7 +137,7 @@ def _learn() -> Column:
 def op9_toxicity(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
     score = scorer(train(docs, labels, _learn()))
-    rows = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), score("text").alias("score"))
+    rows = docs.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), score("text").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -81,3 +84,11 @@ def rows_of(batches: Iterable[pa.RecordBatch], size: int = 512) -> Iterator[pa.R
     for batch in batches:
         for start in range(0, batch.num_rows, size):
             yield batch.slice(start, size)
+
+
+def freed() -> None:
+    """Give memory back at the end of a task: Spark keeps its Python workers, and they keep what they ever held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)  # where the C library can
