@@ -1,17 +1,17 @@
 """Line deduplication: lines that many documents share stay in one of them.
 
-Method: every line long enough gets a 128-bit hash. Hashes found in enough documents are dealt into shards; each shard
-becomes a minimal perfect hash (levels of bit arrays, a key's place being its rank among the set bits) that indexes
-arrays of fingerprints, counts and keepers. Documents send only hashes to the shards' arrays and get back which of
-their lines go; no line is joined with a line. A shard whose hashes are asked for often is copied, so that a line held
-by a third of all documents is looked up in many tasks.
+Method: every line long enough gets a 128-bit hash. All distinct hashes are dealt into shards; each shard becomes a minimal
+perfect hash (levels of bit arrays, a key's place being its rank among the set bits) that indexes arrays of
+fingerprints, counts of documents and keepers. Documents send only hashes to the shards' arrays, which decide by the
+counts, and get back which of their lines go; no line is joined with a line. A shard whose hashes are asked for often is
+copied, so that a line held by a third of all documents is looked up in many tasks.
 
 A line's key is the line without ASCII white space at both ends and with A-Z in lower case. A key of at least
 `min_chars` code points found in at least `min_docs` documents loses all its lines except in the largest doc_id that
 holds it.
 
-Defined results: a null or empty text is one empty line. A row is a document; rows with equal doc_id decide alike, so
-all of them keep what the largest doc_id keeps. A null doc_id is smaller than any other. Columns other than doc_id and
+Defined results: a null or empty text is one empty line. Rows with equal doc_id count as one document and decide alike,
+so all of them keep what the largest doc_id keeps. A null doc_id is smaller than any other. Columns other than doc_id and
 text are handed through, whatever their names; n_lines and n_dropped replace columns of that name.
 """
 
@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.words import freed, mixed, rows_of
@@ -96,7 +96,7 @@ def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return texts.mapInArrow(hashed, "doc_id bigint, high bigint, low bigint")
 
 
-def _arrays(repeated: DataFrame) -> DataFrame:
+def _arrays(lines: DataFrame) -> DataFrame:
     """One row per shard: the levels of its hash and what they index."""
 
     def built(table: pa.Table) -> pa.Table:
@@ -111,7 +111,7 @@ def _arrays(repeated: DataFrame) -> DataFrame:
         return pa.Table.from_pylist([row], schema=pa.schema([(c, pa.int64() if c in ("shard", "behind") else pa.binary()) for c in row]))
 
     schema = "shard bigint, sizes binary, bits binary, behind bigint, high binary, fingerprints binary, counts binary, keepers binary"
-    return repeated.groupBy("shard").applyInArrow(built, schema)
+    return lines.groupBy("shard").applyInArrow(built, schema)
 
 
 def _probed(probes: pa.Table, arrays: pa.Table, min_docs: int) -> pa.Table:
@@ -142,17 +142,16 @@ _NONE = -(1 << 63)  # a null doc_id
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with `text` without the lines that go, and n_lines (before) and n_dropped."""
-    hashes, seen = _hashes(docs, min_chars), Observation()
-    counts = hashes.groupBy("high", "low").agg(F.count("*").alias("n"), F.max(F.coalesce("doc_id", F.lit(_NONE))).alias("keeper"))
-    repeated = stored(counts.observe(seen, F.sum("n").alias("probes")).where(F.col("n") >= min_docs), "repeated-lines")
-    size, probes = repeated.count(), seen.get["probes"] or 0
-    shards = max(1, -(-size // KEYS_PER_SHARD))
+    hashes = _hashes(docs, min_chars)
+    doc = F.coalesce("doc_id", F.lit(_NONE))
+    counts = hashes.groupBy("high", "low").agg(F.count_distinct(doc).alias("n"), F.max(doc).alias("keeper"))
+    lines = stored(counts, "line-counts")
+    shards = max(1, -(-lines.count() // KEYS_PER_SHARD))
     shard = F.pmod(F.col("high"), F.lit(shards)).alias("shard")
-    repeated = repeated.select("*", shard)
+    lines = lines.select("*", shard)
     # How many copies of a shard's arrays it takes, so that each answers about PROBES_PER_TASK probes.
-    asked = F.sum("n") + F.lit(probes // shards)
-    copies = repeated.groupBy("shard").agg(F.ceil(asked / PROBES_PER_TASK).alias("copies"))
-    arrays = _arrays(repeated).join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    copies = lines.groupBy("shard").agg(F.ceil(F.sum("n") / PROBES_PER_TASK).alias("copies"))
+    arrays = _arrays(lines).join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     asks = hashes.select("*", shard).join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id", "low"), F.col("copies"))).drop("copies")
     key = ["shard", "copy"]
     gone = asks.groupBy(*key).cogroup(arrays.groupBy(*key)).applyInArrow(lambda probes, own: _probed(probes, own, min_docs), "doc_id bigint, line binary")
