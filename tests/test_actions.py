@@ -2,6 +2,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from webloom.functions.attrs import attr
 from webloom.operators import actions, history, resolve
 from webloom.plans.scale import number_rows, with_previous
 
@@ -189,6 +190,34 @@ def test_resolution(spark, dom_of):
     assert [(t.strategy, t.hit) for t in resolved[4].trace] == [("DirectSelector", False), ("IdSelector", False), ("InputPattern", True)]
 
 
+NAMES = """<body><div hidden><button>Send</button><textarea></textarea><a href="/h">Go</a></div><button id=b1>Send</button>
+<p aria-hidden=true><a href="/h2">Go</a></p><a id=a1 href="/g">Go</a><span id=l1>Close</span><span id=l2> the window </span>
+<button id=b2 aria-labelledby="l1 l2 none" aria-label="other">x</button><a id=a2 href="/c"><img alt="Shopping cart"> (2)</a>
+<a id=a3 href="/d">before <img alt="the picture"> after</a><input type=image id=i1 alt="Find"><input name=q id=q1></body>"""
+TWO = '<div style="display:none"><textarea></textarea></div><input name=q id=q2><input id=input-x hidden><button>A</button><button hidden>A</button>'
+
+
+def test_names_and_visibility_in_the_cascade(spark, dom_of):
+    cases = [
+        (1, "click", "button.none", "send", "RoleBased", "b1"),
+        (1, "click", 'a[href="/none"]', "go", "LinkStrategy", "a1"),
+        (1, "click", "button.none", "close the WINDOW", "RoleBased", "b2"),
+        (1, "click", "button.none", "other", None, None),
+        (1, "click", 'a[href="/none"]', "shopping cart (2)", "LinkStrategy", "a2"),
+        (1, "click", 'a[href="/none"]', "before the picture after", "LinkStrategy", "a3"),
+        (1, "click", "button.none", "find", "RoleBased", "i1"),
+        # The first text area is hidden, so the pattern is passed over for the next one.
+        (1, "input", "input.none", None, "InputPattern", "q1"),
+        (2, "input", "input.none", None, "InputPattern", "q2"),
+        (2, "click", "button.none", "a", "RoleBased", None),
+    ]
+    dom = dom_of(NAMES, TWO)
+    df = spark.createDataFrame([(i, c[0], c[1:4]) for i, c in enumerate(cases)], "action_id int, page_id bigint, action struct<type:string,element:string,value:string>")
+    ids = dom.nodes.select("page_id", "pos", attr("id").alias("id"))
+    found = resolve.resolve_elements(df, dom).join(ids, ["page_id", "pos"], "left").orderBy("action_id").collect()
+    assert [(r.strategy, r.id) for r in found] == [c[4:] for c in cases]
+
+
 def test_help_for_missing_elements(spark, dom_of):
     dom = dom_of(SITE, TINY)
     wanted = spark.createDataFrame([(1, "#go"), (1, "input.foo"), (1, "button.q"), (1, ".bi"), (2, "a")], "page_id bigint, selector string")

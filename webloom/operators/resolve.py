@@ -17,7 +17,7 @@ from webloom.functions.css import match, simple
 from webloom.functions.text import collapse_ws, contains_ci, non_empty, trim_js
 from webloom.operators.extract import context, css_path, with_attrs
 from webloom.operators.select import select_nodes
-from webloom.plans.nodes import Dom, with_text
+from webloom.plans.nodes import Dom, contained, is_hidden, with_ancestors, with_text
 from webloom.plans.scale import hot_keys, skew_join
 
 # Strategies by priority.
@@ -69,12 +69,17 @@ FALLBACKS = {
 }
 MAX_SIMILAR, MAX_BUTTONS = 5, 10
 
+def _hidden() -> Column:
+    """Hidden by markup or kept from assistive technology; what is inside is hidden too."""
+    return is_hidden() | F.coalesce(F.lower(attr("aria-hidden")) == "true", F.lit(False))
+
+
 def _first_of(selectors: list[str], names: list[str]) -> Column:
-    """Aggregate: the first selector in the list that matches anything, with its first node."""
-    options = [
-        F.min(F.when(F.col(n), F.struct(F.lit(i).alias("ord"), F.col("pos"), F.lit(s).alias("selector"))))
-        for i, (s, n) in enumerate(zip(selectors, names, strict=True))
-    ]
+    """Aggregate: the first selector in the list whose first match is visible, with that match."""
+    options = []
+    for i, (s, n) in enumerate(zip(selectors, names, strict=True)):
+        first = F.min(F.when(F.col(n), F.struct("pos", "hidden")))
+        options.append(F.when(~first["hidden"], F.struct(F.lit(i).alias("ord"), first["pos"].alias("pos"), F.lit(s).alias("selector"))))
     return F.coalesce(*options)
 
 
@@ -82,7 +87,7 @@ def _page_facts(dom: Dom) -> DataFrame:
     """Per page: the best input pattern, and the only link, text input and button."""
     names = {f"_i{i}": s for i, s in enumerate(INPUT_PATTERNS)}
     names |= {"_text_input": TEXT_INPUTS}
-    flagged = match(dom.nodes, names)
+    flagged = match(with_ancestors(dom.nodes, {"hidden": is_hidden()}), names)
     only = lambda test: F.when(F.count(F.when(test, 1)) == 1, F.min(F.when(test, F.col("pos"))))
     return flagged.groupBy("page_id").agg(
         _first_of(INPUT_PATTERNS, list(names)[:-1]).alias("input_pattern"),
@@ -92,21 +97,58 @@ def _page_facts(dom: Dom) -> DataFrame:
     )
 
 
+def _spoken(elements: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Add `spoken`: each element's text with the alternative texts of the images in it, in document order."""
+    is_element = F.coalesce(F.col("_element"), F.lit(False))
+    marks = elements.select("page_id", "pos", F.lit(True).alias("_element"))
+    inner = nodes.join(marks, ["page_id", "pos"], "left")
+    images = contained(inner, {"image": (is_element, F.col("tag").isin("img", "area"))})
+    images = images.select("page_id", "outer_pos", "pos", attr("alt").alias("alt")).where("alt <> ''")
+    lists = images.groupBy("page_id", F.col("outer_pos").alias("pos")).agg(F.sort_array(F.collect_list(F.struct(F.col("pos").alias("at"), "alt"))).alias("_images"))
+    rows = with_text(elements, docs).join(lists, ["page_id", "pos"], "left").join(docs.select("page_id", F.col("texts").alias("_texts")), "page_id")
+    between = lambda start, end: F.array_join(F.slice("_texts", start + 1, end - start), "")
+    said = F.aggregate(
+        "_images",
+        F.struct(F.col("pos").cast("int").alias("at"), F.lit("").alias("said")),
+        lambda acc, i: F.struct(i["at"].cast("int").alias("at"), F.concat(acc["said"], between(acc["at"], i["at"].cast("int")), F.lit(" "), i["alt"], F.lit(" ")).alias("said")),
+        lambda acc: F.concat(acc["said"], between(acc["at"], F.col("end").cast("int"))),
+    )
+    return rows.select(*elements.columns, F.when(F.col("_images").isNull(), F.col("text")).otherwise(said).alias("spoken"))
+
+
+def _labelled(elements: DataFrame, dom: Dom) -> DataFrame:
+    """page_id, pos and `labels`: the texts that an element's aria-labelledby refers to, in that order."""
+    ids = F.split(trim_js(attr("aria-labelledby")), r"\s+")
+    asked = elements.where(F.contains(F.lower("raw"), F.lit("aria-labelledby"))).select("page_id", "pos", F.posexplode(ids).alias("place", "id"))
+    named = dom.nodes.where(F.contains(F.lower("raw"), F.lit("id"))).select("*", attr("id").alias("id")).where("id <> ''")
+    first = named.join(asked.select("page_id", "id").distinct(), ["page_id", "id"], "left_semi")
+    first = first.groupBy("page_id", "id").agg(F.min_by(F.struct("pos", "end", "tag", "raw"), "pos").alias("n")).select("page_id", "id", "n.*")
+    label = non_empty(trim_js(attr("aria-label")))
+    texts = with_text(first, dom.docs).select("page_id", "id", F.coalesce(label, collapse_ws("text")).alias("label"))
+    found = asked.join(texts, ["page_id", "id"])
+    order = F.sort_array(F.collect_list(F.struct("place", "label")))
+    return found.groupBy("page_id", "pos").agg(collapse_ws(F.array_join(F.transform(order, lambda x: x["label"]), " ")).alias("labels"))
+
+
 def _named_controls(dom: Dom) -> DataFrame:
-    """Links and buttons with their accessible names: aria-label, else value or text, else title."""
+    """Links and buttons with their accessible names: what aria-labelledby refers to, else aria-label, else value,
+    alternative text or content with the images in it, else title. Hidden ones have no role. Whether parts of the
+    content are hidden does not matter."""
     tag = F.col("tag")
     kinds = F.lower(F.coalesce(attr("type"), F.lit("text")))
     button = (tag.isin("button", "summary")) | ((tag == "input") & kinds.isin("button", "submit", "reset", "image"))
     role = F.coalesce(attr("role"), F.lit(""))
     is_link = ((tag == "a") & has_attr("href") & (role == "")) | (role == "link")
     is_button = (button & (role == "")) | (role == "button")
-    picked = dom.nodes.select("*", is_link.alias("is_link"), is_button.alias("is_button"), (tag == "a").alias("is_a"))
-    picked = with_attrs(with_text(picked.where("is_link or is_button or is_a"), dom.docs))
+    nodes = with_ancestors(dom.nodes, {"_hidden": _hidden()})
+    picked = nodes.select("*", (is_link & ~F.col("_hidden")).alias("is_link"), (is_button & ~F.col("_hidden")).alias("is_button"), (tag == "a").alias("is_a"))
+    picked = picked.where("is_link or is_button or is_a").drop("_hidden")
+    rows = _spoken(picked, dom.nodes, dom.docs).join(_labelled(picked, dom), ["page_id", "pos"], "left")
+    rows = with_attrs(rows)
     a = lambda name: non_empty(trim_js(F.try_element_at("attrs", F.lit(name))))
-    name = F.coalesce(
-        a("aria-label"), F.when(F.col("tag") == "input", a("value")).otherwise(non_empty(collapse_ws("text"))), a("title"), F.lit("")
-    )
-    return picked.select(
+    own = F.when(F.col("tag") == "input", F.coalesce(a("value"), a("alt"))).otherwise(non_empty(collapse_ws("spoken")))
+    name = F.coalesce(non_empty("labels"), a("aria-label"), own, a("title"), F.lit(""))
+    return rows.select(
         "page_id", "pos", "is_link", "is_button", "is_a", name.alias("name"), F.try_element_at("attrs", F.lit("href")).alias("href")
     )
 
@@ -158,9 +200,12 @@ def _resolve_requests(requests: DataFrame, dom: Dom) -> DataFrame:
     )
     spread = asked.select("page_id", "request", F.posexplode(selectors).alias("ord", "selector"))
     found = select_nodes(spread, dom, hot)
-    hit = F.when(F.col("first_pos").isNotNull(), F.struct("ord", F.col("first_pos").alias("pos"), "selector"))
+    # An input is waited for until it is visible; the element that is asked for itself is not.
+    unseen = with_ancestors(dom.nodes, {"unseen": is_hidden()}).where("unseen").select("page_id", F.col("pos").alias("first_pos"), "unseen")
+    hit = F.when(F.col("first_pos").isNotNull() & ((F.col("ord") == 0) | F.col("unseen").isNull()), F.struct("ord", F.col("first_pos").alias("pos"), "selector"))
     by_selector = (
         spread.join(found, ["page_id", "selector"])
+        .join(unseen, ["page_id", "first_pos"], "left")
         .groupBy("page_id", "request")
         .agg(
             F.min(F.when(F.col("ord") == 0, hit)).alias("direct"),
