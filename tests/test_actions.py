@@ -19,6 +19,8 @@ MESSAGES = [
      {"type": "click", "element": "a[href=\"http://x\\'y\"]", "description": "a. http://x'y", "maxWait": 0.0}),
     ('{"type":"input","element":"","selector":"#s","value":"v","previousUrl":"u","selectorType":"text"}', "json",
      {"type": "input", "element": "#s", "value": "v", "previousUrl": "u", "selectorType": "text"}),
+    ('{"type":"wait","type":"click","element":"#a","element":"#b"}', "json", {"type": "click", "element": "#b"}),
+    ('go {"type":"wait","value":"a","value":"b"} now', "embedded_json", {"type": "wait", "value": "b"}),
     ('so {"type":"wait","maxWait":10} more {"type":"click"}', "embedded_json", {"type": "wait", "maxWait": 10.0}),
     ('x {"a":{"b":1}} y', None, None),
     ('{"a":', None, None),

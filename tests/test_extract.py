@@ -145,3 +145,28 @@ def test_stream_of_pages(spark, tmp_path):
     extract_stream(stream, extract.links, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("href")
     assert sorted(rows_of(got)) == [("http://a.b/1",), ("http://a.b/2",)]
+
+
+def test_base_of_relative_targets(dom_of):
+    html = '<head><base target=_top><base href="http://z.com/q/"><base href="http://no.com/"></head><a href="x">one</a><a href="/y">two</a><a href="http://e.com/">three</a>'
+    dom = dom_of(("http://e.com/a/b", html), ("http://e.com/a/b", '<base href="sub/"><a href="x">one</a>'), ("http://e.com/a/b", "<!-- <base href='http://c.com/'> --><a href=x>one</a>"))
+    rows = rows_of(extract.links(dom).select("page_id", "href", "is_external"), "page_id", "pos")
+    assert rows == [
+        (1, "http://z.com/q/x", True), (1, "http://z.com/y", True), (1, "http://e.com/", False), (2, "http://e.com/a/sub/x", False), (3, "http://e.com/a/x", False),
+    ]
+    assert [r.href for r in extract.navigation(dom).where("page_id = 2").collect()] == ["http://e.com/a/sub/x"]
+
+
+def test_length_of_navigation_texts_in_utf_16(dom_of):
+    found = extract.navigation(dom_of('<a href="/1">\U0001f600</a><a href="/2">x</a><a href="/3">é</a><a href="/4">ab</a>'))
+    assert sorted(r.text for r in found.collect()) == sorted(["\U0001f600", "ab"])
+
+
+def test_replaced_extractors_count_in_snapshots(dom_of, monkeypatch):
+    monkeypatch.setattr(extract, "REGISTRY", dict(extract.REGISTRY))
+    monkeypatch.setattr(snapshot, "REGISTRY", extract.REGISTRY)
+    dom = dom_of("<title>T</title><h1>One</h1><h2>Two</h2>")
+    extract.register("headings", lambda dom: extract.headings(dom).where("level = 2"))
+    extract.register("title", lambda dom: dom.docs.select("page_id", F.lit("mine").alias("title")))
+    row = snapshot.snapshot(dom, ["title", "headings"]).first()
+    assert row.title == "mine" and [h.text for h in row.content.headings] == ["Two"]

@@ -77,3 +77,9 @@ def test_valid_url_and_parts(spark):
 
 def test_escape_css(spark):
     assert spark.range(1).select(escape_css(F.lit("it's \\ \"q\""))).first()[0] == "it\\'s \\\\ \"q\""
+
+
+def test_css_escapes(spark):
+    pairs = [("plain", "plain"), ("it's \\ \"x\"", "it\\'s \\\\ \"x\""), ("é/x", "\\E9/x"), ("éa", "\\E9 a"), ("é 1", "\\E9  1"), ("日本", "\\65E5\\672C"), ("\U0001f600!", "\\1F600!"), ("a\tb", "a\\9 b"), ("", "")]
+    rows = spark.createDataFrame(pairs, "text string, want string")
+    assert [r.got for r in rows.select(escape_css("text").alias("got")).collect()] == [want for _, want in pairs]

@@ -122,6 +122,27 @@ def test_json_document(spark, tmp_path):
     assert json.loads("".join(open(p).read() for p in sorted(glob.glob(f"{empty}/part-*")))) == {"data": []}
 
 
+def document(path):
+    return json.loads("".join(open(p).read() for p in sorted(glob.glob(f"{path}/part-*"))))
+
+
+def test_json_document_with_nulls_and_equal_places(spark, tmp_path):
+    rows = spark.createDataFrame([(None, 1, "a"), (None, 1, "b"), (2, None, "c"), (2, None, "c")], "page_id bigint, pos int, text string").repartition(3)
+    path = OutputWriter({"directory": str(tmp_path), "filename": "n", "format": "json"}).write(rows)
+    assert sorted(d["text"] for d in document(path)["data"]) == ["a", "b", "c", "c"]
+
+
+def test_metadata_goes_where_it_is_asked_for(spark, tmp_path):
+    summary = spark.createDataFrame([(2, 3)], "page_count int, item_count int")
+    target = {"directory": str(tmp_path), "filename": "m"}
+    assert "metadata" not in document(OutputWriter({**target, "format": "json", "includeMetadata": False}).write(items(spark), summary))
+    assert "metadata" in document(OutputWriter({**target, "format": "json", "includeMetadata": True}).write(items(spark), summary))
+    path = OutputWriter({**target, "includeMetadata": True}).write(items(spark), summary)
+    assert rows_of(spark.read.json(f"{path}.metadata.json").select("page_count", "item_count")) == [(2, 3)]
+    path = OutputWriter({**target, "format": "csv"}).write(items(spark), summary)
+    assert not glob.glob(f"{path}.metadata.json")
+
+
 def test_defaults_and_grouping(spark, tmp_path):
     writer = OutputWriter()
     assert writer.path.startswith("data/scrape_") and writer.path.endswith(".jsonl")

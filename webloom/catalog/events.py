@@ -17,7 +17,7 @@ def _log(spark, sf_dir):
     """The log with each user's actions numbered in time order."""
     log = fx.unnumbered_log(spark, sf_dir).withColumnRenamed("seq", "event_id")
     at = F.unix_micros("ts")
-    return number_rows(log.withColumn("at", at), ["session_id"], "at").drop("at")
+    return number_rows(log.withColumn("at", at), ["session_id"], "at", then=["event_id"]).drop("at")
 
 
 def _history(spark, sf_dir):
@@ -157,12 +157,11 @@ def verify_navigate(spark, sf_dir):
 
 
 def text_matches(spark, sf_dir):
-    """Document pairs next to each other, compared."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
-    after = documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("next_lang"))
-    return documents.join(after, "doc_id", "left").select(
-        "doc_id", history.text_similarity("lang", "next_lang").cast("bigint").alias("similarity")
-    )
+    """Each document's text compared with that of the first document of the same length."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "text")
+    firsts = documents.groupBy("n_chars").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    pairs = documents.join(firsts, documents["n_chars"].eqNullSafe(firsts["n_chars"]))
+    return pairs.select(documents["doc_id"], F.col("first.doc_id").alias("first_id"), history.text_similarity("text", "first.text").cast("bigint").alias("similarity"))
 
 
 _K = "json_extract_string(props, '$.k')"
@@ -193,11 +192,13 @@ _SAME = ", ".join(
 _SAME_LOG = f"same AS (SELECT *, {_SAME} FROM log WINDOW w AS (PARTITION BY session_id ORDER BY seq))"
 _LINES = """
 lines AS (
-  SELECT session_id, seq, CASE type WHEN 'click' THEN 'Clicked ' || substr(element, 3, 1) || CASE WHEN result = 'success' THEN ' successfully' ELSE '' END
+  SELECT session_id, seq, CASE type WHEN 'click' THEN 'Clicked ' || element || CASE WHEN result = 'success' THEN ' successfully' ELSE '' END
     WHEN 'input' THEN 'Input ''' || value || ''' to ' || element WHEN 'navigate' THEN 'Navigated to: ' || value ELSE 'Did ' || type END AS line,
-    CASE type WHEN 'click' THEN 'clicking ' || substr(element, 3, 1) WHEN 'input' THEN 'inputting text to ' || element WHEN 'navigate' THEN 'navigating' END AS pattern,
-    type <> 'click' OR result = 'success' AS success
+    CASE type WHEN 'click' THEN 'clicking ' || left(element, 1) WHEN 'input' THEN 'inputting text to ' || element WHEN 'navigate' THEN 'navigating' END AS pattern,
+    type <> 'click' AS success
   FROM log)"""
+# As intended, the whole target of a click counts, and whether it succeeded.
+_INTENDED = _LINES.replace("left(element, 1)", "element").replace("type <> 'click' AS success", "type <> 'click' OR result = 'success' AS success")
 _PATTERNS = """
 patterns AS (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY count DESC, first_seen) AS rank FROM (
@@ -250,7 +251,7 @@ SELECT session_id, seq, 'NOTICE: You''ve ' || CASE type
   ELSE 'used multiple wait actions in succession. Try a more productive action now.' END AS feedback
 FROM same WHERE s1 OR s2""",
     "repeated_patterns": f"WITH {_LOG}, {_LINES}, {_PATTERNS} SELECT session_id, pattern, count, success, rank FROM patterns WHERE count > 1",
-    "repeated_patterns_intended": f"WITH {_LOG}, {_LINES}, {_PATTERNS} SELECT session_id, pattern, count, success FROM patterns WHERE count > 1",
+    "repeated_patterns_intended": f"WITH {_LOG}, {_INTENDED}, {_PATTERNS} SELECT session_id, pattern, count, success FROM patterns WHERE count > 1",
     "compressed_history": f"""
 WITH {_LOG}, {_LINES}, {_PATTERNS},
 told AS (SELECT * FROM patterns WHERE count > 2),
@@ -275,8 +276,8 @@ SELECT type, CASE type WHEN 'click' THEN TRUE WHEN 'input' THEN value = 'v' || e
 FROM log GROUP BY ALL""",
     "verify_navigate": "SELECT page_id, page_id % 5 <> 2 OR regexp_matches(url, '[?#]') AS arrived FROM pages",
     "text_matches": """
-SELECT doc_id, CAST(coalesce(lang = next_lang, FALSE) AS BIGINT) AS similarity FROM documents
-LEFT JOIN (SELECT doc_id - 1 AS doc_id, lang AS next_lang FROM documents) USING (doc_id)""",
+SELECT d.doc_id, f.doc_id AS first_id, CAST(d.text IS NOT DISTINCT FROM f.text AS BIGINT) AS similarity
+FROM documents d JOIN (SELECT n_chars, arg_min(text, doc_id) AS text, min(doc_id) AS doc_id FROM documents GROUP BY n_chars) f ON d.n_chars IS NOT DISTINCT FROM f.n_chars""",
 }
 
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -240,7 +240,7 @@ def history_lines(log: DataFrame) -> DataFrame:
     a = F.col("action")
     done = F.when(F.col("result") == "success", F.lit(" successfully")).otherwise("")
     line = (
-        F.when(a["type"] == "click", F.concat(F.lit("Clicked "), F.substring(a["element"], 3, 1), done))
+        F.when(a["type"] == "click", F.concat(F.lit("Clicked "), a["element"], done))
         .when(a["type"] == "input", F.concat(F.lit("Input '"), a["value"], F.lit("' to "), a["element"]))
         .when(a["type"] == "navigate", F.concat(F.lit("Navigated to: "), a["value"]))
         .otherwise(F.concat(F.lit("Did "), a["type"]))

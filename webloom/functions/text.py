@@ -67,6 +67,12 @@ def truncate(text, limit: int) -> Column:
     )
 
 
+def js_length(text) -> Column:
+    """Length in UTF-16 units, as JavaScript counts: characters beyond the basic plane count twice."""
+    col = as_column(text)
+    return F.length(col) + F.length(F.regexp_replace(col, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
 def contains_ci(haystack, needle) -> Column:
     return F.contains(F.lower(as_column(haystack)), F.lower(as_column(needle)))
 

@@ -109,5 +109,13 @@ def is_external(absolute_url, page_url) -> Column:
 
 
 def escape_css(text) -> Column:
-    """Escape a value for a quoted CSS string: backslash and single quote."""
-    return F.regexp_replace(as_column(text), r"([\\'])", r"\\$1")
+    """Escape a value for a quoted CSS string: a backslash before backslash and single quote, and the code point in hex
+    for what is not printable ASCII, with a space after it where a hex digit or space would follow."""
+    quoted = F.regexp_replace(as_column(text), r"([\\'])", r"\\$1")
+    odd = r"[^\x20-\x7E]"
+    parts = F.regexp_extract_all(quoted, F.lit(rf"(?s)({odd}|[\x20-\x7E]+)"), F.lit(1))
+    code = lambda p: F.regexp_replace(F.hex(F.encode(p, "UTF-32")), "^0+", "")
+    # A NUL has no other zeros to lose.
+    escaped = F.transform(parts, lambda p: F.when(p.rlike(odd), F.concat(F.lit("\\"), F.coalesce(F.nullif(code(p), F.lit("")), F.lit("0")), F.lit(" "))).otherwise(p))
+    joined = F.regexp_replace(F.array_join(escaped, ""), r"(\\[0-9A-F]{1,6})\x20(?![0-9a-fA-F\x20])", "$1")
+    return F.when(quoted.rlike(odd), joined).otherwise(quoted)

@@ -173,8 +173,10 @@ def _help(text: Column) -> Column:
 def parse_actions(messages: DataFrame, text: str = "text", mode: str = "reference") -> DataFrame:
     """Add `action` (struct, null if nothing was understood) and `method` (which of the five ways found it).
 
-    Each way only looks at messages the ways before it left over; there is no shuffle.
+    Each way only looks at messages the ways before it left over; there is no shuffle. Of a key that a JSON object
+    repeats the last value counts; that is a setting of the session, which is switched on here.
     """
+    messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     if mode not in ("reference", "intended"):
         raise ValueError(f"unknown mode: {mode}")
     ways = [

@@ -34,7 +34,7 @@ def link_rows(dom: Dom, spec: dict[str, Any] | None = None) -> DataFrame:
         F.when(
             F.col(name),
             F.struct(
-                resolve_url(F.try_element_at("attrs", F.lit(link["attribute"].lower())), "url").alias("url"),
+                resolve_url(F.try_element_at("attrs", F.lit(link["attribute"].lower())), "base").alias("url"),
                 F.lit(link.get("filter")).cast("string").alias("filter"),
                 F.lit(bool(link.get("follow", False))).alias("follow"),
             ),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.attrs import attr, attr_map, class_list, has_attr
 from webloom.functions.css import simple
-from webloom.functions.text import built_once, collapse_ws, non_empty, trim_js, truncate
+from webloom.functions.text import built_once, collapse_ws, js_length, non_empty, trim_js, truncate
 from webloom.functions.url import is_external, resolve_url
 from webloom.plans.nodes import Dom, contained, is_hidden, with_ancestors, with_text
 
@@ -69,14 +69,14 @@ class Rule:
 def with_attrs(elements: DataFrame) -> DataFrame:
     """Add `attrs`, and the link target as `target`, as columns, so that each is worked out once."""
     mapped = elements.select("*", attr_map().alias("attrs"))
-    if "url" not in elements.columns:
+    if "base" not in elements.columns:
         return mapped
     return mapped.select("*", _target().alias("target"))
 
 
 @built_once
 def _target() -> Column:
-    return F.when(F.col("tag") == "a", resolve_url(_a("href"), "url"))
+    return F.when(F.col("tag") == "a", resolve_url(_a("href"), "base"))
 
 
 @built_once
@@ -228,7 +228,7 @@ RULES: dict[str, Rule] = {
     "navigation": Rule(
         lambda: (F.col("tag") == "a") & has_attr("href"),
         _navigation,
-        lambda f: (F.length(f("text")) >= 2)
+        lambda f: (js_length(f("text")) >= 2)
         & (f("href") != "")
         & ~F.startswith(f("href"), F.lit("#"))
         & ~F.startswith(f("href"), F.lit("javascript:")),
@@ -421,7 +421,7 @@ def forms(dom: Dom) -> DataFrame:
     tag = F.col("tag")
     is_field, is_submit = simple(FORM_FIELDS), simple(SUBMITS)
     relevant = dom.nodes.where(tag.isin("form", "label") | is_field | is_submit)
-    texts = with_text(relevant, dom.docs).drop("url")
+    texts = with_text(relevant, dom.docs).drop("url", "base")
     labeled = texts.select("*", _label_for(F.col("text")).alias("_for"))
     parts = contained(
         labeled,
@@ -493,8 +493,12 @@ REGISTRY: dict[str, Callable[[Dom], DataFrame]] = {
 }
 
 
+BUILT_IN = dict(REGISTRY)
+
+
 def register(name: str, extractor: Callable[[Dom], DataFrame]) -> None:
-    """Add or replace an extractor."""
+    """Add or replace an extractor. Its rows are keyed by page_id and pos, or, if they have no pos, hold one value per
+    page in their other column."""
     REGISTRY[name] = extractor
 
 

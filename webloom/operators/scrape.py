@@ -66,9 +66,9 @@ def _raw_value(field: dict[str, Any]) -> Column:
     elif kind == "attribute" or field.get("attribute"):
         value = of((field.get("attribute") or "").lower())
     elif kind == "url":
-        value = resolve_url(of("href"), "url")
+        value = resolve_url(of("href"), "base")
     elif kind == "image":
-        value = resolve_url(of("src"), "url")
+        value = resolve_url(of("src"), "base")
     else:
         value = trim_js("text")
     return non_empty(value)

@@ -69,14 +69,21 @@ def _one_pass(dom: Dom, names: list[str], max_text: int | None) -> DataFrame:
 def extract_specific(dom: Dom, names: list[str], max_text: int | None = MAIN_LIMIT) -> DataFrame:
     """One row per page with one column per named extractor; unknown names are skipped."""
     names = [n for n in dict.fromkeys(names) if n in REGISTRY]
-    single = [n for n in names if n in RULES or n in _STRINGS]
+    # An extractor that was replaced is no longer part of the single pass.
+    own = [n for n in names if REGISTRY[n] is extract.BUILT_IN.get(n)]
+    single = [n for n in own if n in RULES or n in _STRINGS]
     out = dom.docs.select("page_id", "url")
     if single:
         out = out.join(_one_pass(dom, single, max_text), "page_id", "left")
     for name in names:
-        if name in single or name == "url":
+        if name in single or (name == "url" and name in own):
             continue
         rows = REGISTRY[name](dom)
+        if "pos" not in rows.columns:
+            value = [c for c in rows.columns if c != "page_id"][-1]
+            given = rows.groupBy("page_id").agg(F.first(value).alias(name))
+            out = (out.drop(name) if name == "url" else out).join(given, "page_id", "left")
+            continue
         fields = [c for c in rows.columns if c not in ("page_id", "pos")]
         grouped = rows.groupBy("page_id").agg(
             _sorted_items(F.struct(*fields), F.lit(True), [F.col("pos")]).alias(name)

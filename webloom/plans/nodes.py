@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.attrs import attr, has_attr
 from webloom.functions.text import SEAM, built_once, decode_runs, trim_js
+from webloom.functions.url import resolve_url
 
 _IN_TAG = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
 _TAG = rf"<(?:/?[a-zA-Z]{_IN_TAG}|[!?/][^>]*+)>"
@@ -69,7 +70,8 @@ class Dom:
     """Nodes of a set of pages together with the page-level rows that hold their text.
 
     nodes: page_id, pos, end, tag, raw
-    docs:  page_id, url, html_length, blank, texts (decoded run per tag), tokens (raw tag and run)
+    docs:  page_id, url, base (what its links are relative to), html_length, blank, texts (decoded run per tag), tokens
+           (raw tag and run)
     """
 
     nodes: DataFrame
@@ -126,8 +128,13 @@ def parse(pages: DataFrame, partitions: int | None = None) -> Dom:
         (field(3) == "blank").alias("blank"),
         F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(2)).alias("runs"),
         F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)).alias("tokens"),
+        body.rlike(r"(?i)<base[\s/]").alias("has_base"),
     )
-    docs = docs.select("page_id", "url", "html_length", "blank", decode_runs("runs").alias("texts"), "tokens")
+    # The first base element with a target; few pages have one.
+    bases = F.filter("tokens", lambda t: t.rlike(r"(?is)^<base[\s/][^>]*?\bhref\s*="))
+    docs = docs.withColumn("base_raw", F.when(F.col("has_base"), F.get(bases, F.lit(0))))
+    base = F.when(F.col("base_raw").isNull(), F.col("url")).otherwise(F.coalesce(resolve_url(attr("href", "base_raw"), "url"), F.col("url")))
+    docs = docs.select("page_id", "url", base.alias("base"), "html_length", "blank", decode_runs("runs").alias("texts"), "tokens")
     return Dom(_with_ends(_tokens(packed.select("page_id", body.alias("body")))), docs)
 
 
@@ -209,10 +216,10 @@ def _with_ends(tokens: DataFrame) -> DataFrame:
 
 
 def with_text(elements: DataFrame, docs: DataFrame) -> DataFrame:
-    """Add the page `url` and each element's textContent as `text`."""
-    runs = docs.select("page_id", F.col("url").alias("_url"), F.col("texts").alias("_texts"))
+    """Add the page's `url` and `base` and each element's textContent as `text`."""
+    runs = docs.select("page_id", F.col("url").alias("_url"), F.col("base").alias("_base"), F.col("texts").alias("_texts"))
     text = F.array_join(F.slice("_texts", F.col("pos") + 1, F.col("end") - F.col("pos")), "")
-    return elements.join(runs, "page_id").select(*elements.columns, F.col("_url").alias("url"), text.alias("text"))
+    return elements.join(runs, "page_id").select(*elements.columns, F.col("_url").alias("url"), F.col("_base").alias("base"), text.alias("text"))
 
 
 def with_html(elements: DataFrame, docs: DataFrame) -> DataFrame:

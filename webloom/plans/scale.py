@@ -63,22 +63,23 @@ def range_cuts(rows: DataFrame, key: list[str], order: str, max_rows: int = MAX_
 
 
 def number_rows(
-    rows: DataFrame, key: list[str], order: str, name: str = "seq", max_rows: int = MAX_ROWS
+    rows: DataFrame, key: list[str], order: str, name: str = "seq", max_rows: int = MAX_ROWS, then: list[str] | None = None
 ) -> DataFrame:
-    """Number the rows of each key from 0 by `order` (a number, unique within the key).
+    """Number the rows of each key from 0 by `order`, a number, and the columns of `then`, together unique within the key.
 
     Hot keys are cut into ranges that are numbered apart and then shifted by the sizes of the ranges before; no task
     sorts a whole hot key.
     """
     cuts = range_cuts(rows, key, order, max_rows)
+    within = [order, *(then or [])]
     if cuts.isEmpty():
-        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1).cast("bigint"))
+        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*key).orderBy(*within)) - 1).cast("bigint"))
     part = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(order))), F.lit(0))
     parts = rows.join(cuts, key, "left").withColumn("_part", part).drop("cuts")
     sizes = parts.groupBy(*key, "_part").agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select(*key, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(order)) - 1
+    local = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*within)) - 1
     return (
         parts.withColumn("_local", local)
         .join(offsets, [*key, "_part"])

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.plans.scale import cut
+
 FORMATS = ("json", "jsonl", "csv")
 
 
@@ -24,12 +26,17 @@ class OutputWriter:
         name = (target.get("filename") or f"scrape_{now}").replace("{timestamp}", str(now))
         self.path = f"{target.get('directory') or 'data'}/{name}.{self.format}"
         self.group_by = target.get("groupBy")
+        # Unless a target says otherwise, metadata goes where it can: into a json document.
+        self.metadata = target.get("includeMetadata")
 
     def write(self, rows: DataFrame, summary: DataFrame | None = None, order: list[str] | None = None) -> str:
-        """Write the rows. A json document also holds the one-row summary and needs columns that put its rows in a
-        unique order; jsonl and csv keep whatever order the rows have."""
+        """Write the rows. A json document also holds the one-row summary, unless includeMetadata is false, and is sorted
+        by `order` (nulls first; rows that are equal there in any order); jsonl and csv keep whatever order the rows
+        have, and the summary goes to a folder beside them, `.metadata.json`, if includeMetadata is true."""
+        if self.metadata and summary is not None and self.format != "json":
+            summary.write.mode("overwrite").json(f"{self.path}.metadata.json")
         if self.format == "json":
-            self._write_document(rows, summary, order or ["page_id", "pos"])
+            self._write_document(rows, None if self.metadata is False else summary, order or ["page_id", "pos"])
         elif self.format == "jsonl":
             self._writer(rows).json(self.path)
         else:
@@ -46,13 +53,11 @@ class OutputWriter:
     def _write_document(self, rows: DataFrame, summary: DataFrame | None, order: list[str]) -> None:
         """The part files, read one after the other, are one JSON document; no task ever holds all of it."""
         spark = rows.sparkSession
-        first = rows.orderBy(*order).limit(1).select(*order, F.lit(True).alias("_first"))
         pretty = F.to_json(F.struct(*rows.columns), {"pretty": "true"})
-        body = (
-            rows.join(F.broadcast(first), order, "left")
-            .orderBy(*order)
-            .select(F.concat(F.when(F.col("_first"), F.lit("")).otherwise(F.lit(",")), pretty).alias("value"))
-        )
+        # Sorted and written down once; ids grow from part to part, so the least one marks the first row.
+        lines = cut(rows.orderBy(*order).select(pretty.alias("row")).withColumn("at", F.monotonically_increasing_id()))
+        first = lines.agg(F.min("at")).first()[0]
+        body = lines.select(F.concat(F.when(F.col("at") == F.lit(first), F.lit("")).otherwise(F.lit(",")), "row").alias("value"))
         opening = spark.range(0, 1, 1, 1).select(F.lit('{"data": [').alias("value"))
         if summary is None:
             closing = spark.range(0, 1, 1, 1).select(F.lit("]}").alias("value"))
