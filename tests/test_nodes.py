@@ -209,3 +209,15 @@ def test_skewed_join(spark):
 
 def test_seam_characters_in_pages_do_no_harm(dom_of):
     assert texts(dom_of(("http://a\u0001b/", "<p>a\u0001b</p><p>c</p>")), "p") == [("p", "ab"), ("p", "c")]
+
+
+def test_pages_without_a_tag_are_not_cut_up(dom_of):
+    dom = dom_of("<p>a<TABLE><tr><td>x</table>", "<p>tablet</p><stable></stable>", "<table/>", "<!-- <table> --><p>", "", "<p title='<table>'>b")
+    kept = dom.having("table").nodes
+    assert {r.page_id for r in kept.collect()} == {1, 3, 6}
+    same = lambda nodes: sorted(map(tuple, nodes.where("page_id in (1, 3, 6)").collect()))
+    assert same(kept) == same(dom.nodes)
+    both = kept.select("page_id").unionByName(dom.nodes.select("page_id"))
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 1

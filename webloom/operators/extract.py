@@ -313,7 +313,7 @@ def _in_order(value: Column, name: str, when: Column | None = None) -> Column:
 
 def tables(dom: Dom) -> DataFrame:
     """headers, rows and caption per table; a nested table's cells also count for the tables around it."""
-    tag = F.col("tag")
+    tag, dom = F.col("tag"), dom.having("table")
     parts = contained(
         dom.nodes.where(tag.isin("table", "tr", "td", "th", "caption")),
         {
@@ -359,7 +359,7 @@ def tables(dom: Dom) -> DataFrame:
 
 def lists(dom: Dom) -> DataFrame:
     """type and items of lists outside nav with more than one item; nested items count for the outer list too."""
-    tag = F.col("tag")
+    tag, dom = F.col("tag"), dom.having("ul", "ol")
     flagged = context(dom.nodes).where(tag.isin("ul", "ol", "li")).select(*dom.nodes.columns, "in_nav")
     items = contained(flagged, {"item": (tag.isin("ul", "ol") & ~F.col("in_nav"), tag == "li")})
     items = with_text(items.drop("in_nav", "raw"), dom.docs).withColumn("text", _text())
@@ -382,7 +382,7 @@ def _label_for(text: Column) -> Column:
 
 def inputs(dom: Dom) -> DataFrame:
     """Visible kinds of form control with their label and value."""
-    tag = F.col("tag")
+    tag, dom = F.col("tag"), dom.having("input", "textarea", "select")
     is_input = simple(INPUTS)
     flagged = context(dom.nodes).select(*dom.nodes.columns, "hidden").where(is_input | tag.isin("label", "option"))
     # A select's value is that of its selected option, the last one marked or else the first.
@@ -418,7 +418,7 @@ def inputs(dom: Dom) -> DataFrame:
 
 def forms(dom: Dom) -> DataFrame:
     """Forms with their fields, labels by `for` or by an enclosing label, and the submit text."""
-    tag = F.col("tag")
+    tag, dom = F.col("tag"), dom.having("form")
     is_field, is_submit = simple(FORM_FIELDS), simple(SUBMITS)
     relevant = dom.nodes.where(tag.isin("form", "label") | is_field | is_submit)
     texts = with_text(relevant, dom.docs).drop("url", "base")

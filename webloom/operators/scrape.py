@@ -216,7 +216,7 @@ def scrape_rows(pages: DataFrame, spec: dict[str, Any], partitions: int | None =
     dom = parse(chosen, partitions)
     if (spec.get("navigation") or {}).get("type") == "multi" and (spec.get("target") or {}).get("baseUrl"):
         reached = crawl.walk(chosen, dom, spec).select("page_id")
-        dom = Dom(dom.nodes.join(reached, "page_id", "left_semi"), dom.docs.join(reached, "page_id", "left_semi"))
+        dom = Dom(*[part.join(reached, "page_id", "left_semi") for part in (dom.nodes, dom.docs)])
     return scraped(dom, spec)
 
 

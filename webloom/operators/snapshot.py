@@ -260,7 +260,7 @@ def compact_pagination(dom: Dom, limit: int = MAX_PAGINATION) -> DataFrame:
 
 def compact_lists(dom: Dom, limit: int = MAX_LISTS) -> DataFrame:
     """The longest lists of each page with item count, a link selector if items hold links, and sample texts."""
-    tag = F.col("tag")
+    tag, dom = F.col("tag"), dom.having("ul", "ol")
     flagged = context(dom.nodes).where(tag.isin("ul", "ol", "li", "a"))
     flagged = flagged.select(*dom.nodes.columns, "in_nav")
     is_list = tag.isin("ul", "ol") & ~F.col("in_nav")

@@ -76,6 +76,15 @@ class Dom:
 
     nodes: DataFrame
     docs: DataFrame
+    #: page_id and cleaned HTML as they come out of the exchange, where this was parsed rather than loaded.
+    bodies: DataFrame | None = None
+
+    def having(self, *tags: str) -> Dom:
+        """For work that begins with elements of some tags: pages whose HTML mentions none of them have no nodes here,
+        and are not cut up either. The exchange is the one that all work on the pages shares."""
+        if self.bodies is None:
+            return self
+        return Dom(_with_ends(_tokens(self.bodies, rf"(?i)<(?:{'|'.join(tags)})[\s/>]")), self.docs, self.bodies)
 
     def save(self, path: str) -> None:
         """Write both tables, so that many later jobs skip the parsing."""
@@ -135,12 +144,17 @@ def parse(pages: DataFrame, partitions: int | None = None) -> Dom:
     docs = docs.withColumn("base_raw", F.when(F.col("has_base"), F.get(bases, F.lit(0))))
     base = F.when(F.col("base_raw").isNull(), F.col("url")).otherwise(F.coalesce(resolve_url(attr("href", "base_raw"), "url"), F.col("url")))
     docs = docs.select("page_id", "url", base.alias("base"), "html_length", "blank", decode_runs("runs").alias("texts"), "tokens")
-    return Dom(_with_ends(_tokens(packed.select("page_id", body.alias("body")))), docs)
+    bodies = packed.select("page_id", body.alias("body"))
+    return Dom(_with_ends(_tokens(bodies)), docs, bodies)
 
 
-def _tokens(bodies: DataFrame) -> DataFrame:
-    """One row per start or end tag; step is 1, -1, or 0 for tags that never hold content."""
+def _tokens(bodies: DataFrame, mentioned: str | None = None) -> DataFrame:
+    """One row per start or end tag, of the pages that match `mentioned`; step is 1, -1, or 0 for tags that never hold
+    content."""
     tags = F.regexp_extract_all("body", F.lit(_TOKEN), F.lit(1))
+    if mentioned:
+        # Not a filter: that would move below the exchange, which could then not be shared.
+        tags = F.when(F.col("body").rlike(mentioned), tags).otherwise(F.array().cast("array<string>"))
     # The outer form of explode: the plain one adds a filter that would run the pattern a second time.
     rows = bodies.select("page_id", tags.alias("tags")).select(
         "page_id", F.size("tags").alias("page_end"), F.posexplode_outer("tags").alias("pos", "raw")
