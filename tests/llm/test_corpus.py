@@ -129,14 +129,54 @@ def test_decontamination_finds_edited_passages(docs, table):
         (4, noise(200), None, None), (5, None, None, None), (6, "", None, None), (7, " ".join(item[:22]), None, None), (8, " ".join(item[:8]), None, None),
         (1, "repeated id without passage", None, None), (9, " ".join(f"v{k}" for k in range(12)), None, None), (None, " ".join(item), None, None),
     ]
-    benchmark = table([(10, " ".join(item), 1), (11, None, 1), (12, "too short", 1), (13, " ".join(f"v{k}" for k in range(12)), 1), (10, " ".join(item), 2)], "item_id bigint, text string, words int")
-    want = {(1, 10), (2, 10), (7, 10), (9, 13), (None, 10)}
+    benchmark = table([(10, " ".join(item), 1), (11, None, 1), (12, "repeated ID", 1), (14, "", 1), (15, "id passage", 1), (13, " ".join(f"v{k}" for k in range(12)), 1), (10, " ".join(item), 2)], "item_id bigint, text string, words int")
+    want = {(1, 10), (2, 10), (7, 10), (9, 13), (None, 10), (1, 12)}
     for block in (decontaminate.BLOCK_WORDS, 20):
         assert {(r.doc_id, r.item_id) for r in decontaminate.contained(docs(*rows), benchmark, block).collect()} == want
     assert decontaminate.contained(docs(*rows), benchmark.limit(0)).count() == 0
     assert decontaminate.contained(docs(*rows).limit(0), benchmark).count() == 0
 
 
+def runs_contained(text, item):
+    """(n_equal, n_run) of the best alignment that a mask hits, by looking at every pair of places; None without one."""
+    n = len(item)
+    if n < decontaminate.SPAN:
+        return (n, n) if n and any(text[i : i + n] == item for i in range(len(text))) else None
+    run, best = min(decontaminate.RUN, n), None
+    for at in range(len(text)):
+        for item_at in range(n - decontaminate.SPAN + 1):
+            if any(all(at + o < len(text) and text[at + o] == item[item_at + o] for o in mask) for mask in decontaminate.MASKS):
+                equal = [text[at - item_at + j] == item[j] for j in range(n) if 0 <= at - item_at + j < len(text)]
+                for start in range(len(equal) - run + 1):
+                    best = max(best or (0, run), (sum(equal[start : start + run]), run))
+    return best if best and best[0] >= math.ceil(decontaminate.MIN_SHARE * run) else None
+
+
+def test_decontamination_against_all_places(docs, table):
+    rng = random.Random(21)
+    items = [[f"w{rng.randint(0, 60)}" for _ in range(n)] for n in (1, 2, 5, 8, 8, 9, 10, 15, 20, 26, 40)]
+    rows = [(1000, " ".join(f"w{rng.randint(0, 60)}" for _ in range(3000)), None, None)]
+    for i in range(80):
+        item = list(rng.choice(items))
+        for k in rng.sample(range(len(item)), min(len(item), rng.choice([0, 0, 1, 2, 4, 6]))):
+            item[k] = "other"
+        first = rng.randint(0, len(item) // 3)
+        noise = [f"w{rng.randint(0, 900)}" for _ in range(rng.randint(0, 20))]
+        rows.append((i, " ".join(noise + item[first:] + noise[:3]), None, None))
+    want = {(i, k, *found) for i, text, *_ in rows for k, item in enumerate(items) if (found := runs_contained(text.split(), item))}
+    benchmark = table([(k, " ".join(item)) for k, item in enumerate(items)], "item_id bigint, text string")
+    for block in (decontaminate.BLOCK_WORDS, 30):
+        assert set(map(tuple, decontaminate.contained(docs(*rows), benchmark, block).collect())) == want
+    assert len({k for _, k, *_ in want}) >= 10
+
+
+def test_nearest_neighbours_of_extreme_numbers(table):
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 1.1]), (2, [3e-300, 0.0]), (3, [5e-324, 5e-324]), (4, [-1e308, 1e308])]
+    found = ann.nearest(table(rows, "vec_id bigint, embedding array<double>"), ann.F.col("vec_id") == 0).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r.rank)] == [3, 1, 2, 4]
+    assert [round(r.score, 6) for r in sorted(found, key=lambda r: r.rank)] == [1.0, 0.998868, 0.707107, 0.0]
+
+
 def test_nearest_neighbours_recall_and_odd_rows(spark, table):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(12, 16))
