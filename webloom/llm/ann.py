@@ -132,10 +132,16 @@ def _usable(vector: Column) -> Column:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of equal length as a matrix in double precision."""
+    """Rows of equal length as a matrix in double precision, each scaled by a power of two to at most 1.
+
+    Such a factor is exact and no cosine depends on it, but squares of any finite numbers stay finite.
+    """
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(array), -1) if len(array) else values.reshape(0, 0)
+    if not len(array):
+        return values.reshape(0, 0)
+    rows = values.reshape(len(array), -1)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, vec: str = "embedding") -> DataFrame:
