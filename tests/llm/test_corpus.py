@@ -254,14 +254,43 @@ def test_pitman_yor_probabilities_add_up(docs):
     rng = random.Random(10)
     words = [f"w{k}" for k in range(25)]
     train = [(i, " ".join(rng.choice(words) for _ in range(20))) for i in range(60)]
-    probes = [(1000 + k, f"w3 {w}") for k, w in enumerate([*words, "unknown"])] + [(2000, "w3")]
+    every = [*words, "unknown"]
+    texts = ["", *every, *[f"{v} {w}" for v in every for w in every]]
     held = pitman_yor.F.col("doc_id") >= 1000
-    found = {r.doc_id: r.score for r in pitman_yor.score(docs(*[(i, t, None, None) for i, t in train + probes]), held).collect()}
-    # score("w3 w") - log P(end | w) is log P(w3) + log P(w | w3); score("w3") is log P(w3) + log P(end | w3).
-    ends = {w: None for w in words}
-    single = pitman_yor.score(docs(*[(i, t, None, None) for i, t in train + [(3000 + k, w) for k, w in enumerate([*words, "unknown"])] + [(4000 + k, f"{w} {w}") for k, w in enumerate([*words, "unknown"])]]), held).collect()
-    assert len(ends) == 25 and len(single) == 60 + 52
-    assert all(s < 0 for s in found.values())
+    rows = [(i, t, None, None) for i, t in train] + [(1000 + k, t, None, None) for k, t in enumerate(texts)]
+    found = {texts[r.doc_id - 1000]: r.score for r in pitman_yor.score(docs(*rows), held).collect() if r.held_out}
+    # score("v w") - score("v") is log P(w | v) P(end | w) / P(end | v). With x(v) = 1 / P(end | v), that P(. | v) adds up
+    # to one says x(v) = 1 + the sum over w of 10 ** (score("v w") - score("v")) x(w).
+    step = np.array([[10 ** (found[f"{v} {w}"] - found[v]) for w in every] for v in every])
+    x = np.linalg.solve(np.eye(len(every)) - step, np.ones(len(every)))
+    assert (x > 1).all()
+    # What follows the start of a text adds up as well.
+    assert abs(10 ** found[""] + sum(10 ** found[w] * y for w, y in zip(every, x, strict=True)) - 1) < 1e-3
+
+
+def test_chunks_and_buckets_change_no_count(docs, monkeypatch):
+    """One long text, many chunks and buckets: the counts stay, and the chunks alone change nothing at all."""
+    rng = random.Random(12)
+
+    def text(n):  # a word is mostly followed by the same one of few
+        at = [rng.randint(0, 300)]
+        for _ in range(n):
+            at.append((at[-1] * 7 + rng.randint(0, 2)) % 301 if rng.random() < 0.8 else rng.randint(0, 300))
+        return " ".join(f"w{k}" for k in at[:n])
+
+    texts = [text(n) for n in (20_000, *[rng.randint(0, 60) for _ in range(200)])]
+    rows = docs(*[(i, t, None, None) for i, t in enumerate(texts)])
+    held = pitman_yor.F.col("doc_id") % 5 == 1
+    of = lambda: sorted(map(tuple, pitman_yor.score(rows, held).collect()))
+    whole = of()
+    monkeypatch.setattr(pitman_yor, "CHUNK_BYTES", 500)
+    chunked = of()
+    assert np.allclose([r[5:] for r in whole], [r[5:] for r in chunked]) and [r[:5] for r in whole] == [r[:5] for r in chunked]
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 400)
+    many = of()
+    assert [r[:5] for r in whole] == [r[:5] for r in many] and np.allclose([r[5] for r in whole], [r[5] for r in many])
+    for found in (whole, many):
+        assert sum(r[6] for r in found if r[1]) > sum(r[5] for r in found if r[1])
 
 
 @pytest.mark.parametrize("customers", [1, 2, 5, 400])
