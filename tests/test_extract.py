@@ -135,6 +135,32 @@ def test_compact_caps(spark):
     assert 0 < snap.hints.text_density < 1 and snap.hints.link_density == 1.0
 
 
+def test_model_snapshot_references(dom_of):
+    html = (
+        '<ul id="u"><li><a href="/1">one</a><li><a href="/2">two</a></ul><a rel=next href="/n">next</a><iframe src="/f"></iframe>'
+        '<form id="f"><label for="q">Query</label><input id="q" name="q"><label>Kind <select name="k"><option>a</select></label>'
+        '<textarea class="big note" placeholder="Say"></textarea><button type="submit">Go</button></form><form><input name="lone"></form>'
+    )
+    dom = dom_of(html, "<p>nothing here</p>", ("http://example.com/", None))
+    full, bare, none = snapshot.model_snapshot(dom).orderBy("page_id").collect()
+    first, second = full.compact.forms
+    assert (first.form.selector, first.submit.selector, first.submit.name) == ("#f", "button", "Go")
+    assert [(f.label, f.input.selector, f.input.name) for f in first.fields] == [("Query", "#q", "q"), ("Kind", "select", "k"), (None, ".big", "Say")]
+    assert second.form.selector == "form" and second.submit is None and [f.input.name for f in second.fields] == ["lone"]
+    assert [b.root.selector for b in full.compact.lists] == ["#u"]
+    refs = [b.root for b in full.compact.lists] + full.compact.controls + full.compact.pagination
+    refs += [r for b in full.compact.forms for r in (b.form, b.submit, *[f.input for f in b.fields]) if r is not None]
+    assert {k: tuple(v) for k, v in full.ref_map.items()} == {r.ref_id: (r.selector, "main") for r in refs}
+    # The button stands among the controls and in its form, the next link among the controls and the pagination.
+    assert len(refs) == len(full.ref_map) + 2
+    assert [c.ref_id for c in full.compact.controls if c.name in ("Go", "next")] == [full.compact.pagination[0].ref_id, first.submit.ref_id]
+    # Each reference leads to one element, named by its place.
+    places = {r.pos: r.tag for r in dom.nodes.where("page_id = 1").collect()}
+    assert {places[int(k[1:])] for k in full.ref_map} == {"ul", "a", "form", "input", "select", "textarea", "button"}
+    assert full.stats.frame_count == 1 and full.stats.size_bytes > 0
+    assert bare.ref_map == {} and bare.compact.forms == [] and none.ref_map == {}
+
+
 def test_stream_of_pages(spark, tmp_path):
     from webloom.streaming.incremental import extract_stream, page_stream
 

@@ -82,6 +82,27 @@ def compact_forms(spark, sf_dir):
     return forms.select("page_id", *_big("rank"), "id", "method", F.size("fields").cast("bigint").alias("fields"), "submit_text")
 
 
+def snapshot_references(spark, sf_dir):
+    """Where the references of each form lead, and whether the view names any that its map does not hold."""
+    snap = snapshot.model_snapshot(parse(fx.customer_forms(spark, sf_dir)))
+    form = F.col("compact.forms")[0]
+    used = F.concat(
+        F.transform("compact.controls", lambda c: c["ref_id"]),
+        F.array(form["form"]["ref_id"], form["submit"]["ref_id"]),
+        F.transform(form["fields"], lambda f: f["input"]["ref_id"]),
+    )
+    of = lambda ref: F.col("ref_map")[ref["ref_id"]]["selector"]
+    return snap.select(
+        "page_id",
+        of(form["form"]).alias("form"),
+        of(form["submit"]).alias("submit"),
+        form["submit"]["name"].alias("submit_name"),
+        F.array_join(F.transform(form["fields"], lambda f: F.concat(F.coalesce(f["label"], F.lit("-")), F.lit(">"), of(f["input"]))), "|").alias("fields"),
+        F.size("ref_map").cast("bigint").alias("refs"),
+        F.size(F.array_except(used, F.map_keys("ref_map"))).cast("bigint").alias("missing"),
+    )
+
+
 def compact_pagination(spark, sf_dir):
     return snapshot.compact_pagination(parse(fx.register_pages(spark, sf_dir))).select("page_id", "role", "name", "href")
 
@@ -313,6 +334,11 @@ top AS (SELECT page_id, 1::BIGINT AS rank, 'ul' AS root, sum(CASE WHEN nested TH
 SELECT * FROM top
 UNION ALL SELECT page_id, 2, 'ol', 2, NULL, arg_min(c_mktsegment || '|nation ' || c_nationkey, c_custkey) FROM c WHERE nested GROUP BY 1""",
     "compact_forms": "SELECT c_custkey AS page_id, 1::BIGINT AS rank, 'f' || c_custkey AS id, 'POST' AS method, 2::BIGINT AS fields, 'Save ' || c_custkey AS submit_text FROM customer",
+    "snapshot_references": """
+        SELECT c_custkey AS page_id, '#f' || c_custkey AS form, 'input' AS submit, 'Save ' || c_custkey AS submit_name,
+            'Name of ' || c_custkey || '>#name' || c_custkey || '|Segment>select|->textarea|->input|->input' AS fields, 6::BIGINT AS refs, 0::BIGINT AS missing
+        FROM customer
+    """,
     "compact_pagination": f"""
 SELECT DISTINCT p_partkey // 24 AS page_id, 'link' AS role, 'Next' AS name, {_SITE}/register?page=' || (p_partkey // 24 + 1) AS href
 FROM part WHERE p_partkey // 24 < (SELECT max(p_partkey) // 24 FROM part)""",

@@ -308,6 +308,40 @@ def page_hints(dom: Dom) -> DataFrame:
     )
 
 
+def form_blocks(dom: Dom, limit: int = MAX_FORMS, max_fields: int = MAX_FORM_FIELDS) -> DataFrame:
+    """Forms as references that can be found again: the form, its labelled fields and its first submit control.
+
+    Fields and labels are those of `extract.forms`; a form without submit control has a null `submit`.
+    """
+    tag, held = F.col("tag"), dom.having("form")
+    is_field, is_submit = simple(extract.FORM_FIELDS), simple(extract.SUBMITS)
+    marked = context(held.nodes).where((tag == "form") | is_field | is_submit).select(*held.nodes.columns, "hidden")
+    inside = {"field": (tag == "form", is_field), "submit": (tag == "form", is_submit)}
+    parts = with_attrs(with_text(contained(marked, inside, alone={"form": tag == "form"}), held.docs))
+    kind, own = F.col("kind"), lambda key: non_empty(F.try_element_at("attrs", F.lit(key)))
+    wording = F.coalesce(non_empty(trim_js("text")), own("value"), F.lit("Submit"))
+    name = F.coalesce(own("aria-label"), F.when(kind == "submit", wording), own("placeholder"), own("name"), F.lit(""))
+    first = lambda k: F.min_by(F.when(kind == k, F.col("ref")), F.when(kind == k, F.col("pos"))).alias(k)
+    refs = parts.select("page_id", "outer_pos", "pos", "kind", _node_ref(name).alias("ref")).groupBy("page_id", "outer_pos").agg(
+        first("form"), first("submit"), F.sort_array(F.collect_list(F.when(kind == "field", F.struct("pos", "ref")))).alias("inputs")
+    )
+    labels = F.transform("inputs", lambda i: i["label"]).alias("labels")
+    top = _top(extract.forms(dom), ["pos"], limit).select("page_id", F.col("pos").alias("outer_pos"), "rank", labels)
+    fields = F.zip_with("inputs", "labels", lambda i, label: F.struct(non_empty(label).alias("label"), i["ref"].alias("input")))
+    return top.join(refs, ["page_id", "outer_pos"]).select(
+        "page_id", F.col("outer_pos").alias("pos"), "rank", "form", F.slice(fields, 1, max_fields).alias("fields"), "submit"
+    )
+
+
+def _with_blocks(out: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """Adds each part's rows as one array per page, in the order of their rank; empty where a page has none."""
+    for name, rows in parts.items():
+        fields = [c for c in rows.columns if c not in ("page_id", "pos", "rank")]
+        grouped = rows.groupBy("page_id").agg(_sorted_items(F.struct(*fields), F.lit(True), [F.col("rank")]).alias(name))
+        out = out.join(grouped, "page_id", "left").withColumn(name, F.coalesce(name, F.array()))
+    return out
+
+
 def compact_snapshot(dom: Dom) -> DataFrame:
     """url, title, headings, lists, controls, pagination, forms and hints, each within its cap."""
     out = extract_specific(dom, ["title", "headings"]).select(
@@ -319,11 +353,38 @@ def compact_snapshot(dom: Dom) -> DataFrame:
         "pagination": compact_pagination(dom),
         "forms": compact_forms(dom),
     }
-    for name, rows in parts.items():
-        fields = [c for c in rows.columns if c not in ("page_id", "pos", "rank")]
-        grouped = rows.groupBy("page_id").agg(_sorted_items(F.struct(*fields), F.lit(True), [F.col("rank")]).alias(name))
-        out = out.join(grouped, "page_id", "left")
-    filled = [F.coalesce(F.col(n), F.array()).alias(n) for n in parts]
-    return out.join(page_hints(dom), "page_id").select(
-        "page_id", "url", "title", "headings", *filled, F.struct("text_density", "link_density").alias("hints")
+    return _with_blocks(out, parts).join(page_hints(dom), "page_id").select(
+        "page_id", "url", "title", "headings", *parts, F.struct("text_density", "link_density").alias("hints")
+    )
+
+
+def model_snapshot(dom: Dom) -> DataFrame:
+    """page_id, compact, ref_map and stats: the compact view with references throughout, and where each leads.
+
+    A reference is named after its element's place in the page, so an element that stands in several blocks has one
+    reference. `ref_map` holds every reference of the view once, with the selector and frame to look in.
+    """
+    out = extract_specific(dom, ["title", "headings", "frames"]).select(
+        "page_id", "url", "title", F.transform("headings", lambda h: h["text"]).alias("headings"), F.size("frames").cast("bigint").alias("frame_count")
     )
+    root = F.struct(F.concat(F.lit("n"), F.col("pos")).alias("ref_id"), F.col("root").alias("selector"), F.lit("main").alias("frame_id"), F.lit("list").alias("role"))
+    parts = {
+        "lists": compact_lists(dom).withColumn("root", root),
+        "controls": compact_controls(dom),
+        "pagination": compact_pagination(dom),
+        "forms": form_blocks(dom),
+    }
+    entry = lambda ref: F.struct(ref["ref_id"].alias("key"), F.struct(ref["selector"].alias("selector"), ref["frame_id"].alias("frame_id")).alias("value"))
+    used = [
+        F.transform("lists", lambda block: entry(block["root"])),
+        F.transform("controls", entry),
+        F.transform("pagination", entry),
+        F.transform("forms", lambda block: entry(block["form"])),
+        F.flatten(F.transform("forms", lambda block: F.transform(block["fields"], lambda field: entry(field["input"])))),
+        F.transform(F.filter("forms", lambda block: block["submit"].isNotNull()), lambda block: entry(block["submit"])),
+    ]
+    compact = F.struct("url", "title", "headings", *parts, F.struct("text_density", "link_density").alias("hints"))
+    rows = _with_blocks(out, parts).join(page_hints(dom), "page_id")
+    rows = rows.select("page_id", compact.alias("compact"), F.map_from_entries(F.array_distinct(F.concat(*used))).alias("ref_map"), "frame_count")
+    size = F.octet_length(F.to_json("compact")).cast("bigint")
+    return rows.select("page_id", "compact", "ref_map", F.struct(size.alias("size_bytes"), "frame_count").alias("stats"))
