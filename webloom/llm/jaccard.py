@@ -1,10 +1,10 @@
 """N-gram Jaccard join with vertical partitioning, and its connected components.
 
-Method. The grams (word shingles) of all texts get one global order: by the number of classes that hold them, rarest
+Method. The grams (word shingles) of all texts get one global order: by the number of texts that hold them, rarest
 first, then by hash. Equal sets are one class, known by the sum of its grams' hashes. Two classes can only reach the
 similarity if they share a gram among their first |set| - ceil(share * |set|) + 1 in that order, so such prefixes give
 the candidates; a class whose prefix is all its own has none. The numbers are counted in buckets of gram hashes, which
-answer each class with a byte per gram. Grams frequent in the whole data are told apart beforehand and come last.
+chunks of texts ask and which answer with a byte per gram. Grams frequent in the whole data are told apart beforehand and come last.
 Another order, by hash, is cut into fragments: each candidate pair's common grams are counted fragment by fragment and
 summed.
 
@@ -31,10 +31,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.words import mixed, repeated, rows_of, shingles, word_ids
+from webloom.llm.words import freed, mixed, repeated, rows_of, shingles, word_ids
 from webloom.plans.scale import stored
 
 SIZE = 5
@@ -46,8 +47,10 @@ FRAGMENTS = 4
 HEAVY_SHARE, HEAVY_LEAST = 1 << 20, 50_000
 #: Turns with leaders, and leaders per list in the turns after the first.
 TURNS, LEADERS = 2, 32
-#: Grams of a bucket where classes are counted, and prefix grams of a bucket of lists.
-LEVEL_GRAMS, BUCKET_GRAMS = 2_000_000, 1_000_000
+#: Grams of a bucket where texts are counted, of a chunk that asks for counts, and prefix grams of a bucket of lists.
+LEVEL_GRAMS, CHUNK_GRAMS, BUCKET_GRAMS = 2_000_000, 2_000_000, 1_000_000
+#: What is known of the texts of a chunk: identities, sizes, and how many of their grams are not frequent.
+_KNOWN = ("nodes", "sizes", "lights")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -120,86 +123,116 @@ def _bucketed(own: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.argsort(bucket, kind="stable")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: the high bytes of small numbers stand together, which the shuffle compresses."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _levels(docs: DataFrame, heavy: np.ndarray, buckets: int, size: int) -> DataFrame:
-    """node, shared, buckets, levels: how many classes hold each gram of a class, as a byte, in the order of `_bucketed`.
+    """node, buckets, levels: how many texts hold each gram of a class, as a byte, in the order of `_bucketed`.
 
-    Buckets where every level of the class is 0 are left out. A level is a rounded logarithm, 0 for a gram that one class alone holds. It is a function of the gram's bucket and
-    the lower half of its hash, so it orders all sets alike even where two grams share both. `shared` is the number of
-    levels above 0; where it is 0 there is no row.
+    Chunks of texts ask each bucket for the levels of their grams and get them back in their own order, so a gram costs
+    half of its hash on the way there and a byte on the way back; the texts' identities travel once. Copies within a
+    chunk ask once, those in other chunks count again, which changes the order but the same for all sets.
+
+    A level is a rounded logarithm, 0 for a gram that one text alone holds. It is a function of the gram's bucket and
+    the lower half of its hash, so it orders all sets alike even where two grams share both. Buckets where every level
+    of the class is 0 are left out, and so are classes with enough grams of level 0 to fill the prefix. Classes that are
+    in several chunks have equal rows for each.
+
+    A chunk is known by what it holds. Should a task that runs again see its texts in another order, the numbers of
+    grams asked and answered differ, and the job fails rather than mix them up.
     """
 
+    def chunk(nodes: list[int], ns: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
+        lengths = np.array([len(own) for own in grams])
+        own, text = np.concatenate(grams), np.repeat(np.arange(len(grams)), lengths)
+        bucket, order = _bucketed(own, buckets)
+        halves, text = own[order].astype(np.uint32), text[order]
+        held, ends = np.unique(bucket, return_counts=True)
+        ends = np.cumsum(ends)
+        parts = list(zip([0, *ends[:-1]], ends, strict=True))
+        runs = [_runs(text[a:b]) for a, b in parts]
+        known = np.array(nodes, np.int64), np.array(ns, np.uint32), lengths.astype(np.uint32)
+        name = xxhash.xxh3_64_intdigest(known[0].tobytes())
+        columns = [
+            pa.array(np.full(len(held), name, np.uint64).view(np.int64)),
+            pa.array(held, pa.int64()),
+            pa.array([halves[a:b].tobytes() for a, b in parts], pa.binary()),
+            pa.array([_planes(np.diff(texts, prepend=0).astype(np.uint32)) for texts, _ in runs], pa.binary()),
+            pa.array([_planes(number) for _, number in runs], pa.binary()),
+            *(pa.array([value.tobytes()] + [None] * (len(held) - 1), pa.binary()) for value in known),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "halves", "gaps", "ns", *_KNOWN])
+
     def packed(batches):
         seen: set[int] = set()
+        nodes, ns, grams, held = [], [], [], 0
         for batch in rows_of(batches):
-            nodes, grams = [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(word_ids(text), size)
-                node = _identity(own)
-                if not len(own) or node in seen:  # copies read by this task; what it forgets is sorted out in the bucket
+                node, light = _identity(own), own[_light(own, heavy)]
+                if not len(light) or node in seen:
                     continue
                 seen.add(node)
-                own = own[_light(own, heavy)]
-                nodes.append(np.full(len(own), node))
-                grams.append(own)
-            if len(seen) > 1 << 18:
-                seen.clear()
-            if not grams:
-                continue
-            nodes, grams = np.concatenate(nodes), np.concatenate(grams)
-            bucket, order = _bucketed(grams, buckets)
-            nodes, halves = nodes[order], grams[order].astype(np.uint32)
-            held, ends = np.unique(bucket, return_counts=True)
-            ends = np.cumsum(ends)
-            parts = list(zip([0, *ends[:-1]], ends, strict=True))
-            runs = [_runs(nodes[a:b]) for a, b in parts]
-            columns = [[halves[a:b].tobytes() for a, b in parts], *([x[i].tobytes() for x in runs] for i in range(2))]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "halves", "nodes", "ns"])
+                nodes.append(node)
+                ns.append(len(own))
+                grams.append(light)
+                held += len(light)
+                if held >= CHUNK_GRAMS:
+                    yield chunk(nodes, ns, grams)
+                    nodes, ns, grams, held = [], [], [], 0
+                    seen.clear()
+        if grams:
+            yield chunk(nodes, ns, grams)
+        seen.clear()
+        freed()
 
     def counted(table: pa.Table) -> pa.Table:
-        halves, nodes, ns = (np.concatenate([np.frombuffer(v, kind) for v in table.column(c).to_pylist()]) for c, kind in (("halves", np.uint32), ("nodes", np.int64), ("ns", np.uint32)))
-        first = np.zeros(len(nodes), bool)
-        first[np.unique(nodes, return_index=True)[1]] = True
-        halves, nodes, ns = halves[np.repeat(first, ns)], nodes[first], ns[first]
-        _, place, classes = np.unique(halves, return_inverse=True, return_counts=True)
-        level = np.minimum(np.rint(8 * np.log2(classes)), 255).astype(np.uint8)[place]
-        kept = np.add.reduceat((level > 0).astype(np.int64), np.cumsum(ns, dtype=np.int64) - ns) > 0
-        level, nodes, ns = level[np.repeat(kept, ns)], nodes[kept], ns[kept]
-        # One row for each target, where all of a class meets again: as many rows as targets, not as classes.
-        target = (mixed(nodes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(target, kind="stable")
-        level, nodes, ns, target = level[_moved(ns, order)], nodes[order], ns[order], target[order]
-        held, first = np.unique(target, return_index=True)
-        runs = np.append(first, len(target))
-        at = np.append(0, np.cumsum(ns, dtype=np.int64))[runs]
-        spans = list(zip(runs, runs[1:], strict=False))
-        return pa.table({
-            "target": pa.array(held, pa.int64()),
-            "bucket": pa.array([table.column("bucket")[0].as_py()] * len(held), pa.int32()),
-            "nodes": pa.array([nodes[a:b].tobytes() for a, b in spans], pa.binary()),
-            "ns": pa.array([ns[a:b].tobytes() for a, b in spans], pa.binary()),
-            "levels": pa.array([level[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()),
-        })
+        asked = [np.frombuffer(v, np.uint32) for v in table.column("halves").to_pylist()]
+        _, place, texts = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+        level = np.minimum(np.rint(8 * np.log2(texts)), 255).astype(np.uint8)[place]
+        answers, at = [], 0
+        for own, gaps, ns in zip(asked, table.column("gaps").to_pylist(), table.column("ns").to_pylist(), strict=True):
+            mine, at = level[at : at + len(own)], at + len(own)
+            text, number = np.cumsum(_numbers(gaps, np.uint32), dtype=np.uint32), _numbers(ns, np.uint32)
+            kept = np.add.reduceat((mine > 0).astype(np.int64), np.cumsum(number, dtype=np.int64) - number) > 0
+            answers.append((len(own), _planes(text[kept]), _planes(number[kept]), mine[np.repeat(kept, number)].tobytes()))
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*answers, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+        names = ["asked", "texts", "ns", "levels", "chunk", "bucket", *_KNOWN]
+        return pa.Table.from_arrays([*columns, table.column("chunk"), table.column("bucket"), *(table.column(c) for c in _KNOWN)], names=names)
 
     def gathered(table: pa.Table) -> pa.Table:
-        kinds = (("nodes", np.int64), ("ns", np.uint32), ("levels", np.uint8))
-        parts = [[np.frombuffer(v, kind) for v in table.column(c).to_pylist()] for c, kind in kinds]
-        bucket = np.repeat(table.column("bucket").to_numpy(), [len(part) for part in parts[0]])
-        nodes, ns, level = map(np.concatenate, parts)
-        order = np.lexsort((bucket, nodes))
-        level, nodes, ns, bucket = level[_moved(ns, order)], nodes[order], ns[order], bucket[order].astype(np.int32)
-        node, first = np.unique(nodes, return_index=True)
-        runs = np.append(first, len(nodes))
-        at = np.append(0, np.cumsum(ns, dtype=np.int64))[runs]
+        # Chunks that hold the same texts in the same order have the same answers.
+        table = table.take(pa.array(np.unique(table.column("bucket").to_numpy(), return_index=True)[1]))
+        known = [next((v for v in table.column(c).to_pylist() if v is not None), b"") for c in _KNOWN]
+        node, n, light = (np.frombuffer(v, kind).astype(np.int64) for v, kind in zip(known, (np.int64, np.uint32, np.uint32), strict=True))
+        if light.sum() != sum(table.column("asked").to_pylist()):
+            raise RuntimeError("a task that ran again read its texts in another order")
+        pieces = [[_numbers(v, np.uint32) for v in table.column(c).to_pylist()] for c in ("texts", "ns")]
+        bucket = np.repeat(table.column("bucket").to_numpy(), [len(part) for part in pieces[0]])
+        texts, ns = map(np.concatenate, pieces)
+        level = np.frombuffer(b"".join(table.column("levels").to_pylist()), np.uint8)
+        order = np.lexsort((bucket, texts))
+        level, texts, ns, bucket = level[_moved(ns, order)], texts[order], ns[order], bucket[order].astype(np.int32)
+        shared = np.bincount(np.repeat(texts, ns)[level > 0], minlength=len(node))
+        wanted = np.flatnonzero(light - shared < n - (SHARE * n + OF - 1) // OF + 1)
+        runs = np.searchsorted(texts, wanted), np.searchsorted(texts, wanted, "right")
+        at = np.append(0, np.cumsum(ns, dtype=np.int64))
         return pa.table({
-            "node": pa.array(node, pa.int64()),
-            "shared": pa.array(np.add.reduceat((level > 0).astype(np.int64), at[:-1]), pa.int64()),
-            "buckets": pa.array([bucket[a:b].tobytes() for a, b in zip(runs, runs[1:], strict=False)], pa.binary()),
-            "levels": pa.array([level[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()),
+            "node": pa.array(node[wanted], pa.int64()),
+            "buckets": pa.array([bucket[a:b].tobytes() for a, b in zip(*runs, strict=True)], pa.binary()),
+            "levels": pa.array([level[at[a] : at[b]].tobytes() for a, b in zip(*runs, strict=True)], pa.binary()),
         })
 
-    rows = _texts(docs).where("doc_id IS NOT NULL").select("text").mapInArrow(packed, "bucket bigint, halves binary, nodes binary, ns binary")
-    met = rows.groupBy("bucket").applyInArrow(counted, "target bigint, bucket int, nodes binary, ns binary, levels binary")
-    return met.groupBy("target").applyInArrow(gathered, "node bigint, shared bigint, buckets binary, levels binary")
+    names = ", ".join(f"{c} binary" for c in _KNOWN)
+    rows = _texts(docs).where("doc_id IS NOT NULL").select("text").mapInArrow(packed, f"chunk bigint, bucket bigint, halves binary, gaps binary, ns binary, {names}")
+    met = rows.groupBy("bucket").applyInArrow(counted, f"asked bigint, texts binary, ns binary, levels binary, chunk bigint, bucket bigint, {names}")
+    return met.groupBy("chunk").applyInArrow(gathered, "node bigint, buckets binary, levels binary")
 
 
 def _moved(ns: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -223,8 +256,7 @@ def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int)
     """
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // LEVEL_GRAMS))
-    wanted = _levels(docs, heavy, buckets, size)
-    wanted = wanted.join(classes, "node").where(F.col("n") - F.col("often") - F.col("shared") < _prefix("n"))
+    wanted = _levels(docs, heavy, buckets, size).dropDuplicates(["node"]).join(classes, "node")
     wanted = stored(wanted.select("doc_id", F.col("node").alias("wanted"), "buckets", "levels"), "shared")
     texts = _texts(docs).join(wanted.select("doc_id"), "doc_id", "left_semi")
 
