@@ -91,6 +91,7 @@ def test_near_duplicates_against_brute_force(docs, monkeypatch, turns):
     monkeypatch.setattr(jaccard, "HEAVY_SHARE", 1 << 9)
     monkeypatch.setattr(jaccard, "HEAVY_LEAST", 4)
     monkeypatch.setattr(jaccard, "LEVEL_GRAMS", 500)
+    monkeypatch.setattr(jaccard, "CHUNK_GRAMS", 300)
     rng = random.Random(5)
     passage = " ".join(f"p{k}" for k in range(40))
     texts = [None, "", "  \n", "one two", "ONE  two", "one two three", "y " * 4000]
@@ -105,6 +106,18 @@ def test_near_duplicates_against_brute_force(docs, monkeypatch, turns):
     assert sorted(map(tuple, found.collect())) == components_of(texts)
 
 
+def test_sketches_never_overrate_a_difference():
+    """Sets of all sizes, so that sketches are folded: as many cells differ at most as grams do."""
+    rng = np.random.default_rng(3)
+    for size in (1, 7, 40, 900, 9_000):
+        for other in (1, 30, 900, 20_000):
+            pool = rng.integers(0, 2**63, size + other, dtype=np.uint64)
+            left, right = pool[:size], pool[rng.integers(0, size) :][:other]
+            assert jaccard._apart(jaccard._sketch(left), jaccard._sketch(right)) <= len(np.setxor1d(left, right))
+    same = jaccard._sketch(pool)
+    assert jaccard._apart(same, same) == 0
+
+
 def test_near_duplicates_odd_tables(docs):
     same = docs((7, "a b c d e f", None, None), (7, "completely other words stand in here", None, None), (2, "a b c d e f", None, None), (None, "a b c d e f", None, None))
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(same).collect())

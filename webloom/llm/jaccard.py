@@ -4,20 +4,22 @@ Method. The grams (word shingles) of all texts get one global order: by the numb
 first, then by hash. Equal sets are one class, known by the sum of its grams' hashes. Two classes can only reach the
 similarity if they share a gram among their first |set| - ceil(share * |set|) + 1 in that order, so such prefixes give
 the candidates; a class whose prefix is all its own has none. The numbers are counted in buckets of gram hashes, which
-chunks of texts ask and which answer with a byte per gram. Grams frequent in the whole data are told apart beforehand and come last.
-Another order, by hash, is cut into fragments: each candidate pair's common grams are counted fragment by fragment and
-summed.
+chunks of texts ask and which answer with a byte per gram. Grams frequent in the whole data are told apart beforehand
+and come last. Another order, by hash, is cut into fragments: each candidate pair's common grams are counted fragment by
+fragment and summed.
 
 A gram's place in both sets bounds what they share if it is the first gram that they share: itself and what follows
 it in either. A pair that can link passes this bound at its first common gram, so a pair and a gram that fail it are not
-looked at, nor is a class in a list where even the smallest member would fail with it.
+looked at, nor is a class in a list where even the smallest member would fail with it. Pairs that are left are looked at
+in sketches first: a bit for each cell of hashes says whether it holds an odd number of a set's grams, so the number of
+different bits bounds how far two sets differ.
 
 Components need no full list of pairs. In every list of classes that share a prefix gram, all are first compared with
-one leader, the smallest, and what links becomes one component. Members outside the leader's component are compared
-with more leaders of the list (TURNS in all), up to LEADERS each. The last turn takes exactly those pairs of a list that still lie in different
-components. It knows all prefix grams they share down to the last that passes the bound, and so how much they can share
-at all, and compares those that may reach the similarity. So no link between different texts is lost, while a group of
-many near copies costs about one comparison per copy.
+one leader, that with the fewest grams before this one, and what links becomes one component. Members outside the
+leader's component are compared with more leaders of the list (TURNS in all), up to LEADERS each. The last turn takes
+exactly those pairs of a list that still lie in different components. It knows all prefix grams they share down to the
+last that passes the bound, and so how much they can share at all, and compares those that may reach the similarity. So
+no link between different texts is lost, while a group of many near copies costs about one comparison per copy.
 
 Lists of grams that are not frequent are made in buckets from packed arrays; those of frequent grams, of any length, by
 aggregates and joins that Spark can split.
@@ -51,6 +53,8 @@ TURNS, LEADERS = 2, 32
 LEVEL_GRAMS, CHUNK_GRAMS, BUCKET_GRAMS = 2_000_000, 2_000_000, 1_000_000
 #: What is known of the texts of a chunk: identities, sizes, and how many of their grams are not frequent.
 _KNOWN = ("nodes", "sizes", "lights")
+#: Bits of a set's sketch, as powers of two: four per gram within these limits.
+LEAST_BITS, MOST_BITS = 6, 13
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -262,7 +266,7 @@ def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int)
 
     def chosen(batches):
         for batch in rows_of(batches):
-            node, n, light, after = [], [], [], []
+            node, n, light, after, sketch = [], [], [], [], []
             for text, asked, held, levels in zip(*(batch.column(c).to_pylist() for c in ("text", "wanted", "buckets", "levels")), strict=True):
                 own = shingles(word_ids(text), size)
                 if _identity(own) != asked:  # another text of the same doc_id
@@ -273,21 +277,57 @@ def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int)
                 level[order[np.isin(bucket[order], np.frombuffer(held, np.int32))]] = np.frombuffer(levels, np.uint8)
                 prefix = np.argsort(level, kind="stable")[: _reach(len(own))]
                 first = prefix[level[prefix] > 0]
-                if len(first):
-                    after.append(len(own) - (len(prefix) - len(first)) - 1)
-                    node.append(asked)
-                    n.append(len(own))
-                    light.append(rest[first].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(light, pa.binary()), pa.array(after, pa.int64())], names=["node", "n", "light", "after"])
+                after.append(len(own) - (len(prefix) - len(first)) - 1)
+                node.append(asked)
+                n.append(len(own))
+                light.append(rest[first].tobytes())
+                sketch.append(_sketch(own))
+            columns = [*(pa.array(x, pa.int64()) for x in (node, n, after)), *(pa.array(x, pa.binary()) for x in (light, sketch))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "after", "light", "sketch"])
+
+    return stored(texts.join(wanted, "doc_id").mapInArrow(chosen, "node bigint, n bigint, after bigint, light binary, sketch binary"), "prefixes")
+
+
+def _sketch(own: np.ndarray) -> bytes:
+    """For each cell of the hashes, whether it holds an odd number of the grams."""
+    bits = min(max(LEAST_BITS, (4 * len(own)).bit_length()), MOST_BITS)
+    cells = (mixed(own) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=1 << bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
-    return stored(texts.join(wanted, "doc_id").mapInArrow(chosen, "node bigint, n bigint, light binary, after bigint"), "prefixes")
 
+def _apart(left: bytes, right: bytes) -> int:
+    """At least so many grams are in one of two sets only: each cell in which the sketches differ has one of them.
+
+    The larger sketch is folded to the size of the smaller, whose cells are the sums of its own.
+    """
+    size = min(len(left), len(right))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, size), axis=0) for v in (left, right))
+    return int(np.bitwise_count(x ^ y).sum())
 
-_LIST = "gram bigint, node bigint, n bigint, rest bigint, leader bigint, leader_n bigint, leader_rest bigint"
+
+def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) whose sketches differ in no more cells than the similarity lets the sets differ in grams."""
+
+    def kept(batches):
+        for batch in rows_of(batches, 4096):
+            columns = (batch.column(c).to_pylist() for c in ("na", "nb", "left", "right"))
+            near = [x is None or y is None or _apart(x, y) <= na + nb - 2 * (-(-SHARE * (na + nb) // (OF + SHARE))) for na, nb, x, y in zip(*columns, strict=True)]
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(near, pa.bool_()))
+
+    sketches = prefixes.dropDuplicates(["node"])
+    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("left"))
+    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("right"))
+    rows = pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", "na", "nb", "left", "right")
+    return rows.mapInArrow(kept, "a bigint, b bigint, na bigint, nb bigint")
+
+
+_LIST = "gram bigint, node bigint, n bigint, rest bigint, leader bigint, leader_n bigint, leader_rest bigint, smallest bigint"
 
 
 def _lists(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The classes that share a prefix gram, and the leader of each list, its smallest member.
+    """The classes that share a prefix gram, and the leader of each list: the member with the fewest grams before this one.
+
+    Copies of one text differ by grams of their own, which come first; so the leader is the nearest to what they share.
 
     `rest` is how many grams of the class follow this one. Classes that not even the smallest one could reach are left out.
     """
@@ -322,7 +362,7 @@ def _lists(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
     def listed(table: pa.Table) -> pa.Table:
         kinds = (("grams", np.uint64), ("nodes", np.int64), ("ns", np.uint32), ("rests", np.uint32))
         grams, nodes, ns, rests = (np.concatenate([np.frombuffer(v, kind) for v in table.column(c).to_pylist()]) for c, kind in kinds)
-        order = np.lexsort((mixed(nodes.view(np.uint64)), ns, grams))
+        order = np.lexsort((mixed(nodes.view(np.uint64)), ns, ns - rests, grams))
         grams, nodes, ns, rests = grams[order], nodes[order], ns[order], rests[order]
         own = np.ones(len(grams), bool)
         own[1:] = (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])
@@ -330,16 +370,17 @@ def _lists(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
         _, first, place, members = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
         kept = members[place] > 1
         lead = first[place[kept]]
-        columns = [grams[kept].view(np.int64), nodes[kept], ns[kept], rests[kept], nodes[lead], ns[lead], rests[lead]]
-        return pa.table(dict(zip(("gram", "node", "n", "rest", "leader", "leader_n", "leader_rest"), columns, strict=True)))
+        smallest = (np.minimum.reduceat(ns, first) if len(ns) else ns)[place[kept]]
+        columns = [grams[kept].view(np.int64), nodes[kept], ns[kept], rests[kept], nodes[lead], ns[lead], rests[lead], smallest]
+        return pa.table(dict(zip(("gram", "node", "n", "rest", "leader", "leader_n", "leader_rest", "smallest"), columns, strict=True)))
 
     light = prefixes.mapInArrow(packed, "bucket int, grams binary, nodes binary, ns binary, rests binary")
     light = light.groupBy("bucket").applyInArrow(listed, _LIST)
     heavy = sets.where(F.col("heavy").isNotNull()).select("node", "n", "often", F.posexplode("heavy").alias("at", "gram"))
     heavy = heavy.select("gram", "node", "n", (F.col("often") - F.col("at") - 1).alias("rest")).distinct()
-    leaders = heavy.groupBy("gram").agg(F.min_by(F.struct("node", "n", "rest"), F.struct("n", "node")).alias("leader"))
-    leaders = leaders.select("gram", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.rest").alias("leader_rest"))
-    smallest = F.expr(f"greatest(leader_n, ({SHARE} * n + {OF - 1}) div {OF})")
+    leaders = heavy.groupBy("gram").agg(F.min_by(F.struct("node", "n", "rest"), F.struct(F.col("n") - F.col("rest"), "n", "node")).alias("leader"), F.min("n").alias("smallest"))
+    leaders = leaders.select("gram", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.rest").alias("leader_rest"), "smallest")
+    smallest = F.expr(f"greatest(smallest, ({SHARE} * n + {OF - 1}) div {OF})")
     rows = light.unionByName(heavy.join(leaders, "gram")).withColumn("smallest", smallest)
     return stored(rows.where(F.col("rest") + 1 >= _least("n", "smallest")).drop("smallest"), "lists")
 
@@ -439,17 +480,14 @@ def _least(n: str, other: str) -> Column:
     return F.expr(f"({SHARE} * ({n} + {other}) + {OF + SHARE - 1}) div {OF + SHARE}")
 
 
-def _prefix(n: str) -> Column:
-    return F.expr(f"{n} - ({SHARE} * {n} + {OF - 1}) div {OF} + 1")
-
-
 def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
     heavy = heavy_grams(docs, size)
     sets = stored(_sets(docs, heavy, size), "sets")
     filled = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("often").alias("often")), "classes")
-    lists = _lists(filled, _prefixes(docs, classes, heavy[0], size))
+    classes = stored(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
+    prefixes = _prefixes(docs, classes, heavy[0], size)
+    lists = _lists(filled, prefixes)
     edges = labels = None
     for turn in range(TURNS + 1):
         if turn == 0 and turn < TURNS:
@@ -474,7 +512,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
         if turn == TURNS:
             # All their common grams down to the last that passed are counted; after it they share no more than follow.
             pairs = pairs.where(F.col("met") + F.col("follow") >= _least("na", "nb"))
-        pairs = stored(pairs, "pairs")
+        pairs = stored(_possible(pairs, prefixes), "pairs")
         if pairs.isEmpty():
             continue
         new = stored(_linked(pairs, _fragments(docs, pairs, classes, size)), "links")
