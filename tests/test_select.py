@@ -6,6 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import DATA
+from webloom.catalog import resolution
 from webloom.functions.attrs import attr_map
 from webloom.operators import resolve
 from webloom.operators.select import matches, select_nodes, supported_selector
@@ -161,3 +163,9 @@ def test_selectors_in_all_outputs(spark, dom_of):
     found = {r.action.element: r for r in resolve.resolve_elements(actions, dom).collect()}
     assert {s: r.strategy for s, r in found.items()} == {s: "DirectSelector" if n else None for s, n in counts.items()}
     assert not any(r.unsupported_selector for r in found.values())
+
+
+def test_page_rows_are_never_broadcast(spark):
+    """Their size is guessed from the stored table, which is far too little; the driver cannot hold them."""
+    found = resolution.structural_info(spark, DATA)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -8,6 +8,7 @@ from webloom.catalog import fixtures as fx
 from webloom.functions.attrs import attr
 from webloom.operators import resolve
 from webloom.plans.nodes import parse
+from webloom.plans.scale import merged
 
 
 def _action(kind, element, value):
@@ -66,7 +67,7 @@ def resolve_links(spark, sf_dir):
     dom = parse(fx.register_pages(spark, sf_dir))
     resolved = resolve.resolve_elements(actions, dom)
     targets = dom.nodes.where("tag = 'a'").select("page_id", "pos", attr("href").alias("href"))
-    return resolved.join(targets, ["page_id", "pos"], "left").select("action_id", "strategy", "selector", "href")
+    return resolved.join(merged(targets), ["page_id", "pos"], "left").select("action_id", "strategy", "selector", "href")
 
 
 def _button_selectors(spark, sf_dir):

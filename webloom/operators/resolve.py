@@ -18,7 +18,7 @@ from webloom.functions.text import collapse_ws, contains_ci, non_empty, trim_js
 from webloom.operators.extract import context, css_path, with_attrs
 from webloom.operators.select import select_nodes
 from webloom.plans.nodes import Dom, contained, is_hidden, with_ancestors, with_text
-from webloom.plans.scale import hot_keys, skew_join
+from webloom.plans.scale import hot_keys, merged, skew_join
 
 # Strategies by priority.
 STRATEGIES = {
@@ -101,11 +101,11 @@ def _spoken(elements: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     """Add `spoken`: each element's text with the alternative texts of the images in it, in document order."""
     is_element = F.coalesce(F.col("_element"), F.lit(False))
     marks = elements.select("page_id", "pos", F.lit(True).alias("_element"))
-    inner = nodes.join(marks, ["page_id", "pos"], "left")
+    inner = nodes.join(merged(marks), ["page_id", "pos"], "left")
     images = contained(inner, {"image": (is_element, F.col("tag").isin("img", "area"))})
     images = images.select("page_id", "outer_pos", "pos", attr("alt").alias("alt")).where("alt <> ''")
     lists = images.groupBy("page_id", F.col("outer_pos").alias("pos")).agg(F.sort_array(F.collect_list(F.struct(F.col("pos").alias("at"), "alt"))).alias("_images"))
-    rows = with_text(elements, docs).join(lists, ["page_id", "pos"], "left").join(docs.select("page_id", F.col("texts").alias("_texts")), "page_id")
+    rows = with_text(elements, docs).join(merged(lists), ["page_id", "pos"], "left").join(merged(docs.select("page_id", F.col("texts").alias("_texts"))), "page_id")
     between = lambda start, end: F.array_join(F.slice("_texts", start + 1, end - start), "")
     said = F.aggregate(
         "_images",
@@ -121,11 +121,11 @@ def _labelled(elements: DataFrame, dom: Dom) -> DataFrame:
     ids = F.split(trim_js(attr("aria-labelledby")), r"\s+")
     asked = elements.where(F.contains(F.lower("raw"), F.lit("aria-labelledby"))).select("page_id", "pos", F.posexplode(ids).alias("place", "id"))
     named = dom.nodes.where(F.contains(F.lower("raw"), F.lit("id"))).select("*", attr("id").alias("id")).where("id <> ''")
-    first = named.join(asked.select("page_id", "id").distinct(), ["page_id", "id"], "left_semi")
+    first = named.join(merged(asked.select("page_id", "id").distinct()), ["page_id", "id"], "left_semi")
     first = first.groupBy("page_id", "id").agg(F.min_by(F.struct("pos", "end", "tag", "raw"), "pos").alias("n")).select("page_id", "id", "n.*")
     label = non_empty(trim_js(attr("aria-label")))
     texts = with_text(first, dom.docs).select("page_id", "id", F.coalesce(label, collapse_ws("text")).alias("label"))
-    found = asked.join(texts, ["page_id", "id"])
+    found = asked.join(merged(texts), ["page_id", "id"])
     order = F.sort_array(F.collect_list(F.struct("place", "label")))
     return found.groupBy("page_id", "pos").agg(collapse_ws(F.array_join(F.transform(order, lambda x: x["label"]), " ")).alias("labels"))
 
@@ -143,7 +143,7 @@ def _named_controls(dom: Dom) -> DataFrame:
     nodes = with_ancestors(dom.nodes, {"_hidden": _hidden()})
     picked = nodes.select("*", (is_link & ~F.col("_hidden")).alias("is_link"), (is_button & ~F.col("_hidden")).alias("is_button"), (tag == "a").alias("is_a"))
     picked = picked.where("is_link or is_button or is_a").drop("_hidden")
-    rows = _spoken(picked, dom.nodes, dom.docs).join(_labelled(picked, dom), ["page_id", "pos"], "left")
+    rows = _spoken(picked, dom.nodes, dom.docs).join(merged(_labelled(picked, dom)), ["page_id", "pos"], "left")
     rows = with_attrs(rows)
     a = lambda name: non_empty(trim_js(F.try_element_at("attrs", F.lit(name))))
     own = F.when(F.col("tag") == "input", F.coalesce(a("value"), a("alt"))).otherwise(non_empty(collapse_ws("spoken")))
@@ -204,8 +204,8 @@ def _resolve_requests(requests: DataFrame, dom: Dom) -> DataFrame:
     unseen = with_ancestors(dom.nodes, {"unseen": is_hidden()}).where("unseen").select("page_id", F.col("pos").alias("first_pos"), "unseen")
     hit = F.when(F.col("first_pos").isNotNull() & ((F.col("ord") == 0) | F.col("unseen").isNull()), F.struct("ord", F.col("first_pos").alias("pos"), "selector"))
     by_selector = (
-        spread.join(found, ["page_id", "selector"])
-        .join(unseen, ["page_id", "first_pos"], "left")
+        spread.join(merged(found), ["page_id", "selector"])
+        .join(merged(unseen), ["page_id", "first_pos"], "left")
         .groupBy("page_id", "request")
         .agg(
             F.min(F.when(F.col("ord") == 0, hit)).alias("direct"),
@@ -239,7 +239,7 @@ def _resolve_requests(requests: DataFrame, dom: Dom) -> DataFrame:
         )
     )
 
-    joined = asked.join(by_selector, ["page_id", "request"], "left").join(by_text, ["page_id", "request"], "left")
+    joined = asked.join(merged(by_selector), ["page_id", "request"], "left").join(merged(by_text), ["page_id", "request"], "left")
     joined = skew_join(joined, _page_facts(dom), "page_id", "request", hot, "left")
     quote = lambda before, column, after: F.concat(F.lit(before), column, F.lit(after))
     at = lambda pos, selector: F.when(F.col(pos).isNotNull(), F.struct(F.col(pos).alias("pos"), selector.alias("selector")))
@@ -303,7 +303,7 @@ def resolve_elements(actions: DataFrame, dom: Dom) -> DataFrame:
     resolved = _resolve_requests(requests, dom).select(
         "page_id", F.col("request").alias("_request"), "pos", "strategy", "selector", "unsupported_selector", "trace"
     )
-    return keyed.join(resolved, ["page_id", "_request"], "left").drop("_request")
+    return keyed.join(merged(resolved), ["page_id", "_request"], "left").drop("_request")
 
 
 def resolution_trace(resolved: DataFrame) -> DataFrame:
@@ -356,11 +356,11 @@ def element_info(wanted: DataFrame, dom: Dom) -> DataFrame:
     """wanted(page_id, selector): found, count, and visibility, tag and text of the first match."""
     found = select_nodes(wanted, dom, hot_keys(wanted, "page_id"))
     nodes = context(dom.nodes).select("page_id", F.col("pos").alias("first_pos"), "end", "tag", "raw", "hidden")
-    first = found.where("first_pos is not null").join(nodes, ["page_id", "first_pos"])
+    first = found.where("first_pos is not null").join(merged(nodes), ["page_id", "first_pos"])
     first = with_text(first.withColumnRenamed("first_pos", "pos"), dom.docs).select(
         "page_id", "selector", (~F.col("hidden")).alias("is_visible"), F.upper("tag").alias("tag_name"), F.left("text", F.lit(100)).alias("text")
     )
-    return found.join(first, ["page_id", "selector"], "left").select(
+    return found.join(merged(first), ["page_id", "selector"], "left").select(
         "page_id",
         "selector",
         F.col("first_pos").isNotNull().alias("found"),
@@ -456,8 +456,8 @@ def best_match(wanted: DataFrame, dom: Dom) -> DataFrame:
     by_text = skew_join(left, whole, "page_id", "selector", hot).where(contains_ci("page_text", ref)).select("page_id", "selector", F.lit("html").alias("by_text"))
     keys = ["page_id", "selector"]
     return (
-        known.join(by_attrs, keys, "left")
-        .join(by_text, keys, "left")
+        known.join(merged(by_attrs), keys, "left")
+        .join(merged(by_text), keys, "left")
         .select("page_id", F.col("selector").alias("reference"), F.coalesce("known", "by_attrs", "by_text").alias("match"))
     )
 
@@ -496,7 +496,7 @@ def _fallback_hits(dom: Dom) -> DataFrame:
         *[F.min(F.when(simple(s), F.col("pos"))).alias(f"_t{i}") for i, s in enumerate(worded)]
     )
     firsts = flagged.groupBy("page_id").agg(*[F.min(F.when(F.col(n), F.col("pos"))).alias(n) for n in names])
-    merged = firsts.join(by_text, "page_id", "left")
+    merged = firsts.join(merged(by_text), "page_id", "left")
     place = {**column, **{s: f"_t{i}" for i, s in enumerate(worded)}}
     purposes = []
     for purpose, group in FALLBACKS.items():
@@ -532,7 +532,7 @@ def find_by_text(wanted: DataFrame, dom: Dom, mode: str = "reference") -> DataFr
         ranked = hits.groupBy("page_id", "want").agg(
             F.min(F.when(F.col("rank") == 0, F.col("pos"))).alias("worded_pos"), F.min("pos").alias("loose_pos")
         )
-        found = asked.join(any_first, "page_id", "left").join(ranked, ["page_id", "want"], "left").select(
+        found = asked.join(merged(any_first), "page_id", "left").join(merged(ranked), ["page_id", "want"], "left").select(
             "page_id", "want", F.coalesce(F.least("any_pos", "worded_pos"), F.col("loose_pos")).alias("pos")
         )
     return found.where("pos is not null").select("page_id", F.col("want").alias("text"), "pos")
@@ -549,7 +549,7 @@ def try_fallbacks(actions: DataFrame, dom: Dom, mode: str = "reference") -> Data
     joined = skew_join(given, hits, "page_id", "action_id", hot_keys(actions, "page_id"), "left")
     joined = joined.select(*given.columns, chosen.alias("hit"))
     by_text = find_by_text(given.select("page_id", "text"), dom, mode).withColumnRenamed("pos", "text_pos")
-    return joined.join(by_text, ["page_id", "text"], "left").select(
+    return joined.join(merged(by_text), ["page_id", "text"], "left").select(
         *actions.columns,
         "purpose",
         F.coalesce("hit.pos", "text_pos").alias("pos"),

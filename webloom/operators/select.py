@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from webloom.functions.attrs import attr_map, class_list
 from webloom.functions.text import collapse_ws, contains_ci
 from webloom.plans.nodes import Dom, with_family
-from webloom.plans.scale import skew_join
+from webloom.plans.scale import merged, skew_join
 
 _NAME = r"(?:[\w\-\x{80}-\x{10FFFF}]++|\\[^0-9a-fA-F\s])++"
 _TAG = r"[a-zA-Z][\w\-]*+|\*"
@@ -197,14 +197,14 @@ def matches(wanted: DataFrame, dom: Dom, hot: DataFrame | None = None) -> DataFr
     shapes = _chains(asked.select("selector").distinct().withColumn("page_id", F.lit(0))).select(links.alias("links"), F.contains("selector", F.lit(":has-text")).alias("worded"))
     longest, child, sibling, worded = shapes.agg(F.max(F.size("links")), has(">"), has("+", "~"), F.max("worded")).first()
 
-    nodes = dom.nodes.join(asked.select("page_id").distinct(), "page_id", "left_semi")
+    nodes = dom.nodes.join(merged(asked.select("page_id").distinct()), "page_id", "left_semi")
     nodes = with_family(nodes) if child or sibling else nodes
     keyed = compiled(asked).withColumn("feature", _feature(F.col("compound")))
     found = skew_join(keyed, _features(nodes), "page_id", "selector", hot, also=["feature"])
     compound, tag, attrs = F.col("compound"), F.col("tag"), F.col("attrs")
     hits = found.where(_passes(compound, tag, attrs) & ~F.exists(compound["nots"], lambda n: _passes(n, tag, attrs)))
     if worded:
-        hits = hits.join(dom.docs.select("page_id", "texts"), "page_id")
+        hits = hits.join(merged(dom.docs.select("page_id", "texts")), "page_id")
         text = collapse_ws(F.array_join(F.slice("texts", F.col("pos") + 1, F.col("end") - F.col("pos")), ""))
         said = F.forall("compound.texts", lambda t: contains_ci(text, t))
         hits = hits.where(F.when(F.size("compound.texts") == 0, True).otherwise(said))
@@ -222,7 +222,7 @@ def select_nodes(wanted: DataFrame, dom: Dom, hot: DataFrame | None = None) -> D
     counted = matches(asked, dom, hot).groupBy("page_id", "selector").agg(
         F.min("pos").alias("first_pos"), F.count("*").alias("match_count")
     )
-    return asked.join(counted, ["page_id", "selector"], "left").select(
+    return asked.join(merged(counted), ["page_id", "selector"], "left").select(
         "page_id",
         "selector",
         "first_pos",

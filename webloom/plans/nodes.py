@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from webloom.functions.attrs import attr, has_attr
 from webloom.functions.text import SEAM, built_once, decode_runs, trim_js
 from webloom.functions.url import resolve_url
+from webloom.plans.scale import merged
 
 _IN_TAG = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
 _TAG = rf"<(?:/?[a-zA-Z]{_IN_TAG}|[!?/][^>]*+)>"
@@ -233,7 +234,7 @@ def with_text(elements: DataFrame, docs: DataFrame) -> DataFrame:
     """Add the page's `url` and `base` and each element's textContent as `text`."""
     runs = docs.select("page_id", F.col("url").alias("_url"), F.col("base").alias("_base"), F.col("texts").alias("_texts"))
     text = F.array_join(F.slice("_texts", F.col("pos") + 1, F.col("end") - F.col("pos")), "")
-    return elements.join(runs, "page_id").select(*elements.columns, F.col("_url").alias("url"), F.col("_base").alias("base"), text.alias("text"))
+    return elements.join(merged(runs), "page_id").select(*elements.columns, F.col("_url").alias("url"), F.col("_base").alias("base"), text.alias("text"))
 
 
 def with_html(elements: DataFrame, docs: DataFrame) -> DataFrame:
@@ -242,7 +243,7 @@ def with_html(elements: DataFrame, docs: DataFrame) -> DataFrame:
     own = F.substring(F.get("_tokens", F.col("pos")), F.length("raw") + 1, F.length(F.get("_tokens", F.col("pos"))))
     rest = F.array_join(F.slice("_tokens", F.col("pos") + 2, F.greatest(F.col("end") - F.col("pos") - 1, F.lit(0))), "")
     html = F.when(F.col("end") > F.col("pos"), F.concat(own, rest)).otherwise("")
-    return elements.join(tokens, "page_id").select(*elements.columns, html.alias("html"))
+    return elements.join(merged(tokens), "page_id").select(*elements.columns, html.alias("html"))
 
 
 def with_ancestors(nodes: DataFrame, tests: dict[str, Column]) -> DataFrame:
