@@ -246,6 +246,22 @@ def test_long_run_takes_few_rounds(spark):
     assert len(crawl._jumps(chain, 5)) == 3
 
 
+def test_plans_of_long_runs_stay_small(spark, monkeypatch):
+    """A run of 70 pages takes seven steps; a step's plan holds one join and no copies of the steps before."""
+    pages = site(spark, *[(f"/list?page={n}", "") for n in range(70)])
+    spec = {"target": {"baseUrl": "http://a.b", "startPath": "/list?page=2"}, "navigation": {"type": "multi"}, "pagination": {"strategy": "url-pattern"}}
+    joins, cut = [], crawl.cut
+
+    def recorded(df):
+        joins.append(df._jdf.queryExecution().analyzed().toString().count("Join "))
+        return cut(df)
+
+    monkeypatch.setattr(crawl, "cut", recorded)
+    visited = crawl.walk(pages, parse(pages, 2), normal_spec({**BASIC, **spec}))
+    assert sorted(r.number for r in visited.select("number").collect()) == list(range(1, 69))
+    assert max(joins) <= 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 500, 5000])
 def test_first_rows(spark, n):
     rows = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("a"), (F.col("id") % 5).alias("b"))

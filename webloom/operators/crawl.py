@@ -234,8 +234,10 @@ def walk(pages: DataFrame, dom: Dom, spec: dict[str, Any]) -> DataFrame:
         links = cut(within(found.select(F.col("page_url").alias("source"), F.col("url").alias("target"))).distinct())
 
     def runs(pages: DataFrame) -> DataFrame:
-        """Pages (url, number) with those that follow them in their runs."""
+        """Pages (url, number) with those that follow them in their runs. Each step uses the pages twice, so they are
+        written down: plans of n steps would hold 2 ** n copies of the first one."""
         for k, jump in enumerate(jumps):
+            pages = cut(pages)
             further = pages.withColumnRenamed("url", "source").join(jump, "source")
             further = further.select(F.col("target").alias("url"), (F.col("number") + 2**k).alias("number"))
             further = further.where(F.col("number") <= run) if run is not None else further
