@@ -35,3 +35,10 @@ def test_query(spark, sql, name):
     want_columns, want_rows = normal(sql.execute(all_oracles()[name]).df())
     assert columns == want_columns
     assert rows == want_rows
+
+
+def test_repeated_patterns_tell_targets_apart(spark):
+    """Every clicked target in full, as many rows as the unranked query has."""
+    found = all_queries()["repeated_patterns"](spark, DATA).collect()
+    assert {r.pattern for r in found if r.pattern.startswith("clicking")} == {f"clicking #e{k}" for k in range(4)}
+    assert len(found) == all_queries()["repeated_patterns_intended"](spark, DATA).count()
