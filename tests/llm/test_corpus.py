@@ -262,6 +262,16 @@ def test_pitman_yor_base_and_normalisation(docs, monkeypatch):
     assert pitman_yor.score(docs((1, "x", None, None)).limit(0), remainder(pitman_yor.F.col("doc_id"), 7) == 2).count() == 0
 
 
+def test_pitman_yor_counts_thinly_spread_words(docs):
+    """A word that no task meets twice has its restaurant by its count in the whole data."""
+    rows = [(i, f"thin own{i} own{i}", None, None) for i in range(6)]
+    table = docs(*rows).repartitionByRange(6, "doc_id").selectExpr("doc_id", "false AS held_out", "CAST(text AS BINARY) AS text")
+    words, size = pitman_yor.vocabulary(table)
+    known = {int(x) for x in words.contexts}
+    assert size == 6 * 4
+    assert int(pitman_yor.word_ids(b"thin")[0]) in known and len(known) == 8
+
+
 def test_pitman_yor_probabilities_add_up(docs):
     """After a context, the probabilities of all known words, the end and one unknown word sum to one."""
     rng = random.Random(10)
