@@ -221,3 +221,13 @@ def test_pages_without_a_tag_are_not_cut_up(dom_of):
     both.collect()
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ReusedExchange") >= 1
+
+
+def test_partitions_grow_with_the_pages(spark, monkeypatch):
+    """What one task sorts is bounded by the tags and the text of its pages, not by the size of the table over a fixed number."""
+    monkeypatch.setattr("webloom.plans.nodes.PARTITION_BYTES", 2_000, raising=False)
+    dealt = lambda n: parse(spark.range(n).select(F.col("id").alias("page_id"), F.lit("http://a.example").alias("url"), F.repeat(F.lit("<p>x"), 20).alias("html")))
+    assert dealt(0).bodies.rdd.getNumPartitions() == dealt(1).bodies.rdd.getNumPartitions() == 4
+    few, many = dealt(50), dealt(200)
+    assert many.bodies.rdd.getNumPartitions() == 4 * few.bodies.rdd.getNumPartitions() == 208
+    assert many.nodes.count() == 4000
