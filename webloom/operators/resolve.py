@@ -496,7 +496,7 @@ def _fallback_hits(dom: Dom) -> DataFrame:
         *[F.min(F.when(simple(s), F.col("pos"))).alias(f"_t{i}") for i, s in enumerate(worded)]
     )
     firsts = flagged.groupBy("page_id").agg(*[F.min(F.when(F.col(n), F.col("pos"))).alias(n) for n in names])
-    merged = firsts.join(merged(by_text), "page_id", "left")
+    both = firsts.join(merged(by_text), "page_id", "left")
     place = {**column, **{s: f"_t{i}" for i, s in enumerate(worded)}}
     purposes = []
     for purpose, group in FALLBACKS.items():
@@ -504,7 +504,7 @@ def _fallback_hits(dom: Dom) -> DataFrame:
             F.when(F.col(place[s]).isNotNull(), F.struct(F.col(place[s]).alias("pos"), F.lit(s).alias("selector"))) for s in group
         ]
         purposes.append(F.coalesce(*options).alias(purpose))
-    return merged.select("page_id", *purposes)
+    return both.select("page_id", *purposes)
 
 
 def find_by_text(wanted: DataFrame, dom: Dom, mode: str = "reference") -> DataFrame:
