@@ -13,7 +13,7 @@ from webloom.functions.text import trim_js
 from webloom.functions.url import hostname, pathname, resolve_url
 from webloom.operators.extract import context, link_score, with_attrs
 from webloom.plans.nodes import Dom, with_text
-from webloom.plans.scale import cut, first_rows
+from webloom.plans.scale import cut, first_rows, worked_out
 
 DEFAULT_LINKS = [{"selector": "a[href]", "attribute": "href", "follow": True}]
 
@@ -47,7 +47,8 @@ def link_rows(dom: Dom, spec: dict[str, Any] | None = None) -> DataFrame:
         "pos",
         trim_js("text").alias("text"),
         link_score().alias("priority"),
-        F.explode(F.array_compact(F.array(*found))).alias("link"),
+        # The outer form of explode: the plain one adds a filter that would resolve every link a second time.
+        F.explode_outer(F.array_compact(F.array(*found))).alias("link"),
     ).select("page_id", "page_url", "pos", "link.url", "text", "link.follow", "priority", "link.filter")
     passes = F.col("filter").isNull() | F.rlike("url", F.col("filter"))
     return spread.where(passes & F.col("url").rlike("(?i)^https?://")).drop("filter")
@@ -115,7 +116,7 @@ def crawl_pages(pages: DataFrame, dom: Dom, seeds: DataFrame, spec: dict[str, An
 def next_pages(dom: Dom, selector: str) -> DataFrame:
     """page_id, url and the target of each page's first next-button."""
     buttons = match(dom.nodes, {"_next": selector}).where("_next")
-    first = with_attrs(with_text(buttons, dom.docs)).select("page_id", "pos", "target")
+    first = worked_out(with_attrs(with_text(buttons, dom.docs)).select("page_id", "pos", "target"))
     chosen = first.where("target is not null").groupBy("page_id").agg(F.min_by("target", "pos").alias("next_url"))
     return dom.docs.select("page_id", "url").join(chosen, "page_id", "left")
 
