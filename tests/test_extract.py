@@ -1,7 +1,7 @@
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from webloom.operators import extract, snapshot
+from webloom.operators import crawl, extract, snapshot
 from webloom.plans.nodes import parse
 
 PAGE = """<html><head><title> A  b </title><meta name=description content=" hi &amp; you "></head><body>
@@ -196,3 +196,35 @@ def test_replaced_extractors_count_in_snapshots(dom_of, monkeypatch):
     extract.register("title", lambda dom: dom.docs.select("page_id", F.lit("mine").alias("title")))
     row = snapshot.snapshot(dom, ["title", "headings"]).first()
     assert row.title == "mine" and [h.text for h in row.content.headings] == ["Two"]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_are_worked_out_once(dom_of):
+    """A filter on what a link leads to must not read its attributes again in the join before it."""
+    dom = dom_of('<a href="/x">x</a><a rel=next href="/y">y</a>')
+    for rows in (extract.links(dom), crawl.link_rows(dom), crawl.next_pages(dom, "[rel=next]"), snapshot.compact_pagination(dom)):
+        assert optimized(rows).count("map_from_entries") == 1
+
+
+def test_snapshots_share_a_pass_over_the_nodes(dom_of):
+    """One for single elements, one for links and controls, one for lists, one for forms."""
+    dom = dom_of("<p>x")
+    for rows in (snapshot.compact_snapshot(dom), snapshot.model_snapshot(dom)):
+        assert optimized(rows).count("Generate posexplode") <= 4
+
+
+def test_compact_snapshot_is_made_of_its_parts(dom_of):
+    many = "".join(f'<a href="/{i}">{i}</a>' for i in range(40))
+    dom = dom_of(
+        f'<a>no target</a><a href="/n" rel="prev">back</a><div hidden><button>Hidden</button><a href="/h">next</a></div>{many}<button></button><a href="/e"> </a>',
+        "<button>Only</button><p>text</p>", "<a>bare &amp; </a>rest", "",
+    )
+    whole = snapshot.compact_snapshot(dom)
+    for name, rows in (("controls", snapshot.compact_controls(dom)), ("pagination", snapshot.compact_pagination(dom))):
+        blocks = whole.select("page_id", F.posexplode(name).alias("at", "c")).select("page_id", (F.col("at") + 1).alias("rank"), "c.*")
+        assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, rows.drop("pos").collect())) != []
+    hints = whole.select("page_id", "hints.text_density", "hints.link_density")
+    assert sorted(map(tuple, hints.collect())) == sorted(map(tuple, snapshot.page_hints(dom).collect()))

@@ -14,6 +14,7 @@ from webloom.functions.text import collapse_ws, non_empty, trim_js, truncate
 from webloom.operators import extract
 from webloom.operators.extract import MAIN_CONTENT, MAIN_FALLBACK_LIMIT, MAIN_LIMIT, REGISTRY, RULES, context, with_attrs
 from webloom.plans.nodes import Dom, contained, with_text
+from webloom.plans.scale import worked_out
 
 # The categories kept under `elements`; everything else goes to `content`.
 ELEMENT_CATEGORIES = ["buttons", "inputs", "links", "landmarks"]
@@ -21,6 +22,9 @@ LITE = ["title", "url", *ELEMENT_CATEGORIES]
 # Caps of the compact view.
 MAX_CONTROLS, MAX_LISTS, MAX_FORMS, MAX_FORM_FIELDS, MAX_PAGINATION, MAX_SAMPLES = 30, 2, 3, 12, 2, 3
 
+# The blocks of the compact view, in its order.
+BLOCKS = ["lists", "controls", "pagination", "forms"]
+
 _STRINGS = {"title", "metaDescription", "mainContent"}
 
 
@@ -227,16 +231,22 @@ def _top(rows: DataFrame, order: list, limit: int) -> DataFrame:
     return rows.select("*", rank.alias("rank")).where(F.col("rank") <= limit)
 
 
-def _clickable(dom: Dom) -> DataFrame:
+def _clickable(dom: Dom, anchors: bool = False) -> DataFrame:
+    """Buttons and links with `name`, those without one left out. With `anchors`, every `a` element is there, and
+    `clickable` tells which rows count."""
     test = simple(extract.BUTTONS) | simple(extract.LINKS)
-    picked = with_attrs(with_text(context(dom.nodes).where(test), dom.docs))
+    marked = context(dom.nodes).select("*", test.alias("clickable"))
+    picked = with_attrs(with_text(marked.where(F.col("clickable") | (F.col("tag") == "a") if anchors else "clickable"), dom.docs))
     label = F.coalesce(
         non_empty(collapse_ws("text")),
         F.try_element_at("attrs", F.lit("value")),
         F.try_element_at("attrs", F.lit("aria-label")),
         F.lit(""),
     )
-    return picked.select("*", label.alias("name")).where("name <> ''")
+    named = worked_out(picked.select("page_id", "pos", "tag", "text", "hidden", "attrs", "target", "clickable", label.alias("name")))
+    if anchors:
+        return named.withColumn("clickable", F.col("clickable") & (F.col("name") != ""))
+    return named.where("name <> ''")
 
 
 def compact_controls(dom: Dom, limit: int = MAX_CONTROLS) -> DataFrame:
@@ -247,15 +257,33 @@ def compact_controls(dom: Dom, limit: int = MAX_CONTROLS) -> DataFrame:
 
 def compact_pagination(dom: Dom, limit: int = MAX_PAGINATION) -> DataFrame:
     """Likely page links: rel=next/prev before wording before page numbers."""
+    rows = _clickable(dom).select("page_id", "pos", _pagination_kind().alias("kind"), _node_ref(F.col("name")).alias("control"))
+    return _top(rows.where("kind is not null"), ["kind", "pos"], limit).select("page_id", "pos", "rank", "control.*")
+
+
+def _pagination_kind() -> Column:
     word = F.lower("name")
     rel = F.lower(F.coalesce(F.try_element_at("attrs", F.lit("rel")), F.lit("")))
-    rank = (
+    return (
         F.when(rel.rlike(r"\b(?:next|prev)\b"), 0)
         .when(word.rlike(r"^(?:next|previous|prev|older|newer|more|»|›|→|load more)\b|^[»›→]$"), 1)
         .when(word.rlike(r"^\d+$"), 2)
     )
-    rows = _clickable(dom).select("page_id", "pos", rank.alias("kind"), _node_ref(F.col("name")).alias("control"))
-    return _top(rows.where("kind is not null"), ["kind", "pos"], limit).select("page_id", "pos", "rank", "control.*")
+
+
+def _link_blocks(dom: Dom) -> DataFrame:
+    """Per page: the rows of `compact_controls` and `compact_pagination` as arrays, and the `link_chars` of `page_hints`,
+    all from one pass over the nodes."""
+    rows = _clickable(dom, anchors=True).select(
+        "page_id", "pos", "clickable", "hidden", _pagination_kind().alias("kind"), _node_ref(F.col("name")).alias("control"),
+        F.when(F.col("tag") == "a", F.length("text")).alias("chars"),
+    )
+    control, clickable = F.col("control"), F.col("clickable")
+    return rows.groupBy("page_id").agg(
+        F.slice(_sorted_items(control, clickable & ~F.col("hidden"), [F.col("pos")]), 1, MAX_CONTROLS).alias("controls"),
+        F.slice(_sorted_items(control, clickable & F.col("kind").isNotNull(), [F.col("kind"), F.col("pos")]), 1, MAX_PAGINATION).alias("pagination"),
+        F.sum("chars").alias("link_chars"),
+    )
 
 
 def compact_lists(dom: Dom, limit: int = MAX_LISTS) -> DataFrame:
@@ -296,16 +324,19 @@ def compact_forms(dom: Dom, limit: int = MAX_FORMS, max_fields: int = MAX_FORM_F
 
 def page_hints(dom: Dom) -> DataFrame:
     """Text per HTML character, and link text per text character."""
-    total = dom.docs.select("page_id", F.col("html_length").alias("html_chars"), F.length(F.array_join("texts", "")).alias("chars"))
     links = with_text(dom.nodes.where("tag = 'a'"), dom.docs).groupBy("page_id").agg(
         F.sum(F.length("text")).alias("link_chars")
     )
+    return _chars(dom).join(links, "page_id", "left").select("page_id", *_densities())
+
+
+def _chars(dom: Dom) -> DataFrame:
+    return dom.docs.select("page_id", F.col("html_length").alias("html_chars"), F.length(F.array_join("texts", "")).alias("chars"))
+
+
+def _densities() -> list[Column]:
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.nullif(F.col(b), F.lit(0))), F.lit(0.0))
-    return (
-        total.join(links, "page_id", "left").select(
-            "page_id", ratio("chars", "html_chars").alias("text_density"), ratio("link_chars", "chars").alias("link_density")
-        )
-    )
+    return [ratio("chars", "html_chars").alias("text_density"), ratio("link_chars", "chars").alias("link_density")]
 
 
 def form_blocks(dom: Dom, limit: int = MAX_FORMS, max_fields: int = MAX_FORM_FIELDS) -> DataFrame:
@@ -313,23 +344,13 @@ def form_blocks(dom: Dom, limit: int = MAX_FORMS, max_fields: int = MAX_FORM_FIE
 
     Fields and labels are those of `extract.forms`; a form without submit control has a null `submit`.
     """
-    tag, held = F.col("tag"), dom.having("form")
-    is_field, is_submit = simple(extract.FORM_FIELDS), simple(extract.SUBMITS)
-    marked = context(held.nodes).where((tag == "form") | is_field | is_submit).select(*held.nodes.columns, "hidden")
-    inside = {"field": (tag == "form", is_field), "submit": (tag == "form", is_submit)}
-    parts = with_attrs(with_text(contained(marked, inside, alone={"form": tag == "form"}), held.docs))
     kind, own = F.col("kind"), lambda key: non_empty(F.try_element_at("attrs", F.lit(key)))
     wording = F.coalesce(non_empty(trim_js("text")), own("value"), F.lit("Submit"))
     name = F.coalesce(own("aria-label"), F.when(kind == "submit", wording), own("placeholder"), own("name"), F.lit(""))
-    first = lambda k: F.min_by(F.when(kind == k, F.col("ref")), F.when(kind == k, F.col("pos"))).alias(k)
-    refs = parts.select("page_id", "outer_pos", "pos", "kind", _node_ref(name).alias("ref")).groupBy("page_id", "outer_pos").agg(
-        first("form"), first("submit"), F.sort_array(F.collect_list(F.when(kind == "field", F.struct("pos", "ref")))).alias("inputs")
-    )
-    labels = F.transform("inputs", lambda i: i["label"]).alias("labels")
-    top = _top(extract.forms(dom), ["pos"], limit).select("page_id", F.col("pos").alias("outer_pos"), "rank", labels)
-    fields = F.zip_with("inputs", "labels", lambda i, label: F.struct(non_empty(label).alias("label"), i["ref"].alias("input")))
-    return top.join(refs, ["page_id", "outer_pos"]).select(
-        "page_id", F.col("outer_pos").alias("pos"), "rank", "form", F.slice(fields, 1, max_fields).alias("fields"), "submit"
+    top = _top(extract.forms(dom, _node_ref(name)), ["pos"], limit)
+    fields = F.zip_with("input_refs", "inputs", lambda ref, i: F.struct(non_empty(i["label"]).alias("label"), ref.alias("input")))
+    return top.select(
+        "page_id", "pos", "rank", F.col("form_ref").alias("form"), F.slice(fields, 1, max_fields).alias("fields"), F.col("submit_ref").alias("submit")
     )
 
 
@@ -342,20 +363,20 @@ def _with_blocks(out: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _with_hints(out: DataFrame, dom: Dom) -> DataFrame:
+    """Adds controls, pagination and the densities of `page_hints`; the arrays are empty where a page has none."""
+    rows = out.join(_link_blocks(dom), "page_id", "left").join(_chars(dom), "page_id")
+    filled = [F.coalesce(name, F.array()).alias(name) for name in ("controls", "pagination")]
+    return rows.select(*out.columns, *filled, *_densities())
+
+
 def compact_snapshot(dom: Dom) -> DataFrame:
     """url, title, headings, lists, controls, pagination, forms and hints, each within its cap."""
     out = extract_specific(dom, ["title", "headings"]).select(
         "page_id", "url", "title", F.transform("headings", lambda h: h["text"]).alias("headings")
     )
-    parts = {
-        "lists": compact_lists(dom),
-        "controls": compact_controls(dom),
-        "pagination": compact_pagination(dom),
-        "forms": compact_forms(dom),
-    }
-    return _with_blocks(out, parts).join(page_hints(dom), "page_id").select(
-        "page_id", "url", "title", "headings", *parts, F.struct("text_density", "link_density").alias("hints")
-    )
+    rows = _with_hints(_with_blocks(out, {"lists": compact_lists(dom), "forms": compact_forms(dom)}), dom)
+    return rows.select("page_id", "url", "title", "headings", *BLOCKS, F.struct("text_density", "link_density").alias("hints"))
 
 
 def model_snapshot(dom: Dom) -> DataFrame:
@@ -368,12 +389,7 @@ def model_snapshot(dom: Dom) -> DataFrame:
         "page_id", "url", "title", F.transform("headings", lambda h: h["text"]).alias("headings"), F.size("frames").cast("bigint").alias("frame_count")
     )
     root = F.struct(F.concat(F.lit("n"), F.col("pos")).alias("ref_id"), F.col("root").alias("selector"), F.lit("main").alias("frame_id"), F.lit("list").alias("role"))
-    parts = {
-        "lists": compact_lists(dom).withColumn("root", root),
-        "controls": compact_controls(dom),
-        "pagination": compact_pagination(dom),
-        "forms": form_blocks(dom),
-    }
+    parts = {"lists": compact_lists(dom).withColumn("root", root), "forms": form_blocks(dom)}
     entry = lambda ref: F.struct(ref["ref_id"].alias("key"), F.struct(ref["selector"].alias("selector"), ref["frame_id"].alias("frame_id")).alias("value"))
     used = [
         F.transform("lists", lambda block: entry(block["root"])),
@@ -383,8 +399,8 @@ def model_snapshot(dom: Dom) -> DataFrame:
         F.flatten(F.transform("forms", lambda block: F.transform(block["fields"], lambda field: entry(field["input"])))),
         F.transform(F.filter("forms", lambda block: block["submit"].isNotNull()), lambda block: entry(block["submit"])),
     ]
-    compact = F.struct("url", "title", "headings", *parts, F.struct("text_density", "link_density").alias("hints"))
-    rows = _with_blocks(out, parts).join(page_hints(dom), "page_id")
+    compact = F.struct("url", "title", "headings", *BLOCKS, F.struct("text_density", "link_density").alias("hints"))
+    rows = _with_hints(_with_blocks(out, parts), dom)
     rows = rows.select("page_id", compact.alias("compact"), F.map_from_entries(F.array_distinct(F.concat(*used))).alias("ref_map"), "frame_count")
     size = F.octet_length(F.to_json("compact")).cast("bigint")
     return rows.select("page_id", "compact", "ref_map", F.struct(size.alias("size_bytes"), "frame_count").alias("stats"))
