@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import tiktoken
 from conftest import DATA
 from corpus_fixtures import docs, table  # noqa: F401
 
-from webloom.llm import bpe, langid, pii, toxicity
+from webloom.llm import bpe, langid, pii, toxicity, words
 
 ODD = [None, "", " ", "\n\n", "a", "x" * 30_000, "aé日\U0001f600 b  c\t\n d", "  two  spaces ", "it's 12,345 they'll", "\x00\x1c\x85 z"]
 
@@ -47,6 +48,31 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, docs, reference):
         assert found[i].n_split == sum(inside)
 
 
+def test_bpe_encodes_and_decodes_in_one_worker(docs):
+    path, pattern = bpe.multi_50k()
+    rows = docs(*[(i, t, None, None) for i, t in enumerate(ODD)], (None, "null id", None, None), (1, "again", None, None))
+    assert bpe.digests(rows)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = bpe.decode(bpe.encode(rows, path, pattern), path, pattern)
+    assert sorted(map(str, bpe.round_trip(rows, path, pattern).collect())) == sorted(map(str, apart.collect()))
+
+
+def test_memory_of_a_group_is_given_back(monkeypatch):
+    class Held(list):
+        pass
+
+    seen = []
+    monkeypatch.setattr(words, "freed", lambda: seen.append(held() is None))
+
+    def build(rows):
+        nonlocal held
+        own = Held([rows])
+        held = weakref.ref(own)
+        return len(own)
+
+    held = None
+    assert words.freeing(build)("rows") == 1 and seen == [True]
+
+
 def test_bpe_empty_table(docs):
     assert bpe.digests(docs((1, "x", None, None)).limit(0)).count() == 0
 

@@ -15,6 +15,7 @@ import base64
 import functools
 import os
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,39 +131,55 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
     The rank file is a parameter; every worker reads it from that path once.
     """
     schema = "doc_id bigint, ids binary, n_tokens bigint, n_split bigint" + ", offsets array<bigint>" * offsets
-
-    def batches(rows):
-        coder = codec(path, pattern)
-        for batch in rows_of(rows):
-            texts = batch.column("text").to_pylist()
-            found = coder.encode(texts)
-            places = [coder.starts(ids, text.encode()) for ids, text in zip(found, texts, strict=True)]
-            columns = [batch.column("doc_id"), pa.array(found, pa.binary())]
-            columns += [pa.array([len(ids) // 4 for ids in found], pa.int64())]
-            columns += [pa.array([int(split.sum()) for _, split in places], pa.int64())]
-            names = ["doc_id", "ids", "n_tokens", "n_split"]
-            if offsets:
-                columns, names = [*columns, pa.array([at.tolist() for at, _ in places], pa.list_(pa.int64()))], [*names, "offsets"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-        coder.forget()
-        freed()
-
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(batches, schema)
+    return _texts(docs).mapInArrow(lambda rows: _encoded(rows, codec(path, pattern), offsets), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """The rows of `encode` with `decoded`, the bytes that the ids stand for. Null ids decode to nothing."""
-    schema = "doc_id bigint, ids binary, n_tokens bigint, n_split bigint, decoded binary"
+    return encoded.select("doc_id", "ids", "n_tokens", "n_split").mapInArrow(lambda rows: _decoded(rows, codec(path, pattern)), _DECODED)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """`encode`, then `decode`, batch by batch in one Python worker.
+
+    Apart they run side by side in two workers per core, and Spark keeps both, each with its tables, for all later tasks.
+    """
 
     def batches(rows):
         coder = codec(path, pattern)
-        for batch in rows_of(rows):
-            data = pa.array([coder.decode(ids or b"") for ids in batch.column("ids").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, data], names=[*batch.schema.names, "decoded"])
-        freed()
+        return _decoded(_encoded(rows, coder), coder)
+
+    return _texts(docs).mapInArrow(batches, _DECODED)
+
+
+_DECODED = "doc_id bigint, ids binary, n_tokens bigint, n_split bigint, decoded binary"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _encoded(rows: Iterable[pa.RecordBatch], coder: Codec, offsets: bool = False) -> Iterator[pa.RecordBatch]:
+    for batch in rows_of(rows):
+        texts = batch.column("text").to_pylist()
+        found = coder.encode(texts)
+        places = [coder.starts(ids, text.encode()) for ids, text in zip(found, texts, strict=True)]
+        columns = [batch.column("doc_id"), pa.array(found, pa.binary())]
+        columns += [pa.array([len(ids) // 4 for ids in found], pa.int64())]
+        columns += [pa.array([int(split.sum()) for _, split in places], pa.int64())]
+        names = ["doc_id", "ids", "n_tokens", "n_split"]
+        if offsets:
+            columns, names = [*columns, pa.array([at.tolist() for at, _ in places], pa.list_(pa.int64()))], [*names, "offsets"]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+    coder.forget()
+    freed()
+
 
-    return encoded.select("doc_id", "ids", "n_tokens", "n_split").mapInArrow(batches, schema)
+def _decoded(rows: Iterable[pa.RecordBatch], coder: Codec) -> Iterator[pa.RecordBatch]:
+    for batch in rows_of(rows):
+        data = pa.array([coder.decode(ids or b"") for ids in batch.column("ids").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, data], names=[*batch.schema.names, "decoded"])
+    freed()
 
 
 def multi_50k() -> tuple[str, str]:
@@ -174,7 +191,7 @@ def multi_50k() -> tuple[str, str]:
 
 def digests(docs: DataFrame) -> DataFrame:
     path, pattern = multi_50k()
-    rows = decode(encode(docs, path, pattern), path, pattern)
+    rows = round_trip(docs, path, pattern)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 
 

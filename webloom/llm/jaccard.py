@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.words import freed, mixed, repeated, rows_of, shingles, word_ids
+from webloom.llm.words import freed, freeing, mixed, repeated, rows_of, shingles, word_ids
 from webloom.plans.scale import stored
 
 SIZE = 5
@@ -71,6 +71,7 @@ def heavy_grams(docs: DataFrame, size: int = SIZE) -> tuple[np.ndarray, np.ndarr
             total = np.zeros(len(grams), bool)
             total[-1] = True
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts.astype(np.int64)), pa.array(total)], names=["gram", "n", "total"])
+        freed()
 
     sums = _texts(docs).select("text").mapInArrow(counted, "gram bigint, n bigint, total boolean").groupBy("gram", "total").agg(F.sum("n").alias("n"))
     sums = stored(sums, "gram-counts")
@@ -117,6 +118,7 @@ def _sets(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int) -> D
                 rest.append(often.view(np.int64).tolist() if len(often) else None)
             columns = [*(pa.array(x, pa.int64()) for x in (n, node, number)), pa.array(rest, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n", "node", "often", "heavy"])
+        freed()
 
     return _texts(docs).mapInArrow(batches, "doc_id bigint, n bigint, node bigint, often bigint, heavy array<bigint>")
 
@@ -235,8 +237,8 @@ def _levels(docs: DataFrame, heavy: np.ndarray, buckets: int, size: int) -> Data
 
     names = ", ".join(f"{c} binary" for c in _KNOWN)
     rows = _texts(docs).where("doc_id IS NOT NULL").select("text").mapInArrow(packed, f"chunk bigint, bucket bigint, halves binary, gaps binary, ns binary, {names}")
-    met = rows.groupBy("bucket").applyInArrow(counted, f"asked bigint, texts binary, ns binary, levels binary, chunk bigint, bucket bigint, {names}")
-    return met.groupBy("chunk").applyInArrow(gathered, "node bigint, buckets binary, levels binary")
+    met = rows.groupBy("bucket").applyInArrow(freeing(counted), f"asked bigint, texts binary, ns binary, levels binary, chunk bigint, bucket bigint, {names}")
+    return met.groupBy("chunk").applyInArrow(freeing(gathered), "node bigint, buckets binary, levels binary")
 
 
 def _moved(ns: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -284,6 +286,7 @@ def _prefixes(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, size: int)
                 sketch.append(_sketch(own))
             columns = [*(pa.array(x, pa.int64()) for x in (node, n, after)), *(pa.array(x, pa.binary()) for x in (light, sketch))]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "after", "light", "sketch"])
+        freed()
 
     return stored(texts.join(wanted, "doc_id").mapInArrow(chosen, "node bigint, n bigint, after bigint, light binary, sketch binary"), "prefixes")
 
@@ -313,6 +316,7 @@ def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
             columns = (batch.column(c).to_pylist() for c in ("na", "nb", "left", "right"))
             near = [x is None or y is None or _apart(x, y) <= na + nb - 2 * (-(-SHARE * (na + nb) // (OF + SHARE))) for na, nb, x, y in zip(*columns, strict=True)]
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(near, pa.bool_()))
+        freed()
 
     sketches = prefixes.dropDuplicates(["node"])
     left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("left"))
@@ -358,6 +362,7 @@ def _lists(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
             parts = [order[a:b] for a, b in zip(ends, ends[1:], strict=False)]
             columns = [[x[at].tobytes() for at in parts] for x in (grams, nodes, ns, rests)]
             yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "grams", "nodes", "ns", "rests"])
+        freed()
 
     def listed(table: pa.Table) -> pa.Table:
         kinds = (("grams", np.uint64), ("nodes", np.int64), ("ns", np.uint32), ("rests", np.uint32))
@@ -375,7 +380,7 @@ def _lists(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
         return pa.table(dict(zip(("gram", "node", "n", "rest", "leader", "leader_n", "leader_rest", "smallest"), columns, strict=True)))
 
     light = prefixes.mapInArrow(packed, "bucket int, grams binary, nodes binary, ns binary, rests binary")
-    light = light.groupBy("bucket").applyInArrow(listed, _LIST)
+    light = light.groupBy("bucket").applyInArrow(freeing(listed), _LIST)
     heavy = sets.where(F.col("heavy").isNotNull()).select("node", "n", "often", F.posexplode("heavy").alias("at", "gram"))
     heavy = heavy.select("gram", "node", "n", (F.col("often") - F.col("at") - 1).alias("rest")).distinct()
     leaders = heavy.groupBy("gram").agg(F.min_by(F.struct("node", "n", "rest"), F.struct(F.col("n") - F.col("rest"), "n", "node")).alias("leader"), F.min("n").alias("smallest"))
@@ -411,6 +416,7 @@ def _fragments(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int)
                         part.append(k)
                         grams.append(own[ends[k] : ends[k + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(grams, pa.binary())], names=["node", "part", "grams"])
+        freed()
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stored(classes.join(nodes, "node", "left_semi").select("doc_id"), "wanted")
@@ -427,6 +433,7 @@ def _linked(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
             n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in both]
             kept = [batch.column(c) for c in ("a", "b", "na", "nb")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "common"])
+        freed()
 
     left = fragments.select(F.col("node").alias("a"), "part", F.col("grams").alias("left"))
     right = fragments.select(F.col("node").alias("b"), "part", F.col("grams").alias("right"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.words import freed, mixed, rows_of
+from webloom.llm.words import freed, freeing, mixed, rows_of
 from webloom.plans.scale import stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -111,7 +111,7 @@ def _arrays(lines: DataFrame) -> DataFrame:
         return pa.Table.from_pylist([row], schema=pa.schema([(c, pa.int64() if c in ("shard", "behind") else pa.binary()) for c in row]))
 
     schema = "shard bigint, sizes binary, bits binary, behind bigint, high binary, fingerprints binary, counts binary, keepers binary"
-    return lines.groupBy("shard").applyInArrow(built, schema)
+    return lines.groupBy("shard").applyInArrow(freeing(built), schema)
 
 
 def _probed(probes: pa.Table, arrays: pa.Table, min_docs: int) -> pa.Table:
@@ -168,7 +168,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             drop = set(map(bytes, drop))
             stay = [line for line, key in zip(lines, keys_of(text, min_chars), strict=True) if key not in drop]
             rows.append((b"\n".join(stay), len(lines), len(lines) - len(stay)))
-        return pd.DataFrame([(t.decode("utf-8", "replace"), n, d) for t, n, d in rows], columns=["text", "n_lines", "n_dropped"])
+        found = pd.DataFrame([(t.decode("utf-8", "replace"), n, d) for t, n, d in rows], columns=["text", "n_lines", "n_dropped"])
+        del rows
+        freed()
+        return found
 
     packed = docs.select(F.struct("*").alias("_row"))
     joined = packed.join(gone, F.col("_row.doc_id").cast("bigint").eqNullSafe(F.col("_of")), "left")

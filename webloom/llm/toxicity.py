@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.words import chained, freed, remainder, rows_of, word_ids
+from webloom.llm.words import chained, freed, freeing, remainder, rows_of, word_ids
 
 BITS = 20
 MAX_EXAMPLES = 20_000
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_e
 
     rows = examples.mapInArrow(hashed, "doc_id bigint, toxic int, found binary")
     # One group, bounded by max_examples.
-    model = rows.groupBy(F.lit(0).alias("one")).applyInArrow(fitted, "at binary, weights binary, intercept double").collect()
+    model = rows.groupBy(F.lit(0).alias("one")).applyInArrow(freeing(fitted), "at binary, weights binary, intercept double").collect()
     if not model:
         return Model(np.zeros(0, np.int32), np.zeros(0), -35.0)
     return Model(np.frombuffer(model[0][0], np.int32), np.frombuffer(model[0][1], np.float64), model[0][2])
@@ -125,7 +125,9 @@ def scorer(model: Model):
 
     @F.pandas_udf("double")
     def toxicity(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(text) for text in texts], dtype="float64")
+        scores = pd.Series([model.score(text) for text in texts], dtype="float64")
+        freed()
+        return scores
 
     return toxicity
 
