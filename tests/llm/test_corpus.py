@@ -183,6 +183,17 @@ def test_decontamination_against_all_places(docs, table):
     assert len({k for _, k, *_ in want}) >= 10
 
 
+def test_a_large_benchmark_is_not_sent_to_all_tasks(docs, table):
+    """However many times the bound a benchmark is, no block of it is broadcast, let alone all blocks at once."""
+    items = [(k, " ".join(f"w{k + j}" for j in range(20 if k % 2 else 5))) for k in range(30)]
+    benchmark = table(items, "item_id bigint, text string")
+    rows = docs(*[(k, f"some {text} more", None, None) for k, text in items[:7]])
+    found = decontaminate.contained(rows, benchmark, 20)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert set(map(tuple, found.collect())) == set(map(tuple, decontaminate.contained(rows, benchmark).collect()))
+    assert {(k, k) for k in range(7)} <= {(r.doc_id, r.item_id) for r in found.collect()}
+
+
 def test_nearest_neighbours_of_extreme_numbers(table):
     rows = [(0, [1e200, 1e200]), (1, [1.0, 1.1]), (2, [3e-300, 0.0]), (3, [5e-324, 5e-324]), (4, [-1e308, 1e308])]
     found = ann.nearest(table(rows, "vec_id bigint, embedding array<double>"), ann.F.col("vec_id") == 0).collect()
