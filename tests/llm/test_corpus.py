@@ -302,6 +302,17 @@ def test_pitman_yor_probabilities_add_up(docs):
     assert abs(10 ** found[""] + sum(10 ** found[w] * y for w, y in zip(every, x, strict=True)) - 1) < 1e-3
 
 
+def test_pitman_yor_rare_words_have_restaurants_of_their_own(docs, monkeypatch):
+    """Of 400 words each is followed by one word only, and the model knows that of each, however few are frequent."""
+    monkeypatch.setattr(pitman_yor, "CONTEXTS", 2)
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 6000)
+    train = [(i, f"c{i % 400} v{i % 400}", None, None) for i in range(8000)]
+    held = [(10_000 + k, f"c{k} v{k}", None, None) for k in range(400)] + [(20_000 + k, f"c{k} v{(k + 1) % 400}", None, None) for k in range(400)]
+    scores = {r.doc_id: r.score for r in pitman_yor.score(docs(*train, *held), pitman_yor.F.col("doc_id") >= 10_000).collect()}
+    assert min(scores[10_000 + k] for k in range(400)) > math.log10(0.7 / 400)
+    assert max(scores[20_000 + k] for k in range(400)) < math.log10(0.1 / 400)
+
+
 def test_chunks_and_buckets_change_no_count(docs, monkeypatch):
     """One long text, many chunks and buckets: the counts stay, and the chunks alone change nothing at all."""
     rng = random.Random(12)
